@@ -31,10 +31,11 @@ def sample_value(term: str, weight: str, k: int) -> Column:
     return F.expr(f"{ln_c} - {r} * (floor({weight} / {r} + {beta}) - {beta}) - {r}")
 
 
-def signatures(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """keys and signature array<double>, from rows of keys, term (a 64-bit hash) and ln_weight, a row per term."""
+def signatures(terms: DataFrame, keys: list[str], samples: int = SAMPLES, *carried: str) -> DataFrame:
+    """keys and signature array<double>, from rows of keys, term (a 64-bit hash) and ln_weight, a row per term;
+    of carried columns the largest value."""
     lows = [F.min(sample_value("term", "ln_weight", k)).alias(f"s{k}") for k in range(samples)]
-    return terms.groupBy(*keys).agg(*lows).select(*keys, F.array(*[f"s{k}" for k in range(samples)]).alias("signature"))
+    return terms.groupBy(*keys).agg(*lows, *[F.max(c).alias(c) for c in carried]).select(*keys, *carried, F.array(*[f"s{k}" for k in range(samples)]).alias("signature"))
 
 
 def printed(signature: Column) -> Column:
@@ -65,7 +66,9 @@ def with_next(rows: DataFrame, column: str) -> DataFrame:
     rows: id and the column, each id once or, if repeated, the row with the least value counts."""
     held = rows.withColumn("bucket", F.floor(F.col("id") / BUCKET))
     after = _next_bucket(held.select("id", "bucket"))
-    heads = after.join(rows.select(F.col("id").alias("next_id"), F.col(column).alias("head")), "next_id").groupBy("bucket").agg(F.min("head").alias("head"))
+    # the first row of each bucket, found where the rows lie; only these few travel
+    first = held.groupBy("bucket").agg(F.max(F.col("id")).alias("top"), F.min_by(column, F.struct(-F.col("id"), column)).alias("head"))
+    heads = after.withColumn("below", F.floor(F.col("next_id") / BUCKET)).join(first.select(F.col("bucket").alias("below"), "head"), "below").select("bucket", "head")
     down = Window.partitionBy("bucket").orderBy(F.col("id").desc(), column)
     once = held.withColumn("before", F.lag("id").over(down)).where("before is null or before <> id").drop("before")
     down = Window.partitionBy("bucket").orderBy(F.col("id").desc())
@@ -87,16 +90,22 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     pairs = with_next(rows, "text").select("bucket", "id", "text", F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half)).alias("edited"))
-    texts = pairs.select("bucket", "id", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x"))
-    words = texts.select("bucket", "id", "x.kind", F.explode(F.split("x.t", _SPACE)).alias("word")).where("word <> ''")
-    terms = words.select("bucket", "id", "kind", F.xxhash64("word").alias("term"), F.length("word").alias("size"))
-    terms = terms.groupBy("bucket", "id", "kind", "term", "size").agg(F.count("*").alias("n"))
-    signed = signatures(terms.withColumn("ln_weight", F.expr("ln(double(n * size))")), ["bucket", "id", "kind"], samples)
-    signed = signed.select("bucket", "id", "kind", printed(F.col("signature")).alias("f"))
-    facts = pairs.select("bucket", "id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    both = facts.join(signed.where("kind = 0").select("bucket", "id", F.col("f").alias("fingerprint")), ["bucket", "id"], "left")
-    both = both.join(signed.where("kind = 1").select("bucket", "id", F.col("f").alias("edited_fingerprint")), ["bucket", "id"], "left")
-    both = common.cut(both.drop("bucket").fillna("", ["fingerprint", "edited_fingerprint"]), "fingerprints")
+    # one pass: a third "text" of a single word carries the facts, its digest as four numbers
+    digest = F.sha2("edited", 256)
+    digits = [F.conv(F.substring(digest, 16 * k + 1, 16), 16, -10).cast("long").alias(f"h{k}") for k in range(4)]
+    none = [F.lit(None).cast("long").alias(c) for c in ("n_chars", "h0", "h1", "h2", "h3")]
+    text = lambda kind, column, *facts: F.struct(F.lit(kind).alias("kind"), column.alias("t"), *facts)
+    kinds = F.array(text(0, F.col("text"), *none), text(1, F.col("edited"), *none), text(2, F.lit("-"), F.length("text").cast("long").alias("n_chars"), *digits))
+    facts = ["n_chars", "h0", "h1", "h2", "h3"]
+    words = pairs.select("bucket", "id", F.explode(kinds).alias("x")).select("bucket", "id", "x.kind", *[f"x.{c}" for c in facts], F.explode(F.split("x.t", _SPACE)).alias("word")).where("word <> ''")
+    terms = words.select("bucket", "id", "kind", *facts, F.xxhash64("word").alias("term"), F.length("word").alias("size"))
+    terms = terms.groupBy("bucket", "id", "kind", "term", "size", *facts).agg(F.count("*").alias("n"))
+    signed = signatures(terms.withColumn("ln_weight", F.expr("ln(double(n * size))")), ["bucket", "id", "kind"], samples, *facts)
+    signed = signed.withColumn("f", printed(F.col("signature")))
+    one = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("f"))), F.lit(""))
+    sha = F.concat(*[F.lpad(F.lower(F.hex(F.max(f"h{k}"))), 16, "0") for k in range(4)])
+    both = signed.groupBy("bucket", "id").agg(F.max("n_chars").alias("n_chars"), sha.alias("edited_sha256"), one(0).alias("fingerprint"), one(1).alias("edited_fingerprint"))
+    both = common.cut(both.drop("bucket"), "fingerprints")
     a, b, c = (F.col(x) for x in ("fingerprint", "edited_fingerprint", "next_fingerprint"))
     return with_next(both, "fingerprint").select(
         "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(a, b, samples).alias("near_edited"), likeness(a, c, samples).alias("near_next")
