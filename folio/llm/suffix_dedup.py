@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from folio.llm import common
 
 LENGTH, SEED = 200, 32
-#: Groups of more different cells than this are dealt window by window instead.
-GROUP = 1000
+#: Groups of more different cells than this (about SORT_BYTES) are dealt window by window instead.
+GROUP = 4000
 #: Bytes of cells that a task sorts at once (plus one group).
 SORT_BYTES = 1 << 20
+#: A place and its number of windows (under PLACE) go as one number.
+PLACE = 1024
 #: A text is anchored in slices of so many bytes.
 SLICE = 4 << 20
 
@@ -74,8 +76,8 @@ def _anchored(length: int, seed: int):
                     if at or len(data) > SLICE:
                         row = np.full(len(row), int(np.argmax(np.diff(offsets))))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[row]), pa.array(keys[row]), pa.array((pos + at).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(cell.view(np.int64))],
-                        names=["id", "key", "pos", "n", "gram", "cell"],
+                        [pa.array(ids[row]), pa.array(keys[row]), pa.array((pos + at) * PLACE + n), pa.array(gram.view(np.int64)), pa.array(cell.view(np.int64))],
+                        names=["id", "key", "at", "gram", "cell"],
                     )
 
     return run
@@ -112,7 +114,7 @@ def _segments(length: int):
 
 
 _SEGMENT_NAMES = ["bucket", "id", "key", "pos", "n", "bytes"]
-_SEGMENT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+_SEGMENT_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
 
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -223,8 +225,13 @@ def _sorted_repeats(length: int, first: bool):
     return run
 
 
+def _key(text_col: str):
+    """Tells rows that repeat an id apart."""
+    return F.hash(F.coalesce(text_col, F.lit("")))
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), _key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def repeats(rows: DataFrame, *, keep: str = "first", length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -233,23 +240,23 @@ def repeats(rows: DataFrame, *, keep: str = "first", length: int = LENGTH, seed:
     keep "first": windows that stand earlier in the order of id and position; "none": anywhere else.
     """
     first = keep == "first"
-    cells = common.cut(rows.mapInArrow(_anchored(length, seed), "id long, key long, pos int, n int, gram long, cell long"), "cells")
+    cells = common.cut(rows.mapInArrow(_anchored(length, seed), "id long, key int, at long, gram long, cell long"), "cells")
     again = cells.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").select("gram")
     shared = common.cut(cells.join(again, "gram"), "shared")
-    kinds = shared.groupBy("gram", "cell").agg(F.count("*").alias("copies"), F.min(F.struct("id", "key", "pos", "n")).alias("f"))
+    kinds = shared.groupBy("gram", "cell").agg(F.count("*").alias("copies"), F.min(F.struct("id", "key", "at")).alias("f"))
     kinds = common.cut(kinds, "kinds")
     mixed = kinds.groupBy("gram").agg(F.count("*").alias("differing")).where("differing > 1")
-    many = kinds.where("copies > 1").select("gram", "cell", F.col("f.id").alias("fid"), F.col("f.key").alias("fkey"), F.col("f.pos").alias("fpos"))
+    many = kinds.where("copies > 1").select("gram", "cell", F.col("f.id").alias("fid"), F.col("f.key").alias("fkey"), F.col("f.at").alias("fat"))
     copies = shared.join(many, ["gram", "cell"])
     if first:
-        copies = copies.where("not (id = fid and key = fkey and pos = fpos)")
-    copies = copies.selectExpr("id", "key", "bigint(pos) as start", f"bigint(pos) + n + {length - 1} as end")
-    wanted = kinds.join(mixed, "gram").select("f.id", "f.key", F.struct("gram", "f.pos", "f.n", (F.col("differing") > GROUP).alias("large")).alias("w"))
+        copies = copies.where("not (id = fid and key = fkey and at = fat)")
+    copies = copies.selectExpr("id", "key", f"at div {PLACE} as start", f"at div {PLACE} + at % {PLACE} + {length - 1} as end")
+    wanted = kinds.join(mixed, "gram").select("f.id", "f.key", F.struct("gram", F.expr(f"int(f.at div {PLACE})").alias("pos"), F.expr(f"int(f.at % {PLACE})").alias("n"), (F.col("differing") > GROUP).alias("large")).alias("w"))
     wanted = wanted.groupBy("id", "key").agg(F.collect_list("w").alias("wanted"))  # at most a text's own cells
-    pieces = rows.join(wanted, ["id", "key"]).select("id", "key", "text", "wanted").mapInArrow(_segments(length), "bucket long, id long, key long, pos int, n int, bytes binary")
+    pieces = rows.join(wanted, ["id", "key"]).select("id", "key", "text", "wanted").mapInArrow(_segments(length), "bucket long, id long, key int, pos int, n int, bytes binary")
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     spread = pieces.repartition(parts, "bucket").sortWithinPartitions("bucket", "id", "key", "pos")
-    found = spread.mapInArrow(_sorted_repeats(length, first), "id long, key long, start long, end long")
+    found = spread.mapInArrow(_sorted_repeats(length, first), "id long, key int, start long, end long")
     return copies.union(found)
 
 
@@ -290,7 +297,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = repeats(rows, keep=keep, length=length)
     spans = spans.groupBy("id", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     full = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry]
+        F.col(id_col).cast("long").alias("id"), _key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry]
     )
     met = full.join(spans, ["id", "key"], "left").select("id", "text", "starts", "ends", *[f"carried_{c}" for c in carry])
     types = "".join(f", carried_{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
