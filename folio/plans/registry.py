@@ -1,6 +1,513 @@
-"""Named queries over the test tables and their SQL twins."""
+"""Named queries over the test tables and their SQL twins (DuckDB).
+
+Documents stand for plain-text books, conversations for books whose turns are chapters,
+pages for spine pages and events for what jobs report.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folio.functions import content, html, rules, text
+from folio.operators import catalogue, chapters, sessions
+from folio.sinks import books as sink
+from folio.sources import logs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL twin."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark, sf_dir, name, *columns):
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*columns) if columns else df
+
+
+# SQL pieces. \s of DuckDB is ASCII, which is all the white space that the tables hold.
+def _strip(c):
+    return rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+
+
+def _words(c):
+    return rf"CASE WHEN {_strip(c)} = '' THEN 0 ELSE len(regexp_split_to_array({_strip(c)}, '\s+')) END"
+
+
+def _quoted(parts):
+    return ", ".join("'" + p.replace("'", "''") + "'" for p in parts)
+
+
+def _content(c, title=None):
+    lines = f"list_filter(list_transform(string_split({_strip(c)}, chr(10)), lambda l: {_strip('l')}), lambda l: l <> '')"
+    share = lambda test: f"len(list_filter({lines}, lambda l: {test})) / len({lines})"
+    titled = f"AND NOT list_bool_or(list_transform([{_quoted(rules.SKIPPED_TITLES)}], lambda t: contains(lower({title}), t)))" if title else ""
+    signals = f"len(list_filter([{_quoted(rules.COLOPHON)}], lambda s: contains(lower(substr({_strip(c)}, 1, 500)), s)))"
+    paged = r"regexp_matches(l, '\b\d{1,4}\s*$') OR regexp_matches(l, '\.\s*\.\s*\.\s*\d')"
+    cited = r"regexp_matches(l, '\b(19|20)\d{2}\b') AND regexp_matches(l, '[,;]\s') AND length(l) > 40"
+    return (
+        f"(length({_strip(c)}) >= 100 AND {_words(c)} >= 30 {titled}"
+        f" AND NOT (len({lines}) > 10 AND {share('length(l) < 15')} > 0.7) AND NOT (len({lines}) > 5 AND {share(paged)} > 0.4)"
+        f" AND NOT (len({lines}) > 5 AND {share(cited)} > 0.5) AND {signals} < 2)"
+    )
+
+
+_CHAPTERS = (
+    "WITH raw AS (SELECT conv_id AS book_id, turn, text, role AS title FROM conversations),"
+    f" accepted AS (SELECT * FROM raw WHERE {_content('text', 'title')}),"
+    " chapters AS (SELECT book_id, turn, row_number() OVER (PARTITION BY book_id ORDER BY turn) AS idx, title, text,"
+    f" {_words('text')} AS word_count, length(text) AS char_count FROM accepted)"
+)
+
+
+def _documents(spark, sf_dir):
+    return _table(spark, sf_dir, "documents", "doc_id", "text", "source")
+
+
+def _turns(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations")
+    return turns.select(F.col("conv_id").alias("book_id"), F.col("turn").alias("spine_pos"), F.lit(0).alias("section"), F.col("role").alias("title"), "text")
+
+
+def _chapters(spark, sf_dir):
+    return chapters.with_counts(chapters.number_chapters(_turns(spark, sf_dir)))
+
+
+def _books(spark, sf_dir):
+    one = _table(spark, sf_dir, "conversations", "conv_id").distinct()
+    return one.select(F.col("conv_id").alias("book_id"), F.concat(F.lit("Book "), "conv_id").alias("title"), F.lit("unknown").alias("author"), F.lit("en").alias("language"))
+
+
+@query(
+    f"SELECT source, count(*) AS chapters, sum({_words('text')})::BIGINT AS total_words, sum(length(text))::BIGINT AS total_chars,"
+    f" round(sum({_words('text')}) / 150.0, 1) AS minutes FROM documents WHERE {_content('text')} GROUP BY source"
+)
+def doc_stats_by_source(spark, sf_dir):
+    """Content documents, words, characters and minutes of each source."""
+    kept = _documents(spark, sf_dir).where(content.is_content(F.col("text")))
+    out = kept.groupBy("source").agg(F.count("*").alias("chapters"), F.sum(text.word_count(F.col("text"))).alias("total_words"), F.sum(text.char_count(F.col("text"))).alias("total_chars"))
+    return out.withColumn("minutes", F.round(text.minutes(F.col("total_words")), 1))
+
+
+@query(f"SELECT doc_id, {_content('text')} AS is_content FROM documents")
+def content_filter(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", content.is_content(F.col("text")).alias("is_content"))
+
+
+@query(f"SELECT doc_id, CAST({_words('text')} AS BIGINT) AS words, length(text) AS chars, round_even({_words('text')} / 150.0, 0) AS minutes FROM documents")
+def doc_counts(spark, sf_dir):
+    words = text.word_count(F.col("text"))
+    return _documents(spark, sf_dir).select("doc_id", words.alias("words"), text.char_count(F.col("text")).alias("chars"), text.minutes(words, 0).alias("minutes"))
+
+
+def _mapped_sql(c):
+    for old, new in rules.CHARACTERS.items():
+        c = f"replace({c}, chr({ord(old)}), '{new.replace(chr(39), chr(39) * 2)}')"
+    return c
+
+
+@query(f"SELECT doc_id, md5({_mapped_sql('nfc_normalize(text)')}) AS mapped FROM documents")
+def clean_characters(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.md5(text.map_characters(text.nfc("text"))).alias("mapped"))
+
+
+_SPACED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{4,}', repeat(chr(10), 3), 'g'), '(\n\s*){3,}', repeat(chr(10), 2), 'g')"
+_POINTED = r"""regexp_replace(regexp_replace(regexp_replace(text, '\s+([.,;:!?])', '\1', 'g'), '([.,;:!?]){3,}', '\1\1', 'g'), '"{2,}', '"', 'g')"""
+
+
+@query(f"SELECT doc_id, md5({_SPACED}) AS spaced FROM documents")
+def normalise_space(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.md5(text.normalise_space(F.col("text"))).alias("spaced"))
+
+
+@query(f"SELECT doc_id, md5({_POINTED}) AS pointed FROM documents")
+def punctuation(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.md5(text.punctuation(F.col("text"))).alias("pointed"))
+
+
+@query(
+    f"SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda l: length({_strip('l')}) = 0 OR length({_strip('l')}) > 2 OR regexp_matches({_strip('l')}, '[.!?:]$')), chr(10))) AS lines,"
+    f" md5(CASE WHEN {_strip('text')} = '' OR regexp_matches({_strip('text')}, '[.!?…]$') THEN {_strip('text')} ELSE {_strip('text')} || '.' END) AS ended FROM documents"
+)
+def short_lines_and_full_stops(spark, sf_dir):
+    t = F.col("text")
+    return _documents(spark, sf_dir).select("doc_id", F.md5(text.drop_short_lines(t)).alias("lines"), F.md5(text.full_stop(t)).alias("ended"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(text, '(Capitolo|Chapter|Cap\.?|Parte|Part)\s+([MDCLXVI]+)', '\2 \1', 'gi')) AS swapped FROM documents")
+def chapter_numerals(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.md5(text.chapter_numerals(F.col("text"))).alias("swapped"))
+
+
+@query()
+def clean_text(spark, sf_dir):
+    """All cleaning steps (lookarounds are beyond DuckDB; tests compare with plain Python)."""
+    cleaned = _documents(spark, sf_dir).select("doc_id", text.clean_text(F.col("text")).alias("text"))
+    return cleaned.select("doc_id", F.md5("text").alias("cleaned"), text.char_count(F.col("text")).alias("chars"))
+
+
+_H1 = r"regexp_extract(html, '<h1>([^<]*)</h1>', 1)"
+_HEAD = r"(?i)^(Capitolo|Chapter|Cap\.?|Parte|Part|Sezione|Section)\s*[.:—\-]?\s*(\d+|[IVXLCDM]+)\s*[.:—\-]?\s*(.*)"
+
+
+@query(
+    f"""WITH h AS (SELECT page_id, {_strip(_H1)} AS h FROM pages UNION ALL SELECT 1000000 + page_id, 'Chapter ' || page_id || ' - ' || {_strip(_H1)} FROM pages),
+    p AS (SELECT *, regexp_extract(h, '{_HEAD}', 1) AS a, regexp_extract(h, '{_HEAD}', 2) AS b, regexp_replace(regexp_extract(h, '{_HEAD}', 3), '^[ .:—\\-]+|[ .:—\\-]+$', '', 'g') AS c FROM h)
+    SELECT page_id, CASE WHEN regexp_matches(h, '{_HEAD}') THEN a || ' ' || b || CASE WHEN c = '' THEN '.' ELSE '. ' || c || '.' END
+    WHEN h = '' OR regexp_matches(h, '[.!?]$') THEN h ELSE h || '.' END AS heading FROM p"""
+)
+def heading_format(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages", "page_id", "html")
+    title = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
+    numbered = F.concat(F.lit("Chapter "), "page_id", F.lit(" - "), text.strip(title))
+    both = pages.select("page_id", title.alias("h")).union(pages.select(F.col("page_id") + 1000000, numbered))
+    return both.select("page_id", text.format_heading(F.col("h")).alias("heading"))
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id, text, regexp_replace(split_part(text, chr(10), 1), '\.+$', '') AS bare, regexp_replace(text, '^\s+', '') AS s FROM documents)
+    SELECT doc_id, md5(CASE WHEN split_part(text, chr(10), 1) <> '' AND lower(substr(s, 1, length(bare))) = lower(bare) AND regexp_matches(substr(s, length(bare) + 1), '^\.?\s*\n')
+    THEN regexp_replace(substr(s, length(bare) + 1), '^\.?\s*\n+', '') ELSE text END) AS body FROM t"""
+)
+def leading_title(spark, sf_dir):
+    """The first line of a document as its title, taken from its text."""
+    title = F.substring_index(F.col("text"), "\n", 1)
+    return _documents(spark, sf_dir).select("doc_id", F.md5(text.remove_leading_title(F.col("text"), title)).alias("body"))
+
+
+def _bare_sql(c, depth=6):
+    for _ in range(depth):
+        c = rf"regexp_replace(regexp_replace({c}, '\([^()]*\)', '', 'g'), '\[[^\[\]]*\]', '', 'g')"
+    return _strip(rf"regexp_replace(regexp_replace({c}, '\s+', ' ', 'g'), '\s+([,;:.!?])', '\1', 'g')")
+
+
+@query(f"SELECT doc_id, md5({_bare_sql('text')}) AS bare FROM documents")
+def strip_parentheses(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.md5(text.strip_parentheses("text")).alias("bare"))
+
+
+@query()
+def chunk_plan(spark, sf_dir):
+    """Chunks of every content turn (a greedy fold, which tests compare with a plain loop)."""
+    plan = chapters.plan_chunks(_chapters(spark, sf_dir))
+    return plan.select("book_id", "chapter_index", "chunk_index", "chunks_in_chapter", "chars", F.md5("text").alias("chunk"))
+
+
+@query()
+def chunk_progress(spark, sf_dir):
+    plan = chapters.plan_chunks(_chapters(spark, sf_dir).select("book_id", "idx", "title", "text"))
+    return chapters.chunk_progress(plan.drop("text"))
+
+
+@query(
+    r"""SELECT page_id, substr(regexp_replace(regexp_replace(regexp_replace(url, '[<>:"/\\|?*]', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+', '_', 'g'), 1, 100) AS safe_name,
+    printf('%03d_', page_id + 1) || substr(regexp_replace(regexp_replace(url, '[^\w\s-]', '', 'g'), '\s+', '_', 'g'), 1, 50) || '.txt' AS chapter_file,
+    replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM pages"""
+)
+def file_names(spark, sf_dir):
+    url = F.col("url")
+    return _table(spark, sf_dir, "pages", "page_id", "url").select("page_id", text.safe_filename(url).alias("safe_name"), text.chapter_filename(F.col("page_id") + 1, url).alias("chapter_file"), text.escape_markup(url).alias("escaped"))
+
+
+_TRIMMED = r"regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+_ENDS = r"""'[.!?]["”»)\s]'"""
+
+
+@query(
+    rf"""WITH t AS (SELECT doc_id, {_TRIMMED} AS t FROM documents), w AS (SELECT *, substr(t, 201, 100) AS w FROM t),
+    c AS (SELECT *, CASE WHEN regexp_matches(w, {_ENDS}) THEN 200 + strpos(w, regexp_extract(w, {_ENDS})) WHEN contains(w, ' ') THEN 300 - strpos(reverse(w), ' ') ELSE 300 END AS cut FROM w)
+    SELECT doc_id, CASE WHEN length(t) <= 300 THEN t ELSE regexp_replace(substr(t, 1, cut), '\s+$', '') END AS preview FROM c"""
+)
+def previews(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", text.trim_preview(F.col("text")).alias("preview"))
+
+
+@query(rf"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower({_H1}), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), '[^\w\s\p{{L}}\p{{N}}]', '', 'g') AS norm FROM pages")
+def normal_titles(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", text.normal_title(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("norm"))
+
+
+@query(r"SELECT count(*) AS lines, count(*) FILTER (regexp_matches(lower(w), '^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}$')) AS emails FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents)")
+def email_words(spark, sf_dir):
+    words = _documents(spark, sf_dir).select(F.explode(F.split("text", r"\s+", -1)).alias("w"))
+    return words.agg(F.count("*").alias("lines"), F.count_if(text.is_email(F.col("w"))).alias("emails"))
+
+
+@query(
+    f"""SELECT page_id, coalesce(lower(regexp_replace(url, '^.*/', '')) IN ({_quoted(rules.FILES_EXACT)}), false) AS front_file, regexp_matches(lower(substr(html, 1, 2000)), 'epub:type="({"|".join(rules.DROPPED_TYPES)})[" ]') AS skipped_type FROM pages"""
+)
+def skipped_pages(spark, sf_dir):
+    """Pages that a name or an epub:type rules out."""
+    return _table(spark, sf_dir, "pages").select("page_id", content.is_front_file(F.col("url")).alias("front_file"), content.has_skipped_type(F.col("html")).alias("skipped_type"))
+
+
+@query()
+def html_text(spark, sf_dir):
+    """Readable text of pages (a parser's work; tests compare with written cases)."""
+    pages = _table(spark, sf_dir, "pages", "page_id", "html")
+    out = pages.select("page_id", html.html_to_text(F.col("html")).alias("text"))
+    return out.select("page_id", F.md5("text").alias("digest"), text.char_count(F.col("text")).alias("chars"))
+
+
+@query()
+def html_titles(spark, sf_dir):
+    return _table(spark, sf_dir, "pages", "page_id", "html").select("page_id", html.html_title("html").alias("title"))
+
+
+@query(_CHAPTERS + " SELECT book_id, turn AS spine_pos, idx, title, word_count::BIGINT AS word_count, char_count FROM chapters")
+def chapter_numbers(spark, sf_dir):
+    return _chapters(spark, sf_dir).select("book_id", "spine_pos", "idx", "title", "word_count", "char_count")
+
+
+@query(_CHAPTERS + " SELECT book_id, count(*) AS chapters, sum(word_count)::BIGINT AS total_words, sum(char_count)::BIGINT AS total_chars, sum(word_count) / 150.0 AS minutes FROM chapters GROUP BY book_id")
+def book_totals(spark, sf_dir):
+    return chapters.book_totals(_chapters(spark, sf_dir))
+
+
+@query(_CHAPTERS + " SELECT book_id, count(*) AS chapters, sum(word_count)::BIGINT AS total_words FROM chapters WHERE idx % 2 = 1 GROUP BY book_id")
+def selected_chapters(spark, sf_dir):
+    """Totals of the chapters of a selection (here the odd ones)."""
+    all_of = _chapters(spark, sf_dir)
+    wanted = all_of.where("idx % 2 = 1").select("book_id", "idx")
+    return chapters.book_totals(chapters.selected(all_of, wanted)).select("book_id", "chapters", "total_words")
+
+
+@query(
+    _CHAPTERS + f""", good AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY turn) AS n FROM chapters WHERE word_count >= 80),
+    long AS (SELECT book_id, {_strip('text')} AS text, row_number() OVER (PARTITION BY book_id ORDER BY turn) AS n FROM raw WHERE length({_strip('text')}) >= 150),
+    p AS (SELECT b.book_id, coalesce((SELECT {_strip('text')} FROM good g WHERE g.book_id = b.book_id AND n = 2), (SELECT {_strip('text')} FROM good g WHERE g.book_id = b.book_id AND n = 1), (SELECT text FROM long l WHERE l.book_id = b.book_id AND n = 1)) AS text FROM (SELECT DISTINCT book_id FROM raw) b),
+    t AS (SELECT book_id, {_TRIMMED} AS t FROM p), w AS (SELECT *, substr(t, 201, 100) AS w FROM t),
+    c AS (SELECT *, CASE WHEN regexp_matches(w, {_ENDS}) THEN 200 + strpos(w, regexp_extract(w, {_ENDS})) WHEN contains(w, ' ') THEN 300 - strpos(reverse(w), ' ') ELSE 300 END AS cut FROM w)
+    SELECT book_id, coalesce(CASE WHEN length(t) <= 300 THEN t ELSE regexp_replace(substr(t, 1, cut), '\\s+$', '') END, '') AS preview FROM c"""
+)
+def book_previews(spark, sf_dir):
+    turns = _turns(spark, sf_dir).withColumnRenamed("spine_pos", "idx")
+    return chapters.preview(chapters.with_counts(turns))
+
+
+@query(
+    _CHAPTERS + """, parts AS (SELECT book_id, idx, CASE WHEN regexp_matches(title, '[.!?]$') THEN title ELSE title || '.' END || chr(10) || chr(10) || text AS part FROM chapters),
+    bodies AS (SELECT book_id, string_agg(part, chr(10) || chr(10) || '...' || chr(10) || chr(10) ORDER BY idx) AS body FROM parts GROUP BY book_id)
+    SELECT b.book_id, md5('Book ' || b.book_id || chr(10) || 'di unknown' || chr(10) || chr(10) || '...' || chr(10) || chr(10) || coalesce(body, '') || chr(10) || chr(10) || 'Fine.' || chr(10)) AS digest
+    FROM (SELECT DISTINCT book_id FROM raw) b LEFT JOIN bodies USING (book_id)"""
+)
+def book_text(spark, sf_dir):
+    return sink.book_text(_chapters(spark, sf_dir), _books(spark, sf_dir)).select("book_id", F.md5("text").alias("digest"))
+
+
+@query(
+    _CHAPTERS + """, rows AS (SELECT book_id, count(*) AS n, sum(word_count)::BIGINT AS words, list({'index': idx, 'title': title, 'file': printf('%03d_', idx) || title || '.txt', 'words': word_count, 'chars': char_count, 'estimated_minutes': round(word_count / 150.0, 1)} ORDER BY idx) AS chapters FROM chapters GROUP BY book_id)
+    SELECT book_id, to_json({'title': 'Book ' || book_id, 'author': 'unknown', 'language': 'en', 'total_chapters': n, 'total_words': words, 'estimated_duration_minutes': round(words / 150.0, 1), 'chapters': chapters})::VARCHAR AS json FROM rows"""
+)
+def manifests(spark, sf_dir):
+    return sink.manifest(_chapters(spark, sf_dir), _books(spark, sf_dir))
+
+
+@query(_CHAPTERS + " SELECT book_id, printf('%03d_', idx) || title || '.txt' AS file, md5(CASE WHEN regexp_matches(title, '[.!?]$') THEN title ELSE title || '.' END || chr(10) || chr(10) || text || chr(10)) AS digest FROM chapters")
+def chapter_files(spark, sf_dir):
+    return sink.chapter_files(_chapters(spark, sf_dir)).select("book_id", "file", F.md5("text").alias("digest"))
+
+
+_CODES = ", ".join(f"('{k}', '{v}')" for k, v in rules.LANGUAGES.items())
+_FIRST = ", ".join(f"('{k}', {v})" for k, v in rules.LANGUAGE_PRIORITY.items())
+
+
+@query(
+    f"""WITH names(code, name) AS (VALUES {_CODES}), first(code, p) AS (VALUES {_FIRST})
+    SELECT lang AS code, coalesce(any_value(n.name), lang) AS name, coalesce(any_value(f.p), 99) AS priority, count(*) AS documents
+    FROM documents d LEFT JOIN names n ON n.code = d.lang LEFT JOIN first f ON f.code = d.lang GROUP BY lang"""
+)
+def language_catalogue(spark, sf_dir):
+    counted = _table(spark, sf_dir, "documents", "lang").groupBy(F.col("lang").alias("code")).agg(F.count("*").alias("documents"))
+    return counted.select("code", catalogue.language_name(F.col("code")).alias("name"), catalogue.language_priority(F.col("code")).alias("priority"), "documents")
+
+
+@query(
+    f"""WITH names(code, name) AS (VALUES {_CODES}), v AS (SELECT DISTINCT lang, source, doc_id % 2 AS g FROM documents),
+    r AS (SELECT lang AS code, string_agg(CASE g WHEN 0 THEN 'Female' ELSE 'Male' END || ':' || source, ',' ORDER BY CASE g WHEN 0 THEN 'Female' ELSE 'Male' END, source) AS voices FROM v GROUP BY lang)
+    SELECT r.code, coalesce(n.name, r.code) AS name, voices FROM r LEFT JOIN names n USING (code)"""
+)
+def voice_catalogue(spark, sf_dir):
+    """Sources of each language as if they were its voices."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "lang", "source")
+    voices = docs.select(F.concat("lang", F.lit("-XX-"), F.replace("source", F.lit("-"), F.lit("_")), F.lit("Neural")).alias("short_name"), F.concat("lang", F.lit("-XX")).alias("locale"), F.when(F.col("doc_id") % 2 == 0, "Female").otherwise("Male").alias("gender")).distinct()
+    out = catalogue.voice_catalogue(voices)
+    return out.select("code", "name", F.array_join(F.transform("voices", lambda v: F.concat_ws(":", v["gender"], v["name"])), ",").alias("voices"))
+
+
+@query(
+    """WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL)
+    SELECT user_id, arg_max(event_type, {'n': n, 'f': -first}) AS event_type FROM c GROUP BY user_id"""
+)
+def most_frequent(spark, sf_dir):
+    """The most frequent kind of each user's events; ties: seen first."""
+    rows = _table(spark, sf_dir, "events", "user_id", "event_id", "event_type").select(F.col("user_id").alias("book_id"), F.lit("f").alias("file"), F.col("event_type").alias("level"), F.col("event_id").alias("pos"))
+    counts = rows.groupBy("book_id", "level").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    return counts.groupBy(F.col("book_id").alias("user_id")).agg(F.max_by("level", F.struct("n", -F.col("first"))).alias("event_type"))
+
+
+@query("SELECT source AS book_id, arg_max(doc_id::VARCHAR || '.jpg', {'s': n_chars, 'p': -doc_id}) AS cover FROM documents WHERE n_chars > 5000 GROUP BY source")
+def covers(spark, sf_dir):
+    """The largest document above 5,000 characters of each source, chosen as covers are."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "source", "n_chars")
+    entries = docs.select(F.col("source").alias("book_id"), F.col("doc_id").alias("pos"), F.concat(F.col("doc_id"), F.lit(".jpg")).alias("name"), F.col("n_chars").alias("file_size"), F.lit("").alias("media_type"), F.array().cast("array<string>").alias("properties"), F.lit(False).alias("is_meta_cover"))
+    return catalogue.cover(entries)
+
+
+@query(
+    _CHAPTERS + """, f AS (SELECT book_id, printf('%03d_part.mp3', turn) AS name, octet_length(encode(text)) * 100 AS size, row_number() OVER (PARTITION BY book_id ORDER BY turn) AS episode, count(*) OVER (PARTITION BY book_id) AS n, turn FROM raw)
+    SELECT f.book_id, episode::INTEGER AS episode, coalesce(c.title, 'Episode ' || episode) AS title, CASE WHEN c.title IS NULL THEN 'Episode ' || episode ELSE 'Chapter ' || f.turn || ': ' || c.title END AS description,
+    printf('%02d:%02d:%02d', greatest(1, size * 8 // 48000) // 3600, greatest(1, size * 8 // 48000) % 3600 // 60, greatest(1, size * 8 // 48000) % 60) AS duration,
+    strftime(TIMESTAMP '2026-03-01 12:00:00' - to_hours(CAST(n - episode AS INTEGER)), '%a, %d %b %Y %H:%M:%S +0000') AS pub_date FROM f LEFT JOIN chapters c ON c.book_id = f.book_id AND c.idx = f.turn"""
+)
+def feed_items(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    files = turns.select("book_id", F.format_string("%03d_part.mp3", "spine_pos").alias("name"), (F.octet_length("text") * 100).alias("file_size"))
+    items = catalogue.feed_items(files, _chapters(spark, sf_dir), F.lit("2026-03-01 12:00:00").cast("timestamp"), "https://example.com")
+    return items.select("book_id", "episode", "title", "description", "duration", "pub_date")
+
+
+@query()
+def name_identifiers(spark, sf_dir):
+    """Version 5 identifiers of page addresses (tests compare with the standard library)."""
+    return _table(spark, sf_dir, "pages", "page_id", "url").select("page_id", text.name_uuid(F.col("url")).alias("guid"))
+
+
+_SITE = ", ".join(f"('{c}', '{t}')" for c, t in rules.SITE_LANGUAGES.items())
+
+
+@query(
+    f"""WITH l(c, t) AS (VALUES {_SITE}), pages AS (SELECT 'https://example.com/' AS loc, 1.0::DOUBLE AS priority UNION ALL SELECT 'https://example.com/' || c || '/', 0.9 FROM l),
+    o AS (SELECT t AS hreflang, 'https://example.com/' || c || '/' AS href FROM l UNION ALL SELECT 'x-default', 'https://example.com/') SELECT * FROM pages CROSS JOIN o"""
+)
+def site_map(spark, sf_dir):
+    return catalogue.site_map(spark, "https://example.com").drop("place")
+
+
+@query(
+    """WITH h(id, header, want) AS (VALUES (1, 'it-IT,it;q=0.9,en;q=0.7', 'it'), (2, 'xx,de;q=0.3,fr;q=0.8', 'fr'), (3, 'pt', 'en'), (4, '', 'en'), (5, 'de;q=0.5,es;q=0.5', 'de'), (6, 'en;q=0,zh-Hans-CN', 'zh'))
+    SELECT id, want AS lang FROM h"""
+)
+def preferred_languages(spark, sf_dir):
+    rows = [(1, "it-IT,it;q=0.9,en;q=0.7"), (2, "xx,de;q=0.3,fr;q=0.8"), (3, "pt"), (4, ""), (5, "de;q=0.5,es;q=0.5"), (6, "en;q=0,zh-Hans-CN")]
+    return spark.createDataFrame(rows, "id int, header string").select("id", text.preferred_language(F.col("header")).alias("lang"))
+
+
+def _jobs(spark, sf_dir):
+    return _table(spark, sf_dir, "events", F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "event_id")
+
+
+@query("SELECT upper(event_type) AS operation, count(*) AS n, count(DISTINCT user_id) AS sessions, strftime(min(date_trunc('second', ts)), '%Y-%m-%d %H:%M:%S') AS first FROM events GROUP BY event_type")
+def activity_log(spark, sf_dir):
+    """Events written as log lines, read again and counted."""
+    lines = _jobs(spark, sf_dir).select(logs.format_activity(F.col("job_id").cast("string"), F.col("ts"), F.concat(F.lit('a "b" # '), "event_id"), F.upper("event_type")).alias("line"))
+    rows = lines.select(logs.parse_activity(F.col("line")).alias("a")).where("a is not null").select("a.*")
+    return rows.groupBy("operation").agg(F.count("*").alias("n"), F.countDistinct("session_id").alias("sessions"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first"))
+
+
+@query(
+    """WITH g AS (SELECT user_id AS job_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next_ts FROM events)
+    SELECT job_id, count(*) AS gaps, max(epoch_us(next_ts) - epoch_us(ts)) AS longest_us FROM g WHERE epoch_us(next_ts) - epoch_us(ts) > 60000000 GROUP BY job_id"""
+)
+def heartbeat_gaps(spark, sf_dir):
+    late = sessions.gaps(_jobs(spark, sf_dir))
+    return late.groupBy("job_id").agg(F.count("*").alias("gaps"), F.max(F.unix_micros("next_ts") - F.unix_micros("ts")).alias("longest_us"))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:00') AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def hourly_digest(spark, sf_dir):
+    out = sessions.digests(_jobs(spark, sf_dir))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:00").alias("hour"), "event_type", "n")
+
+
+_NOW = "2024-01-30 00:00:00"
+_STATUSES = ("analyzed", "generating", "done", "error", "cancelled")
+
+
+def _states(spark, sf_dir):
+    """One state per job from its events: the kind of the last one stands for the status."""
+    last = _jobs(spark, sf_dir).groupBy("job_id").agg(F.min("ts").alias("start_time"), F.max("ts").alias("last_poll"), F.max_by("event_id", "event_id").alias("e"))
+    when = lambda test: F.when(test, F.col("last_poll"))
+    return last.select(
+        "job_id", F.element_at(F.array(*map(F.lit, _STATUSES)), (F.col("e") % 5 + 1).cast("int")).alias("status"), (F.col("job_id") % 7 == 0).alias("email_registered"), "start_time", "last_poll",
+        when(F.col("e") % 5 == 2).alias("completed_at"), when(F.col("job_id") % 3 == 0).alias("downloaded_at"), when((F.col("job_id") % 14) == 0).alias("email_sent_at"),
+    )
+
+
+_STATES = """WITH last AS (SELECT user_id AS job_id, min(ts) AS start_time, max(ts) AS last_poll, max(event_id) AS e FROM events GROUP BY user_id),
+    s AS (SELECT job_id, ['analyzed', 'generating', 'done', 'error', 'cancelled'][e % 5 + 1] AS status, job_id % 7 = 0 AS email_registered, start_time, last_poll, CASE WHEN e % 5 = 2 THEN last_poll END AS completed_at,
+    CASE WHEN job_id % 3 = 0 THEN last_poll END AS downloaded_at, CASE WHEN job_id % 14 = 0 THEN last_poll END AS email_sent_at FROM last),
+    a AS (SELECT *, (epoch(TIMESTAMP '2024-01-30 00:00:00') - floor(epoch(last_poll))) / 60 AS idle, (epoch(TIMESTAMP '2024-01-30 00:00:00') - floor(epoch(start_time))) / 60 AS age FROM s)"""
+
+
+@query(
+    _STATES + """ SELECT job_id, status, CASE WHEN coalesce(CASE WHEN status = 'cancelled' THEN true WHEN email_registered AND status IN ('generating', 'analyzed') THEN false
+    WHEN status = 'done' THEN CASE WHEN email_sent_at IS NOT NULL THEN idle > 1440 WHEN email_registered THEN false WHEN idle < 60 THEN false ELSE idle > 60 END
+    WHEN status = 'error' THEN age > 60 WHEN status = 'analyzed' THEN idle > 5 ELSE false END, false) THEN 'remove' ELSE 'keep' END AS action,
+    status = 'generating' AND NOT email_registered AND idle * 60 > 60 AS heartbeat_lost FROM a"""
+)
+def job_cleanup(spark, sf_dir):
+    now = F.lit(_NOW).cast("timestamp")
+    return _states(spark, sf_dir).select("job_id", "status", sessions.cleanup_action(now).alias("action"), sessions.heartbeat_lost(now).alias("heartbeat_lost"))
+
+
+@query(_STATES + " SELECT job_id, status FROM a WHERE status IN ('generating', 'analyzed')")
+def active_jobs(spark, sf_dir):
+    return sessions.active(_states(spark, sf_dir)).select("job_id", "status")
+
+
+@query("SELECT event_id AS token FROM events WHERE epoch(TIMESTAMP '2024-01-30 00:00:00') - floor(epoch(ts)) <= 86700 AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+def live_tokens(spark, sf_dir):
+    """Tokens (events) that are not too old and whose job has a folder (a purchase)."""
+    jobs = _jobs(spark, sf_dir)
+    tokens = jobs.select(F.col("event_id").alias("token"), "job_id", F.col("ts").alias("created_at"))
+    return logs.live_tokens(tokens, F.lit(_NOW).cast("timestamp"), jobs.where("event_type = 'purchase'").select("job_id")).select("token")
+
+
+@query(
+    """SELECT event_id, printf('%02d:%02d:%02d', event_id // 3600, event_id % 3600 // 60, event_id % 60) AS clock, strftime(ts, '%a, %d %b %Y %H:%M:%S +0000') AS date,
+    CASE WHEN l // 3600 > 0 THEN '~' || (l // 3600) || 'h' || CASE WHEN l % 3600 // 60 > 0 THEN ' ' || (l % 3600 // 60) || 'min' ELSE '' END ELSE '~' || (l % 3600 // 60) || ' min' END AS left_over
+    FROM (SELECT *, greatest(60, 86400 - event_id * 37) AS l FROM events)"""
+)
+def times(spark, sf_dir):
+    rows = _jobs(spark, sf_dir)
+    return rows.select("event_id", text.clock(F.col("event_id")).alias("clock"), text.rfc2822(F.col("ts")).alias("date"), text.remaining(F.col("event_id") * 37).alias("left_over"))
+
+
+@query(
+    """WITH toc AS (SELECT doc_id // 4 AS book_id, 'f' || (doc_id % 3) AS file, doc_id AS pos, split_part(text, chr(10), 1) AS title FROM documents)
+    SELECT book_id, file AS href_file, arg_max(title, pos) AS title, count(*) AS entries FROM toc GROUP BY book_id, file"""
+)
+def file_titles(spark, sf_dir):
+    """First lines as entries of contents: the last one of a file names it."""
+    toc = _documents(spark, sf_dir).select((F.col("doc_id") - F.col("doc_id") % 4).alias("b"), "doc_id", "text")
+    toc = toc.select((F.col("b") / 4).cast("long").alias("book_id"), F.concat(F.lit("f"), F.col("doc_id") % 3).alias("href_file"), F.col("doc_id").alias("pos"), F.substring_index("text", "\n", 1).alias("title"))
+    counts = toc.groupBy("book_id", "href_file").agg(F.count("*").alias("entries"))
+    return chapters.file_titles(toc).join(counts, ["book_id", "href_file"])
+
+
+@query(
+    r"""WITH h AS (SELECT page_id % 10 AS book_id, page_id AS pos, regexp_replace(lower(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '[^\w\s\p{L}\p{N}]', '', 'g') AS n FROM pages),
+    w AS (SELECT *, regexp_replace(regexp_replace(n, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS norm FROM h),
+    t AS (SELECT book_id, pos AS toc_pos, norm AS toc, list_filter(list_distinct(string_split(norm, ' ')), lambda x: x <> '') AS words FROM w),
+    m AS (SELECT w.book_id, w.pos, toc_pos, CASE WHEN length(norm) < 3 OR toc = '' THEN NULL WHEN norm = toc THEN 1 WHEN contains(norm, toc) OR contains(toc, norm) THEN 2
+    WHEN len(words) >= 2 AND len(list_intersect(words, string_split(norm, ' '))) / len(words) >= 0.6 THEN 3 END AS rank FROM w JOIN t ON w.book_id = t.book_id)
+    SELECT pos, (min({'r': rank, 'p': toc_pos})).p AS toc_pos FROM m WHERE rank IS NOT NULL GROUP BY book_id, pos"""
+)
+def heading_matches(spark, sf_dir):
+    """Headings of pages matched with those of their book."""
+    pages = _table(spark, sf_dir, "pages", "page_id", "html").select((F.col("page_id") % 10).alias("book_id"), F.lit("f").alias("file"), F.col("page_id").alias("pos"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"))
+    toc = pages.select("book_id", F.col("file").alias("href_file"), "pos", F.col("heading").alias("title"))
+    return chapters.match_headings(pages, toc).select("pos", "toc_pos")
