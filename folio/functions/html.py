@@ -13,6 +13,8 @@ from folio.functions import rules
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _DROPPED, _BLOCK, _HEADINGS = frozenset(rules.DROPPED_TAGS), frozenset(rules.BLOCK_TAGS), frozenset(rules.HEADINGS)
+#: A paragraph ends where one of these begins.
+_ENDS_P = (_BLOCK - {"br"}) | frozenset("ul ol dl table form header footer nav aside main pre address".split())
 _ROLES, _TYPES = frozenset(rules.DROPPED_ROLES), frozenset(rules.DROPPED_TYPES)
 
 
@@ -41,8 +43,8 @@ class _Reader(HTMLParser):
         self.out.append((0, text))
 
     def handle_starttag(self, tag, attrs):
-        if tag == "p" or tag in _BLOCK and tag != "br":
-            self.close("p", within=("li", "div", "section", "article", "blockquote"))
+        if tag in _ENDS_P:
+            self.close("p", within=("li", "div", "section", "article", "blockquote", "ul", "ol", "td"))
         if tag == "li":
             self.close("li", within=("ul", "ol"))
         goes = dropped(tag, {k: v or "" for k, v in attrs})

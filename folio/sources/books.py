@@ -135,7 +135,7 @@ def _read(batches):
             try:
                 row = _epub(path, bytes(raw))
             except (zipfile.BadZipFile, StopIteration, KeyError, ElementTree.ParseError) as e:  # a damaged book is a row that says so
-                row = {"book_id": path, "error": f"{type(e).__name__}: {e}"}
+                row = dict.fromkeys(names) | {"book_id": path, "error": f"{type(e).__name__}: {e}"}
             yield pd.DataFrame([row], columns=names)
 
 
