@@ -1,0 +1,25 @@
+"""The stages of the pipeline, each on what the stage before kept."""
+
+import corpus_pipeline
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sizes = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.columns == COLUMNS
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert docs.select("doc_id").distinct().count() == docs.count()
+        sizes.append(docs.count())
+    assert sizes[1] <= sizes[0] and sizes[2] <= sizes[1] and sizes[2] == sizes[3] == sizes[4] > sizes[0] / 2
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_empty(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf_dir).count() == 0
