@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folio.functions import rules
-from folio.functions.text import collapse, strip, word_count
+from folio.functions.text import collapse, let, strip, word_count
 
 
 def _any(c: Column, parts) -> Column:
@@ -19,22 +19,27 @@ def _any(c: Column, parts) -> Column:
 def is_content(text: Column, title: Column | None = None, *, least_chars: int = 100, least_words: int = 30) -> Column:
     """Whether a text is a chapter: long enough, no title of front or back matter, not a list
     of short lines, of page references or of books, no colophon. Null texts are none."""
-    bare = strip(F.coalesce(text, F.lit("")))
+    titled = F.lit(False) if title is None else _any(F.lower(F.coalesce(title, F.lit(""))), rules.SKIPPED_TITLES)
+    return let(strip(F.coalesce(text, F.lit(""))), lambda bare: _is_prose(bare, least_chars, least_words)) & ~titled
+
+
+def _is_prose(bare: Column, least_chars: int, least_words: int) -> Column:
     lines = F.filter(F.transform(F.split(bare, "\n", -1), strip), lambda x: x != "")
-    n = F.size(lines)
-    share = lambda test: F.size(F.filter(lines, test))
     paged = lambda x: x.rlike(r"(?dU)\b\d{1,4}\s*$") | x.rlike(r"(?dU)\.\s*\.\s*\.\s*\d")
     cited = lambda x: x.rlike(r"(?dU)\b(19|20)\d{2}\b") & x.rlike(r"(?dU)[,;]\s") & (F.length(x) > 40)
+
+    def listed(held: Column) -> Column:
+        n = F.size(held)
+        share = lambda test: F.size(F.filter(held, test)) / n
+        short = share(lambda x: F.length(x) < 15)
+        return ~((n > 10) & (short > 0.7)) & ~((n > 5) & (share(paged) > 0.4)) & ~((n > 5) & (share(cited) > 0.5))
+
     head = F.lower(F.substring(bare, 1, 500))
     signals = sum((F.contains(head, F.lit(s)).cast("int") for s in rules.COLOPHON), F.lit(0))
-    titled = F.lit(False) if title is None else _any(F.lower(F.coalesce(title, F.lit(""))), rules.SKIPPED_TITLES)
     return (
         (F.length(bare) >= least_chars)
         & (word_count(bare) >= least_words)
-        & ~titled
-        & ~((n > 10) & (share(lambda x: F.length(x) < 15) / n > 0.7))
-        & ~((n > 5) & (share(paged) / n > 0.4))
-        & ~((n > 5) & (share(cited) / n > 0.5))
+        & let(lines, listed)
         & (signals < 2)
     )
 

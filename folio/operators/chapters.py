@@ -95,7 +95,8 @@ def build_book(pages: DataFrame, toc: DataFrame) -> DataFrame:
     split = parts.join(place, ["book_id", "file"]).select("book_id", "file", "spine_pos", "section", "title", "text")
     whole = kept.join(split, ["book_id", "file"], "left_anti").join(file_titles(titled).withColumnRenamed("href_file", "file"), ["book_id", "file"], "left")
     whole = whole.select("book_id", "file", F.col("pos").alias("spine_pos"), F.lit(0).cast("long").alias("section"), F.coalesce("title", html_title("html")).alias("title"), html_to_text(F.col("html")).alias("text"))
-    out = split.union(whole).withColumn("text", text.clean_text(F.col("text")))
+    # explode keeps the cleaning from being repeated in every later expression on the text
+    out = split.union(whole).select("book_id", "file", "spine_pos", "section", "title", F.explode(F.array(text.clean_text(F.col("text")))).alias("text"))
     return finish_text(number_chapters(out)).select("book_id", "idx", "title", "text", "word_count", "char_count", F.col("file").alias("source_file"))
 
 
