@@ -51,6 +51,13 @@ def bags(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.
     return of[edge], shingle[edge], np.diff(np.append(edge, len(of)))
 
 
+def bag_hash(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, rows: int, salt: int) -> np.ndarray:
+    """A hash of each row's multiset; sums do not depend on order."""
+    total = np.zeros(rows, np.uint64)
+    np.add.at(total, row, common.mix64(common.mix64(shingle + np.uint64(0xC2B2AE3D27D4EB4F) * count.astype(np.uint64)) + np.uint64(salt)))
+    return total.view(np.int64)
+
+
 def _uniform(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
@@ -101,12 +108,7 @@ def _signed(width: int, bands: int, rows: int):
                 band = np.zeros((n, bands), np.uint64)
                 for j in range(rows):
                     band = common.mix64(band * np.uint64(0x9E3779B97F4A7C15) + signature[:, j::rows] + np.arange(bands, dtype=np.uint64)[None] * np.uint64(7919))
-                keyed = common.mix64(shingle + np.uint64(0xC2B2AE3D27D4EB4F) * count.astype(np.uint64))
-                hashes = []
-                for salt in (1, 2):  # sums do not depend on order
-                    total = np.zeros(n, np.uint64)
-                    np.add.at(total, row, common.mix64(keyed + np.uint64(salt)))
-                    hashes.append(pa.array(total.view(np.int64)))
+                hashes = [pa.array(bag_hash(row, shingle, count, n, salt)) for salt in (1, 2)]
                 size = np.bincount(row, weights=count, minlength=n).astype(np.int64)
                 values = pa.array(np.ascontiguousarray(band).view(np.int64).ravel())
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), values)
@@ -141,6 +143,33 @@ def _verified(width: int, similarity: float):
     return run
 
 
+def _elements(width: int):
+    """The elements of the texts whose multiset is the node's (an id may have other texts too)."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in common.pieces(whole, "text"):
+                row, shingle, count = bags(*common.byte_view(batch.column(2)), width)
+                bag = batch.column(1).to_numpy()
+                mine = (bag_hash(row, shingle, count, len(bag), 1) == bag)[row]
+                row, shingle, count = row[mine], shingle[mine], count[mine]
+                node = batch.column(0).to_numpy()[row]
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(bag[row]), pa.array(shingle.view(np.int64)), pa.array(count.astype(np.int64))], names=["node", "bag1", "shingle", "weight"])
+
+    return run
+
+
+def shared_sizes(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """node, size and reach of the nodes (node, bag1, size): reach is the weight of the elements
+    that any other of these nodes has too.
+
+    What two nodes have in common is at most the lesser reach, which rules pairs out exactly."""
+    elements = texts.join(nodes, texts["id"] == nodes["node"]).select("node", "bag1", "text").mapInArrow(_elements(width), "node long, bag1 long, shingle long, weight long")
+    once = elements.groupBy("shingle").agg(F.count("*").alias("n"), F.min(F.struct("node", "bag1", "weight")).alias("e")).where("n = 1")
+    own = once.groupBy("e.node", "e.bag1").agg(F.sum("e.weight").alias("own"))
+    return nodes.join(own, ["node", "bag1"], "left").groupBy("node", "size").agg(F.max(F.col("size") - F.coalesce("own", F.lit(0))).alias("reach"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and class (its component's least node) of all nodes of the edges (u, v).
 
@@ -176,39 +205,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = common.cut(members.join(sizes, "bucket"), "buckets")  # only what shares a bucket
 
     def tested(pairs: DataFrame) -> DataFrame:
-        """Of candidate pairs (u, su, v, sv) the links; sizes alone rule out many."""
-        close = pairs.where(f"u < v and least(su, sv) >= {similarity} * greatest(su, sv)").select("u", "v").distinct()
-        first = close.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
+        """Of candidate pairs (u, v) the links."""
+        first = pairs.distinct().join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
         second = first.join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
         return common.cut(second.select("u", "v", "a", "b").mapInArrow(_verified(width, similarity), "u long, v long, linked boolean").where("linked").select("u", "v"), "links")
 
-    def sides(a: str, b: str):
-        return [F.least(f"{a}.node", f"{b}.node").alias("u"), F.when(F.col(f"{a}.node") < F.col(f"{b}.node"), F.col(f"{a}.size")).otherwise(F.col(f"{b}.size")).alias("su"),
-                F.greatest(f"{a}.node", f"{b}.node").alias("v"), F.when(F.col(f"{a}.node") < F.col(f"{b}.node"), F.col(f"{b}.size")).otherwise(F.col(f"{a}.size")).alias("sv")]
+    def met_in_bucket(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:
+        """Pairs of a bucket under a condition; what either can share at all rules many out."""
+        near = F.expr(f"a.bucket = b.bucket and {condition} and least(a.reach, b.reach) >= {similarity / (1 + similarity) - 1e-9!r} * (a.size + b.size)")
+        return left.alias("a").join(right.alias("b"), near).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
 
+    met = met.withColumn("reach", F.col("size"))
     small = met.where(f"n <= {SMALL}")
-    pairs = small.alias("a").join(small.alias("b"), F.expr("a.bucket = b.bucket and a.node < b.node")).select(*sides("a", "b"))
-    large = met.where(f"n > {SMALL}").select("bucket", "node", "size")
-    centre = large.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("c"))
-    star = lambda members, centres: members.alias("a").join(centres.select("bucket", "c.*").alias("b"), "bucket").where("a.node <> b.node").select(*sides("a", "b"))
-    links = tested(pairs.union(star(large, centre)))
+    large = met.where(f"n > {SMALL}").select("bucket", "node", "size", "reach")
+    centre = large.groupBy("bucket").agg(F.min(F.struct("node", "size", "reach")).alias("c")).select("bucket", "c.*")
+    links = tested(met_in_bucket(small, small, "a.node < b.node").union(met_in_bucket(large, centre, "a.node <> b.node")))
     classes = components(links)
-    for turn in range(1, STARS + 1):
-        # buckets whose texts are not yet of one class
-        named = large.join(classes, "node", "left").select("bucket", "node", "size", F.coalesce("class", "node").alias("class"))
+
+    def still_open(large: DataFrame) -> DataFrame:
+        """Members, with their class, of the buckets whose texts are not yet of one class."""
+        named = large.join(classes, "node", "left").select("bucket", "node", "size", "reach", F.coalesce("class", "node").alias("class"))
         open_ = named.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket")
-        large = common.cut(named.join(open_, "bucket"), "open")
+        return common.cut(named.join(open_, "bucket"), "open")
+
+    for turn in range(STARS + 1):
+        large = still_open(large)
         if large.isEmpty():
             break
+        if turn == 0:  # a text with too much of its own is linked to none of these
+            asked = nodes.join(large.select("node").distinct(), "node").select("node", "bag1", "size")
+            reach = common.cut(shared_sizes(texts, asked, width).where(f"reach >= {similarity - 1e-9!r} * size"), "reach")
+            large = large.drop("reach", "class").join(reach, ["node", "size"]).select("bucket", "node", "size", "reach")
+            continue
         if turn < STARS:  # another centre: the member of least hash in this turn
-            centre = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "class")).alias("c"))
-            more = large.alias("a").join(centre.select("bucket", "c.node", "c.size", "c.class").alias("b"), "bucket").where("a.class <> b.class").select(*sides("a", "b"))
+            centre = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "reach", "class")).alias("c"))
+            other = centre.select("bucket", "c.node", "c.size", "c.reach", "c.class")
         else:  # those outside a bucket's largest class against all of other classes in it
             held = large.groupBy("bucket", "class").agg(F.count("*").alias("n"))
             most = held.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("m")).select("bucket", F.col("m.class").alias("main"))
-            rest = large.join(most, "bucket").where("class <> main").drop("main")
-            more = large.alias("a").join(rest.alias("b"), F.expr("a.bucket = b.bucket and a.class <> b.class and least(a.size, b.size) >= %r * greatest(a.size, b.size)" % similarity)).select(*sides("a", "b"))
-        found = tested(more)
+            other = large.join(most, "bucket").where("class <> main").drop("main")
+        found = tested(met_in_bucket(large, other, "a.class <> b.class"))
         large = large.drop("class")
         if not found.isEmpty():
             links = links.union(found)

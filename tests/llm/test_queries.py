@@ -166,6 +166,31 @@ def test_near_duplicates(docs, empty):
     assert bagminhash.near_duplicates(empty).count() == 0
 
 
+def test_bagminhash_of_graded_copies(spark):
+    r, base = np.random.default_rng(11), prose(150, 21).split()
+    texts = {}
+    for d in range(60):
+        words = list(base)
+        for i in r.choice(len(base), d // 4, replace=False):
+            words[i] = f"edit{d}x{i}"
+        texts[d] = " ".join(words[: 150 - d % 3] if d % 5 else words + ["tail"] * (d % 7))
+    rows = [*texts.items(), (7, texts[0]), (7, prose(40, 3))]
+    bags = [(d, bag(t)) for d, t in rows]
+    parent = {d: d for d in texts}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for d, a in bags:
+        for e, b in bags:
+            if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                parent[find(max(d, e))] = find(min(d, e))
+    got = {x.id: x.class_id for x in bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    classes = lambda of: {frozenset(d for d in texts if of(d) == of(x)) for x in texts}
+    assert classes(find) == classes(got.get)
+    assert 1 < len(classes(find)) < 60
+
+
 def test_bagminhash_is_unbiased():
     weights = [{i: 1 + i % 4 for i in range(80)}, {i: 1 + (i % 4 if i < 60 else 0) for i in range(10, 90)}]
     row = np.repeat([0, 1], [len(w) for w in weights])
