@@ -21,8 +21,10 @@ WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 4
 #: In buckets of at most so many different texts all pairs are looked at; in larger ones stars.
 SMALL = 4
-#: Star rounds with another centre each before the rest of a bucket is compared exactly.
-STARS = 4
+#: Star rounds, with another centre each; the last one compares the rest of a bucket exactly instead.
+STARS = 3
+#: What texts share with other classes is counted in so many parts.
+PARTS = 64
 
 
 def bags(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,15 +161,21 @@ def _elements(width: int):
     return run
 
 
-def shared_sizes(texts: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, size and reach of the nodes (node, bag1, size): reach is the weight of the elements
-    that any other of these nodes has too.
+def shared_sizes(elements: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, size, reach and parts of the nodes (node, class) with these elements: reach is the
+    weight of the elements that a node of another class has too, parts the same by hash of the element.
 
-    What two nodes have in common is at most the lesser reach, which rules pairs out exactly."""
-    elements = texts.join(nodes, texts["id"] == nodes["node"]).select("node", "bag1", "text").mapInArrow(_elements(width), "node long, bag1 long, shingle long, weight long")
-    once = elements.groupBy("shingle").agg(F.count("*").alias("n"), F.min(F.struct("node", "bag1", "weight")).alias("e")).where("n = 1")
-    own = once.groupBy("e.node", "e.bag1").agg(F.sum("e.weight").alias("own"))
-    return nodes.join(own, ["node", "bag1"], "left").groupBy("node", "size").agg(F.max(F.col("size") - F.coalesce("own", F.lit(0))).alias("reach"))
+    What two nodes of different classes have in common is at most the sum of the lesser parts,
+    which rules pairs out exactly."""
+    named = elements.join(nodes.distinct(), "node")
+    held = named.groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.min(F.struct("node", "bag1", "weight")).alias("e")).where("lo = hi")
+    once = held.where("n = 1").select("e.node", "e.bag1", "shingle", "e.weight")
+    within = named.join(held.where("n > 1").select("shingle"), "shingle", "left_semi").select("node", "bag1", "shingle", "weight")
+    count = lambda rows, sign: rows.select("node", "bag1", F.expr(f"cast(pmod(shingle, {PARTS}) as int)").alias("part"), F.col("weight").alias("size"), (F.col("weight") * sign).alias("reach"))
+    both = count(named, 1).union(count(once.union(within), -1).withColumn("size", F.lit(0).cast("long")))
+    parts = both.groupBy("node", "bag1", "part").agg(F.sum("size").alias("size"), F.sum("reach").alias("reach"))
+    each = parts.groupBy("node", "bag1").agg(F.sum("size").alias("size"), F.sum("reach").alias("reach"), F.map_from_entries(F.collect_list(F.struct("part", "reach"))).alias("m"))  # PARTS entries at most
+    return each.select("node", "size", "reach", F.expr(f"transform(sequence(0, {PARTS - 1}), p -> coalesce(m[p], 0L))").alias("parts"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,8 +219,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return common.cut(second.select("u", "v", "a", "b").mapInArrow(_verified(width, similarity), "u long, v long, linked boolean").where("linked").select("u", "v"), "links")
 
     def met_in_bucket(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:
-        """Pairs of a bucket under a condition; what either can share at all rules many out."""
-        near = F.expr(f"a.bucket = b.bucket and {condition} and least(a.reach, b.reach) >= {similarity / (1 + similarity) - 1e-9!r} * (a.size + b.size)")
+        """Pairs of a bucket under a condition; what they can share at all rules many out."""
+        least = f"{similarity / (1 + similarity) - 1e-9!r} * (a.size + b.size)"
+        near = f"a.bucket = b.bucket and {condition} and least(a.reach, b.reach) >= {least}"
+        if "parts" in left.columns:
+            near += f" and aggregate(zip_with(a.parts, b.parts, (x, y) -> least(x, y)), 0L, (x, y) -> x + y) >= {least}"
+        near = F.expr(near)
         return left.alias("a").join(right.alias("b"), near).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
 
     met = met.withColumn("reach", F.col("size"))
@@ -224,22 +236,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def still_open(large: DataFrame) -> DataFrame:
         """Members, with their class, of the buckets whose texts are not yet of one class."""
-        named = large.join(classes, "node", "left").select("bucket", "node", "size", "reach", F.coalesce("class", "node").alias("class"))
+        named = large.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
         open_ = named.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("bucket")
         return common.cut(named.join(open_, "bucket"), "open")
 
-    for turn in range(STARS + 1):
+    elements = None
+    for turn in range(1, STARS + 1):
         large = still_open(large)
         if large.isEmpty():
             break
-        if turn == 0:  # a text with too much of its own is linked to none of these
-            asked = nodes.join(large.select("node").distinct(), "node").select("node", "bag1", "size")
-            reach = common.cut(shared_sizes(texts, asked, width).where(f"reach >= {similarity - 1e-9!r} * size"), "reach")
-            large = large.drop("reach", "class").join(reach, ["node", "size"]).select("bucket", "node", "size", "reach")
-            continue
-        if turn < STARS:  # another centre: the member of least hash in this turn
-            centre = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "reach", "class")).alias("c"))
-            other = centre.select("bucket", "c.node", "c.size", "c.reach", "c.class")
+        asked = large.select("node", "class").distinct()
+        if elements is None:
+            kept = texts.join(nodes.join(asked, "node").select("node", "bag1"), texts["id"] == F.col("node")).select("node", "bag1", "text")
+            elements = common.cut(kept.mapInArrow(_elements(width), "node long, bag1 long, shingle long, weight long"), "elements")
+        # a text with too much that no other class has is linked to none of them
+        reach = common.cut(shared_sizes(elements, asked).where(f"reach >= {similarity - 1e-9!r} * size"), "reach")
+        large = still_open(large.select("bucket", "node", "size").distinct().join(reach, ["node", "size"]))
+        if turn < STARS:  # another centre: first the member with the least of its own, then the one of least hash
+            rank = F.struct((F.col("size") - F.col("reach")) / F.col("size"), "size") if turn == 1 else F.struct(F.xxhash64("node", F.lit(turn)))
+            centre = large.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "node", "size", "reach", "class", "parts")).alias("c"))
+            other = centre.select("bucket", "c.node", "c.size", "c.reach", "c.class", "c.parts")
         else:  # those outside a bucket's largest class against all of other classes in it
             held = large.groupBy("bucket", "class").agg(F.count("*").alias("n"))
             most = held.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("m")).select("bucket", F.col("m.class").alias("main"))
