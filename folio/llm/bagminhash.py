@@ -22,7 +22,7 @@ BANDS, ROWS = 25, 4
 #: In buckets of at most so many different texts all pairs are looked at; in larger ones stars.
 SMALL = 4
 #: Star rounds, with another centre each; the last one compares the rest of a bucket exactly instead.
-STARS = 3
+STARS = 2
 #: What texts share with other classes is counted in so many parts.
 PARTS = 64
 
