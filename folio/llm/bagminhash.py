@@ -161,9 +161,10 @@ def _elements(width: int):
     return run
 
 
-def shared_sizes(elements: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, size, reach and parts of the nodes (node, class) with these elements: reach is the
-    weight of the elements that a node of another class has too, parts the same by hash of the element.
+def shared_sizes(elements: DataFrame, nodes: DataFrame, least: float = 0.0) -> DataFrame:
+    """node, bag1, reach and parts of the nodes (node, class) with these elements: reach is the
+    weight of the elements that a node of another class has too, parts the same by hash of the element;
+    only those whose reach is at least this share of their weight.
 
     What two nodes of different classes have in common is at most the sum of the lesser parts,
     which rules pairs out exactly."""
@@ -175,7 +176,7 @@ def shared_sizes(elements: DataFrame, nodes: DataFrame) -> DataFrame:
     both = count(named, 1).union(count(once.union(within), -1).withColumn("size", F.lit(0).cast("long")))
     parts = both.groupBy("node", "bag1", "part").agg(F.sum("size").alias("size"), F.sum("reach").alias("reach"))
     each = parts.groupBy("node", "bag1").agg(F.sum("size").alias("size"), F.sum("reach").alias("reach"), F.map_from_entries(F.collect_list(F.struct("part", "reach"))).alias("m"))  # PARTS entries at most
-    return each.select("node", "size", "reach", F.expr(f"transform(sequence(0, {PARTS - 1}), p -> coalesce(m[p], 0L))").alias("parts"))
+    return each.where(f"reach >= {least - 1e-9!r} * size").select("node", "bag1", "reach", F.expr(f"transform(sequence(0, {PARTS - 1}), p -> coalesce(m[p], 0L))").alias("parts"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -208,7 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = signed.where("size > 0")
     nodes = full.groupBy("bag1", "bag2").agg(F.min("id").alias("node"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = common.cut(nodes, "nodes")
-    members = nodes.select("node", "size", F.explode("bands").alias("bucket"))
+    members = nodes.select("node", "bag1", "size", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
     met = common.cut(members.join(sizes, "bucket"), "buckets")  # only what shares a bucket
 
@@ -229,7 +230,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     met = met.withColumn("reach", F.col("size"))
     small = met.where(f"n <= {SMALL}")
-    large = met.where(f"n > {SMALL}").select("bucket", "node", "size", "reach")
+    large = met.where(f"n > {SMALL}").select("bucket", "node", "bag1", "size", "reach")
     centre = large.groupBy("bucket").agg(F.min(F.struct("node", "size", "reach")).alias("c")).select("bucket", "c.*")
     links = tested(met_in_bucket(small, small, "a.node < b.node").union(met_in_bucket(large, centre, "a.node <> b.node")))
     classes = components(links)
@@ -248,10 +249,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         asked = large.select("node", "class").distinct()
         if elements is None:
             kept = texts.join(nodes.join(asked, "node").select("node", "bag1"), texts["id"] == F.col("node")).select("node", "bag1", "text")
-            elements = common.cut(kept.mapInArrow(_elements(width), "node long, bag1 long, shingle long, weight long"), "elements")
+            # rows that repeat a node's text, or only its multiset, count once
+            elements = common.cut(kept.mapInArrow(_elements(width), "node long, bag1 long, shingle long, weight long").distinct(), "elements")
         # a text with too much that no other class has is linked to none of them
-        reach = common.cut(shared_sizes(elements, asked).where(f"reach >= {similarity - 1e-9!r} * size"), "reach")
-        large = still_open(large.select("bucket", "node", "size").distinct().join(reach, ["node", "size"]))
+        reach = common.cut(shared_sizes(elements, asked, similarity), "reach")
+        large = still_open(large.select("bucket", "node", "bag1", "size").distinct().join(reach, ["node", "bag1"]))
         if turn < STARS:  # another centre: first the member with the least of its own, then the one of least hash
             rank = F.struct((F.col("size") - F.col("reach")) / F.col("size"), "size") if turn == 1 else F.struct(F.xxhash64("node", F.lit(turn)))
             centre = large.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "node", "size", "reach", "class", "parts")).alias("c"))

@@ -191,6 +191,28 @@ def test_bagminhash_of_graded_copies(spark):
     assert 1 < len(classes(find)) < 60
 
 
+def test_bagminhash_of_repeated_rows(spark):
+    base = prose(150, 21).split()
+    texts = {0: " ".join(base)}  # the centre of most buckets, near to none
+    for d in range(1, 31):
+        words = list(base)
+        words[4 * d : 4 * d + 20] = [f"edit{d}x{i}" for i in range(20)]
+        texts[d], texts[100 + d] = " ".join(words), " ".join([*words[:-1], "tail"])
+    bags, parent = {d: bag(t) for d, t in texts.items()}, {d: d for d in texts}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for d, a in bags.items():
+        for e, b in bags.items():
+            if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                parent[find(max(d, e))] = find(min(d, e))
+    rows = [*texts.items(), *texts.items(), *((d, t.replace(" ", "  ")) for d, t in texts.items() if d % 3 == 0)]
+    got = {x.id: x.class_id for x in bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=8, rows=1).collect()}
+    classes = lambda of: {frozenset(d for d in texts if of(d) == of(x)) for x in texts}
+    assert classes(find) == classes(got.get)
+
+
 def test_bagminhash_is_unbiased():
     weights = [{i: 1 + i % 4 for i in range(80)}, {i: 1 + (i % 4 if i < 60 else 0) for i in range(10, 90)}]
     row = np.repeat([0, 1], [len(w) for w in weights])
