@@ -5,7 +5,9 @@ least-hashed inner string of SEED bytes is its anchor, so equal windows have equ
 The windows of one anchor form a cell; cells that are equal as a whole are counted by a
 plain aggregation. Only where an anchor occurs in cells that differ are their bytes brought
 together: there a suffix array is built, and from the previous and next smaller positions
-in suffix order comes the longest earlier (and longest other) match of every window.
+in suffix order comes the longest earlier (and longest other) match of every window. Where
+they are more than GROUP, their windows are counted by two hashes instead, so that no task
+has to hold a group.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 from folio.llm import common
 
 LENGTH, SEED = 200, 32
-#: Groups of more different cells than this (about SORT_BYTES) are dealt window by window instead.
+#: In groups of more different cells than this (about SORT_BYTES) windows are counted by their hashes instead.
 GROUP = 4000
+#: Windows that stand in many of such cells are dealt to so many tasks.
+SALTS = 32
 #: Bytes of cells that a task sorts at once (plus one group).
 SORT_BYTES = 1 << 20
 #: A place and its number of windows (under PLACE) go as one number.
@@ -84,7 +88,7 @@ def _anchored(length: int, seed: int):
 
 
 def _segments(length: int):
-    """Bytes of the wanted cells: one piece a cell, or of large groups one a window."""
+    """Bytes of the wanted cells, one piece a cell."""
 
     def run(batches):
         for batch in batches:
@@ -93,18 +97,10 @@ def _segments(length: int):
             held = 0
             for i, wanted in enumerate(batch.column(3).to_pylist()):
                 for w in wanted:
-                    stretch = raw[i][w["pos"] : w["pos"] + w["n"] + length - 1]
-                    if w["large"]:
-                        data = np.frombuffer(stretch, np.uint8)
-                        start = np.arange(w["n"])
-                        bucket = common.span_hash(common.prefix_hash(data), start, start + length).view(np.int64).tolist()
-                        cuts = [(b, w["pos"] + k, 1, stretch[k : k + length]) for k, b in enumerate(bucket)]
-                    else:
-                        cuts = [(w["gram"], w["pos"], w["n"], stretch)]
-                    for bucket, pos, n, piece in cuts:
-                        for column, value in zip(out, (bucket, batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), pos, n, piece)):
-                            column.append(value)
-                        held += len(piece)
+                    piece = raw[i][w["pos"] : w["pos"] + w["n"] + length - 1]
+                    for column, value in zip(out, (w["gram"], batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), w["pos"], w["n"], piece)):
+                        column.append(value)
+                    held += len(piece)
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _SEGMENT_TYPES)], names=_SEGMENT_NAMES)
                     out, held = [[], [], [], [], [], []], 0
@@ -113,6 +109,25 @@ def _segments(length: int):
     return run
 
 
+def _windows(length: int):
+    """Two hashes of each window of the wanted cells, and where it stands."""
+
+    def run(batches):
+        for batch in batches:
+            ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            raw = batch.column(2).cast(pa.binary()).to_pylist()
+            for i, wanted in enumerate(batch.column(3).to_pylist()):
+                parts = []
+                for w in wanted:
+                    data = np.frombuffer(raw[i], np.uint8, w["n"] + length - 1, w["pos"])
+                    start = np.arange(w["n"])
+                    parts.append([w["pos"] + start, *(common.span_hash(common.prefix_hash(data, seed), start, start + length).view(np.int64) for seed in (1, 2))])
+                pos, one, two = (np.concatenate(x) for x in zip(*parts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), ids[i])), pa.array(np.full(len(pos), keys[i])), pa.array(pos), pa.array(one), pa.array(two)], names=["id", "key", "pos", "one", "two"])
+
+    return run
+
+
 _SEGMENT_NAMES = ["bucket", "id", "key", "pos", "n", "bytes"]
 _SEGMENT_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
@@ -251,13 +266,29 @@ def repeats(rows: DataFrame, *, keep: str = "first", length: int = LENGTH, seed:
     if first:
         copies = copies.where("not (id = fid and key = fkey and at = fat)")
     copies = copies.selectExpr("id", "key", f"at div {PLACE} as start", f"at div {PLACE} + at % {PLACE} + {length - 1} as end")
-    wanted = kinds.join(mixed, "gram").select("f.id", "f.key", F.struct("gram", F.expr(f"int(f.at div {PLACE})").alias("pos"), F.expr(f"int(f.at % {PLACE})").alias("n"), (F.col("differing") > GROUP).alias("large")).alias("w"))
-    wanted = wanted.groupBy("id", "key").agg(F.collect_list("w").alias("wanted"))  # at most a text's own cells
-    pieces = rows.join(wanted, ["id", "key"]).select("id", "key", "text", "wanted").mapInArrow(_segments(length), "bucket long, id long, key int, pos int, n int, bytes binary")
+    wanted = kinds.join(mixed, "gram").select("f.id", "f.key", "differing", F.struct("gram", F.expr(f"int(f.at div {PLACE})").alias("pos"), F.expr(f"int(f.at % {PLACE})").alias("n")).alias("w"))
+
+    def texts_of(condition: str) -> DataFrame:
+        lists = wanted.where(condition).groupBy("id", "key").agg(F.collect_list("w").alias("wanted"))  # at most a text's own cells
+        return rows.join(lists, ["id", "key"]).select("id", "key", "text", "wanted")
+
+    pieces = texts_of(f"differing <= {GROUP}").mapInArrow(_segments(length), "bucket long, id long, key int, pos int, n int, bytes binary")
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     spread = pieces.repartition(parts, "bucket").sortWithinPartitions("bucket", "id", "key", "pos")
-    found = spread.mapInArrow(_sorted_repeats(length, first), "id long, key int, start long, end long")
-    return copies.union(found)
+    found = copies.union(spread.mapInArrow(_sorted_repeats(length, first), "id long, key int, start long, end long"))
+    if mixed.where(f"differing > {GROUP}").isEmpty():
+        return found
+    windows = texts_of(f"differing > {GROUP}").mapInArrow(_windows(length), "id long, key int, pos long, one long, two long")
+    # windows are added up before any shuffle and in SALTS parts, and marked in as many
+    windows = common.cut(windows.withColumn("salt", F.expr(f"pmod(hash(id, key, pos), {SALTS})")), "windows")
+    least = F.min(F.struct("id", "key", "pos"))
+    some = windows.groupBy("one", "two", "salt").agg(F.count("*").alias("n"), least.alias("f"))
+    again = some.groupBy("one", "two").agg(F.sum("n").alias("n"), F.min("f").alias("f")).where("n > 1")
+    again = again.select("one", "two", "f", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    marked = windows.join(again, ["one", "two", "salt"])
+    if first:
+        marked = marked.where("not (id = f.id and key = f.key and pos = f.pos)")
+    return found.union(marked.select("id", "key", F.col("pos").alias("start"), (F.col("pos") + length).alias("end")))
 
 
 def _stripped(batches):

@@ -99,6 +99,26 @@ def test_suffix_dedup(docs, empty, keep):
     assert suffix_dedup.remove_repeats(empty, keep=keep).count() == 0
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_suffix_dedup_of_large_groups(docs, monkeypatch, keep):
+    monkeypatch.setattr(suffix_dedup, "GROUP", 1)
+    held = []
+    monkeypatch.setattr(suffix_dedup, "_segments", lambda length, run=suffix_dedup._segments: held.append(run(length)) or held[-1])
+    texts = {**TEXTS, **{d: f"{prose(20, d)} {SHARED} {prose(20, d + 100)}" for d in range(20, 40)}}
+    monkeypatch.setitem(globals(), "TEXTS", texts)
+    rows = docs.sparkSession.createDataFrame([*texts.items()], "doc_id long, text string")
+    got, marks = rows_of(suffix_dedup.remove_repeats(rows, keep=keep)), covered(keep)
+    for d, t in texts.items():
+        left = bytes(c for c, gone in zip((t or "").encode(), marks[d]) if not gone)
+        assert (got[d].n_removed, got[d].kept_sha256) == (sum(marks[d]), hashlib.sha256(left).hexdigest())
+    # no group of more than GROUP cells, whole or by windows, comes to a task as bytes
+    import pyarrow as pa
+
+    wanted = [{"gram": 5, "pos": 0, "n": 3, "large": True}]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1], pa.int32()), pa.array(["x" * 300]), pa.array([wanted])], names=["id", "key", "text", "wanted"])
+    assert sum(b.num_rows for b in held[0](iter([batch]))) == 1
+
+
 def test_suffix_array():
     data = RNG.integers(97, 100, 600).astype(np.uint8)
     order, ranks = suffix_dedup.suffix_array(data, 16)
