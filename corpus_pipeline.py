@@ -15,21 +15,30 @@ from folio.session import ship_package
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds row_key, a hash of all columns; ids may be null or repeated."""
+    return docs.withColumn("row_key", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in COLUMNS]))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go (rows that repeat an id go together)."""
+    """Documents that the quality rules reject go."""
     ship_package(spark)
-    judged = quality_rules.quality_rules(docs)
-    kept = judged.groupBy("id").agg(F.min("kept").alias("kept")).where("kept").select(F.col("id").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    docs = _keyed(docs)
+    judged = quality_rules.quality_rules(docs, "row_key")
+    kept = judged.groupBy("id").agg(F.min("kept").alias("kept")).where("kept").select(F.col("id").alias("row_key"))
+    return docs.join(kept, "row_key", "left_semi").select(COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least id stays."""
+    """Of each class of near copies the document with the least id stays (one without an id if none has any); of rows that
+    are equal in all columns one stays."""
     ship_package(spark)
-    classes = bagminhash.near_duplicates(docs)
-    kept = classes.where("id = class_id").select(F.col("id").alias("doc_id")).distinct()
-    one = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    return docs.join(kept, "doc_id").withColumn("turn", F.row_number().over(one)).where("turn = 1").select(COLUMNS)
+    docs = _keyed(docs)
+    classes = bagminhash.near_duplicates(docs, "row_key").withColumnRenamed("id", "row_key").distinct()
+    ids = docs.select("row_key", "doc_id").join(classes, "row_key")
+    kept = ids.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("m")).select("m.row_key")
+    one = Window.partitionBy("row_key").orderBy("text", "lang", "source", "n_chars")
+    return docs.join(kept, "row_key", "left_semi").withColumn("turn", F.row_number().over(one)).where("turn = 1").select(COLUMNS)
 
 
 def passage_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +51,9 @@ def passage_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
     ship_package(spark)
-    found = secret_scan.scan(docs).where(F.size("spans") > 0).groupBy("id").agg(F.max("spans").alias("spans"))
-    met = docs.join(found, docs["doc_id"] == found["id"], "left")
+    docs = _keyed(docs)
+    found = secret_scan.scan(docs, "row_key").where(F.size("spans") > 0).groupBy("id").agg(F.max("spans").alias("spans"))
+    met = docs.join(found, docs["row_key"] == found["id"], "left")
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secret_scan.redact(F.col("text"), F.col("spans")))
     return met.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 

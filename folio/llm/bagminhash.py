@@ -114,7 +114,7 @@ def _signed(width: int, bands: int, rows: int):
                 size = np.bincount(row, weights=count, minlength=n).astype(np.int64)
                 values = pa.array(np.ascontiguousarray(band).view(np.int64).ravel())
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), values)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *hashes, pa.array(size), listed], names=["id", "bag1", "bag2", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *hashes, pa.array(size), listed], names=["id", "given", "bag1", "bag2", "size", "bands"])
 
     return run
 
@@ -202,10 +202,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts with equal multisets are one node, so copies are never expanded into pairs. Null,
     empty and wordless texts are alone. Rows that repeat an id share a class; other columns are not looked
-    at; an empty table gives an empty result.
+    at; an empty table gives an empty result. Rows without an id keep the null; a class of none
+    but such rows has a number from 2**62 up.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = common.cut(texts.mapInArrow(_signed(width, bands, rows), "id long, bag1 long, bag2 long, size long, bands array<long>"), "signatures")
+    texts = docs.select(common.row_id(id_col, text_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("given"))
+    signed = common.cut(texts.mapInArrow(_signed(width, bands, rows), "id long, given long, bag1 long, bag2 long, size long, bands array<long>"), "signatures")
     full = signed.where("size > 0")
     nodes = full.groupBy("bag1", "bag2").agg(F.min("id").alias("node"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = common.cut(nodes, "nodes")
@@ -268,8 +269,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             links = links.union(found)
             classes = components(links)
     named = nodes.join(classes, "node", "left").select("bag1", "bag2", F.coalesce("class", "node").alias("class_id"))
-    out = full.select("id", "bag1", "bag2").join(named, ["bag1", "bag2"]).select("id", "class_id")
-    return out.union(signed.where("size = 0").select("id", F.col("id").alias("class_id")))
+    out = full.select("given", "bag1", "bag2").join(named, ["bag1", "bag2"]).select(F.col("given").alias("id"), "class_id")
+    return out.union(signed.where("size = 0").select(F.col("given").alias("id"), F.col("id").alias("class_id")))
 
 
 def op5_bagminhash(spark, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are handled inside a task in pieces of about so many bytes (a longer text is one piece).
 CHUNK_BYTES = 2 << 20
@@ -27,6 +28,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
+def row_id(id_col: str, text_col: str):
+    """The id as a long; of rows without one a number from 2**62 up, made from the text. Rows
+    without an id and with equal texts are copies of each other."""
+    own = F.xxhash64(F.coalesce(text_col, F.lit(""))).bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)
+    return F.coalesce(F.col(id_col).cast("long"), own)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

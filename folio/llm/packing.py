@@ -241,7 +241,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tok
     first_id = sequence + blocks
     uncut = left.where("rest <= room").selectExpr("id", f"blocks * {capacity} as start", "rest as length", "element_at(crcs, -1) as ids_crc32", "doc_tokens", f"{first_id} + at div {capacity} as sequence_id", f"at % {capacity} as offset")
     torn = left.where("rest > room").selectExpr("id", "key", f"blocks * {capacity} as start", "room", "rest", "at", "doc_tokens")
-    again = rows.join(torn.select("id", "key", "start", "room", "rest", "at"), ["id", "key"]).select("text", "start", "room", "rest", "at")
+    cuts = torn.select(F.col("id").alias("of"), F.col("key").alias("of_key"), "start", "room", "rest", "at")
+    again = rows.join(cuts, F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))).select("text", "start", "room", "rest", "at")
     again = again.mapInArrow(_recut(path, end_id), "at long, sums array<long>").groupBy("at").agg(F.max("sums").alias("sums"))
     torn = torn.join(again, "at").selectExpr("id", "start", "room", "rest", "at", "doc_tokens", "posexplode(sums) as (k, crc)")
     torn = torn.selectExpr(

@@ -127,10 +127,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rul
 
     Matches of a rule are leftmost and do not overlap; those that are too short are dropped;
     start and end count code points, end exclusive, kind is the rule's position. Null texts
-    are empty and have no spans; repeated rows stay; other columns are not looked at; an empty
+    are empty and have no spans; repeated rows and those without an id stay; other columns are not looked at; an empty
     table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(common.row_id(id_col, text_col).alias("id"), F.col(id_col).alias("given"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     named = candidates(postings(rows, rules), rules)
     full = [r.kind for r in rules if not trigram_query(r.pattern)]
     looked = rows.join(named, "id", "left").withColumn("row", F.monotonically_increasing_id())
@@ -139,12 +139,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rul
     for k, r in enumerate(rules):
         asked = F.col("text").rlike(r.pattern) if r.kind in full else F.array_contains("kinds", r.kind)
         parts.append(F.when(asked, _cuts(F.col("text"), r, k)).otherwise(none))
-    matched = looked.select("id", "row", "text", F.explode_outer(F.concat(*parts)).alias("m")).select("id", "row", "text", "m.*")
+    matched = looked.select("id", "given", "row", "text", F.explode_outer(F.concat(*parts)).alias("m")).select("id", "given", "row", "text", "m.*")
     line = Window.partitionBy("id", "row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.coalesce("found", F.lit(0))).over(line)
     span = F.when(F.col("good"), F.struct((F.col("end") - F.col("found")).cast("int").alias("start"), "kind", F.col("end").cast("int").alias("end")))
-    light = matched.drop("text").withColumn("end", end).groupBy("id", "row").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    return light
+    light = matched.drop("text").withColumn("end", end).groupBy("id", "row").agg(F.first("given").alias("given"), F.sort_array(F.collect_list(span)).alias("spans"))
+    return light.select(F.col("given").alias("id"), "row", "spans")
 
 
 def described(spans: Column, rules=RULES) -> Column:

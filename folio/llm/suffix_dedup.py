@@ -246,7 +246,7 @@ def _key(text_col: str):
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), _key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return docs.select(common.row_id(id_col, text_col).alias("id"), _key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def repeats(rows: DataFrame, *, keep: str = "first", length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -322,15 +322,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and kept, the text that is left (cut between whole characters).
 
     Null texts are empty. Texts shorter than `length` bytes stay. Rows with equal id and text are copies
-    of each other (with keep "first" both are the first); an empty table gives an empty result.
+    of each other (with keep "first" both are the first); rows without an id come after all others; an empty table gives an empty result.
     """
     rows = keyed(docs, id_col, text_col)
     spans = repeats(rows, keep=keep, length=length)
     spans = spans.groupBy("id", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     full = docs.select(
-        F.col(id_col).cast("long").alias("id"), _key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry]
+        common.row_id(id_col, text_col).alias("id"), F.col(id_col).cast("long").alias("given"), _key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry]
     )
-    met = full.join(spans, ["id", "key"], "left").select("id", "text", "starts", "ends", *[f"carried_{c}" for c in carry])
+    met = full.join(spans, ["id", "key"], "left").select(F.col("given").alias("id"), "text", "starts", "ends", *[f"carried_{c}" for c in carry])
     types = "".join(f", carried_{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
     out = met.mapInArrow(_stripped, f"id long{types}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return out.withColumnsRenamed({f"carried_{c}": c for c in carry})

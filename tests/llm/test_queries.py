@@ -303,3 +303,17 @@ def test_repeated_rows(docs):
     assert quality_rules.quality_rules(twice).count() == secret_scan.scan(twice).count() == 2 * len(TEXTS)
     assert suffix_dedup.remove_repeats(twice, keep="first").count() == 2 * len(TEXTS)
     assert sentencepiece_codec.encode_decode(twice).count() == 2 * len(TEXTS)
+
+
+def test_rows_without_id(spark):
+    texts = [t for t in TEXTS.values() if t] + [prose(3000, 40 + i) for i in range(8)]
+    named = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    none = named.selectExpr("cast(null as long) as doc_id", "text")
+    spans = lambda df: sorted(tuple(map(tuple, r.spans)) for r in secret_scan.scan(df).collect())
+    assert spans(none) == spans(named)
+    kept = lambda df: sorted(r.kept_sha256 for r in suffix_dedup.remove_repeats(df, keep="none").collect())
+    assert kept(none) == kept(named)
+    sizes = lambda df: sorted(Counter(r.class_id for r in bagminhash.near_duplicates(df).collect()).values())
+    assert sizes(none) == sizes(named) and all(r.id is None for r in bagminhash.near_duplicates(none).collect())
+    tokens = lambda df: sum(r.length for r in packing.pack(df).collect())
+    assert tokens(none) == tokens(named)
