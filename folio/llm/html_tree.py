@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from folio.llm import common
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|data-y)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Attributes one by one, each with its value, so that nothing inside a value is taken for a name.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
@@ -152,7 +153,7 @@ class Page:
                     label = int(value)
                 elif key == "hidden" or key == "aria-hidden" and value == "true":
                     gone = True
-                elif key != "aria-hidden":
+                elif key in ("class", "id", "role"):
                     for w in _WORD.findall(value):
                         meaning |= _MEANS.get(w, 0)
             tags.append(name)
@@ -194,6 +195,7 @@ class Forest:
                 text[f + 1 + owner] += len(t)
                 linked[f + 1 + owner] += a
                 blocks[f + 1 + owner] += 1
+        self.bare = self.first[text[self.first] == 0]  # roots without text of their own are no content
         depth = np.zeros(n, np.int64)
         for i in range(n) if n else ():
             if self.parent[i] >= 0:
@@ -223,7 +225,7 @@ class Forest:
         half = self.x @ weight / 2
         score = np.stack([-half, half], axis=1)
         score[self.dropped, 1] = -60.0
-        score[self.first, 1] = -60.0
+        score[self.bare, 1] = -60.0
         below, message = score.copy(), np.zeros_like(score)
         for level in reversed(self.levels[1:]):
             joint = link[self.kind[level]] + below[level][:, None, :]
@@ -363,7 +365,7 @@ class TreeModel:
         pages = [Page(s) for s in sources]
         forest = Forest(pages)
         got, _ = forest.marginals(self.weight, self.link)
-        return [[t for owner, t in p.blocks if owner >= 0 and not p.dropped[owner] and got[f + 1 + owner] >= 0.5] for p, f in zip(pages, forest.first)]
+        return [[t for owner, t in p.blocks if (owner < 0 or not p.dropped[owner]) and got[f + 1 + owner] >= 0.5] for p, f in zip(pages, forest.first)]
 
 
 _TRAINED: list[TreeModel] = []

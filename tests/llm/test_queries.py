@@ -289,6 +289,17 @@ def test_html_tree(spark):
     assert got[2].text == got[3].text == ""
 
 
+def test_html_tree_drops_nothing_else(spark):
+    some = "A sentence of the article, which is long enough to be read. " * 6
+    article = '<html><body><article style="overflow:hidden" title="the hidden garden" data-state=not-hidden><h1>Title</h1><p>{}</p></article><div hidden><p>unseen</p></div></body></html>'
+    nav = "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>"
+    pages = spark.createDataFrame([(1, article.format(some)), (2, some), (3, nav + some), (4, f"{some}<div>{some}</div>")], "page_id long, html string")
+    got = rows_of(html_tree.extract(pages))
+    assert got[1].text == f"Title\n{some.strip()}"
+    assert got[2].text == got[3].text == some.strip()
+    assert got[4].text == f"{some.strip()}\n{some.strip()}"
+
+
 def test_quality_crf(spark, sf_dir):
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     got = rows_of(quality_crf.op10_quality_crf(spark, sf_dir), "doc_id")
