@@ -9,30 +9,40 @@ What rounding leaves is laid end to end and cut at the capacity.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm import common
-from folio.llm.pieces import Kept
+from folio.llm.pieces import CACHE_BYTES, Kept, joined
 
 CAPACITY = 2048
 #: Lengths are grouped by so many tokens in the linear program; a sequence may lack under so many for each piece.
 GRAIN = 8
 #: A cut document costs so much more than its share of a sequence: the padding that is worth a cut.
 CUT_COST = 0.04
-#: Rounds of column generation; what is unsolved then is cut.
-ROUNDS = 3000
+#: Column generation goes on to the optimum; only if so many rounds bring nothing (degenerate bases) does it
+#: stop before. What is unsolved then is cut, so that no document is lost.
+STALLED = 1000
+#: Rests that rounding leaves and a sequence's end tears: up to so many (some 50 bytes each) are broadcast to
+#: find their texts again, more are joined by a shuffle.
+TORN = 200_000
 #: Documents of a length are ranked in so many independent groups of about so many rows.
 RANK_ROWS = 50_000
 
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Texts of other characters, or with what may be a special token, go to the tokeniser whole.
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ‐-‧‰-⁞€]*")
+#: No token crosses white space, or the bounds of these parts of lower-case words. Texts of other characters
+#: than _PLAIN, or with what may be a special token, go to the tokeniser whole.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e\u20ac]*")
+_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:\W|_)+")
+#: Parts that are new are given to the tokeniser in lines of so many.
+LINE = 64
 _LOADED: dict = {}
 
 
@@ -43,23 +53,52 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.cache = Kept(300_000)
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.fresh()
+
+    def fresh(self) -> None:
+        """Forgets what was kept: caches live as long as a task."""
+        self.words, self.parts = Kept(), Kept(CACHE_BYTES // 2)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _of_parts(self, parts: list[str]) -> list[bytes]:
+        """Each part is one word of the vocabulary's: its last token, and no other, ends a word."""
+        out: list[bytes] = []
+        lines = [parts[i : i + LINE] for i in range(0, len(parts), LINE)]
+        for line, e in zip(lines, self.library.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) != len(line) or stop[-1] != len(ids):
+                out += self._whole(line)
+                continue
+            raw, at = ids.tobytes(), 0
+            for end in (4 * stop).tolist():
+                out.append(raw[at:end])
+                at = end
+        return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        import os
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        cut = [_PART.findall(w.lower()) for w in words]
+        parts = list(dict.fromkeys(chain.from_iterable(cut)))
+        found = dict(zip(parts, self.parts.lookup(parts, self._of_parts)))
+        return [b"".join(map(found.__getitem__, c)) for c in cut]
 
+    def __call__(self, texts: pa.Array) -> list[bytes]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        as_bytes = lambda e: np.array(e.ids, "<u4").tobytes()
-        plain = [_PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
-        split = [_SPLIT.findall(t.lower()) if p else () for t, p in zip(texts, plain)]
-        new = [w for w in self.cache.missing(set().union(*split))]
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.cache[w] = as_bytes(e)
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, s)) if p else as_bytes(self.library.encode(t, add_special_tokens=False)) for t, s, p in zip(texts, split, plain)]
-        for w in new:
-            if len(w) > 64:
-                del self.cache[w]
+        texts = pc.fill_null(texts, "")
+        whole = [i for i, t in enumerate(texts.to_pylist()) if not _PLAIN.fullmatch(t) or "<|" in t]
+        plain = np.ones(len(texts), bool)
+        plain[whole] = False
+        lists = pc.ascii_split_whitespace(pc.if_else(pa.array(plain), texts, ""))
+        ids, at = joined(lists, lambda words: self.words.lookup(words, self._of_words), "<u4")
+        raw = ids.tobytes()
+        out = [raw[a:b] for a, b in zip((4 * at[:-1]).tolist(), (4 * at[1:]).tolist())]
+        for i, b in zip(whole, self._whole([texts[i].as_py() for i in whole])):
+            out[i] = b
         return out
 
 
@@ -79,14 +118,17 @@ def _lengths(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
+        ids_of = word_ids(path)
+        ids_of.fresh()
         for whole in batches:
             for batch in common.pieces(whole, "text"):
-                raw = [b + end for b in word_ids(path)([t or "" for t in batch.column(2).to_pylist()])]
+                raw = [b + end for b in ids_of(batch.column(2))]
                 step = 4 * capacity
                 sums = [[zlib.crc32(b[i : i + step]) for i in range(0, len(b), step)] for b in raw]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array([len(b) // 4 for b in raw], pa.int64()), pa.array(sums, pa.list_(pa.int64()))], names=["id", "key", "doc_tokens", "crcs"]
                 )
+        ids_of.fresh()
 
     return run
 
@@ -97,8 +139,8 @@ def _recut(path: str, end_id: int):
     def run(batches):
         for whole in batches:
             for batch in common.pieces(whole, "text"):
-                texts, start, first, length = (batch.column(i).to_pylist() for i in range(4))
-                raw = [b + end for b in word_ids(path)([t or "" for t in texts])]
+                start, first, length = (batch.column(i).to_pylist() for i in range(1, 4))
+                raw = [b + end for b in word_ids(path)(batch.column(0))]
                 sums = [[zlib.crc32(b[4 * s : 4 * (s + f)]), zlib.crc32(b[4 * (s + f) : 4 * (s + n)])] for b, s, f, n in zip(raw, start, first, length)]
                 yield pa.RecordBatch.from_arrays([batch.column(4), pa.array(sums, pa.list_(pa.int64()))], names=["at", "sums"])
 
@@ -126,7 +168,7 @@ def best_pattern(value: np.ndarray, room: int) -> tuple[float, dict[int, int]]:
     return float(best[room]), found
 
 
-def column_generation(counts: dict[int, int], room: int, rounds: int = ROUNDS, cut_cost: float = CUT_COST) -> list[tuple[dict[int, int], int]]:
+def column_generation(counts: dict[int, int], room: int, stalled: int = STALLED, cut_cost: float = CUT_COST) -> list[tuple[dict[int, int], int]]:
     """Patterns (size -> how many) and how often each is used, never beyond the counts.
 
     Minimises sequences plus cut documents by the revised simplex method; the first basis
@@ -141,7 +183,10 @@ def column_generation(counts: dict[int, int], room: int, rounds: int = ROUNDS, c
     cost = np.array([(1 + cut_cost) * s / room for s in sizes])
     inverse, x = np.eye(m), need.copy()
     basis: list[dict[int, int] | None] = [None] * m
-    for _ in range(rounds):
+    best, idle = np.inf, 0
+    while idle < stalled:
+        total = float(cost @ x)
+        best, idle = (total, 0) if total < best - 1e-9 * max(1.0, abs(best) if np.isfinite(best) else 1.0) else (best, idle + 1)
         price = cost @ inverse
         value = np.full(room + 1, -1.0)
         value[sizes] = price
@@ -241,7 +286,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tok
     first_id = sequence + blocks
     uncut = left.where("rest <= room").selectExpr("id", f"blocks * {capacity} as start", "rest as length", "element_at(crcs, -1) as ids_crc32", "doc_tokens", f"{first_id} + at div {capacity} as sequence_id", f"at % {capacity} as offset")
     torn = left.where("rest > room").selectExpr("id", "key", f"blocks * {capacity} as start", "room", "rest", "at", "doc_tokens")
+    torn = common.cut(torn, "torn")
     cuts = torn.select(F.col("id").alias("of"), F.col("key").alias("of_key"), "start", "room", "rest", "at")
+    if torn.count() <= TORN:
+        cuts = F.broadcast(cuts)
     again = rows.join(cuts, F.col("id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key"))).select("text", "start", "room", "rest", "at")
     again = again.mapInArrow(_recut(path, end_id), "at long, sums array<long>").groupBy("at").agg(F.max("sums").alias("sums"))
     torn = torn.join(again, "at").selectExpr("id", "start", "room", "rest", "at", "doc_tokens", "posexplode(sums) as (k, crc)")

@@ -12,29 +12,62 @@ import heapq
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = "▁"
-_SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
-#: Segments kept by a worker: two generations of so many.
-CACHE = 250_000
+#: Segments of texts with runs of spaces, or with U+2581 itself.
+_SEGMENT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*")
+#: Bytes of segments and ids kept during a task, in two generations of half of them.
+CACHE_BYTES = 64 << 20
+#: Longer segments are not kept.
+KEPT_CHARS = 64
+#: Segments of up to so many characters have their agenda in a list, longer ones in a heap.
+SHORT = 40
 _LOADED: dict = {}
 
 
 class Kept(dict):
     """A cache of two generations: when the young one is full, the old one goes."""
 
-    def __init__(self, limit: int = CACHE):
-        self.limit, self.old = limit, {}
+    ENTRY = 200  # about what a short key, its value and their places take
 
-    def missing(self, keys: set) -> set:
-        """Of these keys those to compute; old ones that are used become young."""
-        if len(self) > self.limit:
+    def __init__(self, limit: int = CACHE_BYTES):
+        self.entries, self.old = limit // (2 * self.ENTRY), {}
+
+    def lookup(self, keys: list[str], compute) -> list[bytes]:
+        """The values of different keys; compute(keys) makes those that are not kept."""
+        if len(self) > self.entries:
             self.old = dict(self)
             self.clear()
-        out = keys - self.keys()
-        for k in out & self.old.keys():
-            self[k] = self.old[k]
-        return out - self.old.keys()
+        out, new = list(map(self.get, keys)), []
+        for i in [i for i, v in enumerate(out) if v is None]:
+            out[i] = v = self.old.get(keys[i])
+            if v is None:
+                new.append(i)
+            else:
+                self[keys[i]] = v
+        for i, v in zip(new, compute([keys[i] for i in new]) if new else ()):
+            out[i] = v
+            if len(keys[i]) <= KEPT_CHARS:
+                self[keys[i]] = v
+        return out
+
+
+def joined(lists: pa.ListArray, values_of, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all rows end to end, and the n + 1 offsets of the rows, of a column of lists of words.
+    values_of: bytes of numbers of this kind for each different word."""
+    words = lists.flatten().dictionary_encode()
+    code = words.indices.to_numpy()
+    values = values_of(words.dictionary.to_pylist())
+    size = np.dtype(kind).itemsize
+    length = np.fromiter(map(len, values), np.int64, len(values)) // size
+    flat = np.frombuffer(b"".join(values), kind)
+    begin, n = np.cumsum(length) - length, length[code]
+    end = np.cumsum(n)
+    at = np.repeat(begin[code] - (end - n), n) + np.arange(int(n.sum()))
+    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return flat[at], np.concatenate([[0], end])[bounds]
 
 
 class Pieces:
@@ -55,19 +88,46 @@ class Pieces:
             elif not (lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i)):
                 normal[p] = (i, lib.get_score(i))
         self.normal = normal
+        self.cost = {p: -score for p, (_, score) in normal.items()}
         if any(SPACE in p.lstrip(SPACE) for p in normal):
             raise ValueError("the vocabulary has pieces that cross words")
+        if any("\n" in p for p in normal):
+            raise ValueError("the vocabulary has pieces that cross lines")
         self.is_byte = np.zeros(n, bool)
         self.is_byte[[i for i in self.byte if i >= 0]] = True
         self.decimal = [str(i) for i in range(n)]
         self.kind = "<u2" if n <= 1 << 16 else "<u4"
+        self.fresh()
+
+    def fresh(self) -> None:
+        """Forgets what was kept: caches live as long as a task."""
         self.cache = Kept()
 
     def agenda(self, segment: str) -> list[int]:
         """Merges adjacent symbols in order of score (ties: leftmost) until no pair is a piece."""
-        normal = self.normal
         sym = list(segment)
-        n = len(sym)
+        return self._ids(self._short(sym) if len(sym) <= SHORT else self._long(sym))
+
+    def _short(self, sym: list[str]) -> list[str]:
+        """The agenda as a list of the pairs' scores, in text order."""
+        cost, none = self.cost.get, float("inf")
+        agenda = [cost(a + b, none) for a, b in zip(sym, sym[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == none:
+                break
+            i = agenda.index(best)
+            sym[i : i + 2] = [sym[i] + sym[i + 1]]
+            del agenda[i]
+            if i:
+                agenda[i - 1] = cost(sym[i - 1] + sym[i], none)
+            if i < len(agenda):
+                agenda[i] = cost(sym[i] + sym[i + 1], none)
+        return sym
+
+    def _long(self, sym: list[str]) -> list[str]:
+        """The agenda as a heap; pairs that have changed since are passed over."""
+        normal, n = self.normal, len(sym)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = []
         for i in range(n - 1):
@@ -93,61 +153,49 @@ class Pieces:
                 got = normal.get(sym[k] + sym[i])
                 if got:
                     push(heap, (-got[1], k, i, size + len(sym[k])))
-        out = []
+        return [s for s in sym if s]
+
+    def _ids(self, sym: list[str]) -> list[int]:
+        out, normal = [], self.normal
         for s in sym:
-            if s:
-                got = normal.get(s)
-                if got:
-                    out.append(got[0])
-                else:
-                    out.extend(self.byte[b] for b in s.encode())
+            got = normal.get(s)
+            if got:
+                out.append(got[0])
+            else:
+                out.extend(self.byte[b] for b in s.encode())
         return out
 
-    def decode(self, ids) -> str:
-        """As the library's decode: bytes join, invalid ones become U+FFFD, one leading space goes."""
-        out, raw = [], bytearray()
-
-        def flush():
-            while raw:
-                try:
-                    out.append(raw.decode())
-                    raw.clear()
-                except UnicodeDecodeError as e:
-                    out.append(raw[: e.start].decode() + "�")
-                    del raw[: e.start + 1]
-
-        for i in ids:
-            if self.is_byte[i]:
-                raw.append(int(self.text[i][3:5], 16))
-            else:
-                if raw:
-                    flush()
-                out.append(self.text[i])
-        flush()
-        text = "".join(out).replace(SPACE, " ")
-        return text[1:] if ids and not self.is_byte[ids[0]] and text[:1] == " " else text
-
-    def encode(self, texts: list[str], own: bool, check: bool = False) -> tuple[list[bytes], bool]:
-        """Ids of each text as little-endian numbers of self.kind; own: by our agenda, else by the library.
-        check: compares our ids of all segments new to this worker with the library's, which win."""
-        split = [_SEGMENT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        cache = self.cache
-        new = list(cache.missing(set().union(*split)))
-        good = True
-        if new:
-            theirs = self.library.encode([s[1:].replace(SPACE, " ") for s in new], num_threads=1) if check or not own else None
-            # a segment of one bare U+2581 is nothing to the library by itself
-            ours = [self.agenda(s) for s in new] if own else [t if len(s) > 1 else self.agenda(s) for s, t in zip(new, theirs)]
-            for s, ids, lib in zip(new, ours, theirs or ours):
-                if ids != lib and len(s) > 1:
-                    good, ids = False, lib
-                cache[s] = np.array(ids, self.kind).tobytes()
-        get = cache.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
-        for s in new:
-            if len(s) > 64:  # rare ones are not kept
-                del cache[s]
-        return out, good
+    def _segments(self, text: str) -> list[str]:
+        return [s[1:] if s[0] == SPACE else s for s in _SEGMENT.findall(SPACE + text.replace(" ", SPACE))] if text else []
+
+    def split(self, texts: pa.Array) -> pa.ListArray:
+        """Keys of the segments: what follows the first U+2581 of each, or a line break and what
+        follows it (no piece has a line break, so that merges never cross one)."""
+        out = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        offsets = out.offsets.to_numpy()
+        odd = np.add.reduceat(np.append(pc.equal(out.flatten(), "").to_numpy(zero_copy_only=False), False), np.minimum(offsets[:-1] - offsets[0], offsets[-1] - offsets[0])) > 0 if len(out) else np.zeros(0, bool)
+        odd |= pc.match_substring(texts, SPACE).to_numpy(zero_copy_only=False)
+        if odd.any():  # runs of spaces, or U+2581 itself; empty texts have no segments
+            lists = out.to_pylist()
+            for i in np.flatnonzero(odd):
+                lists[i] = self._segments(texts[i].as_py())
+            out = pa.array(lists, pa.list_(pa.string()))
+        return out
+
+    def by_agenda(self, keys: list[str]) -> list[bytes]:
+        return [np.array(self.agenda(k if k[:1] == "\n" else SPACE + k), self.kind).tobytes() for k in keys]
+
+    def by_library(self, keys: list[str]) -> list[bytes]:
+        """The library's ids of these segments; it puts U+2581 before a line break too, which goes."""
+        got = self.library.encode([k.replace(SPACE, " ") for k in keys], num_threads=1)
+        # a segment of one bare U+2581 is nothing to the library by itself
+        ids = (x[1:] if k[:1] == "\n" else x if k else self.agenda(SPACE) for k, x in zip(keys, got))
+        return [np.array(x, self.kind).tobytes() for x in ids]
+
+    def encode(self, texts: pa.Array, own: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end and their offsets; own: by our agenda, else by the library."""
+        compute = self.by_agenda if own else self.by_library
+        return joined(self.split(pc.fill_null(texts, "")), lambda keys: self.cache.lookup(keys, compute), self.kind)
 
 
 def load(path: str) -> Pieces:

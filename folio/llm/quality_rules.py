@@ -54,6 +54,7 @@ def repeated_words(word: np.ndarray, row: np.ndarray, rows: int, width: int = 8)
 def _measure(model: str):
     def run(batches):
         vocabulary = pieces.load(model)
+        vocabulary.fresh()
         for whole in batches:
             for batch in common.pieces(whole, "text"):
                 texts = [t or "" for t in batch.column(2).to_pylist()]
@@ -64,10 +65,8 @@ def _measure(model: str):
                 chars = common.per_row(points, offsets)
                 word = common.span_hash(common.prefix_hash(data), start, end)
                 lines = [[x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")] if "\n" in t else () for t in texts]
-                raw, _ = vocabulary.encode(texts, own=False)
-                size = np.dtype(vocabulary.kind).itemsize
-                tokens = np.array([len(b) // size for b in raw], np.int64)
-                ids = np.frombuffer(b"".join(raw), vocabulary.kind).astype(np.int64)
+                ids, at = vocabulary.encode(batch.column(2), own=False)
+                ids, tokens = ids.astype(np.int64), np.diff(at)
                 of = np.repeat(np.arange(n), tokens)
                 fallback = np.bincount(of[vocabulary.is_byte[ids]], minlength=n)
                 key = np.sort(of * vocabulary.size + ids)
@@ -95,6 +94,7 @@ def _measure(model: str):
                     ],
                     names=[x.strip().split(" ")[0] for x in SCHEMA.split(",")],
                 )
+        vocabulary.fresh()
 
     return run
 

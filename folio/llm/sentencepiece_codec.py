@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from folio.llm import common, pieces
 
@@ -17,21 +17,22 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Encodes every text with our score-ordered agenda and decodes the ids.
 
     Returns one row per input row: the id, ids, decoded text, their digests and
-    matches_library: whether all segments first met by the worker were encoded as by the
-    library (where not, the library's ids are used). keep_ids=False leaves ids and decoded
-    null. Null and empty texts have no ids and decode to the empty text. Repeated rows stay;
+    matches_library: whether the library encodes the whole text alike (null without check);
+    the ids are ours in any case. keep_ids=False leaves ids and decoded null. Null and empty texts have no ids and decode to the empty text. Repeated rows stay;
     other columns are not looked at; an empty table gives an empty result.
     """
     model = model or pieces.default_path()
 
     def run(batches):
         vocabulary = pieces.load(model)
-        decimal, kind = vocabulary.decimal, vocabulary.kind
+        vocabulary.fresh()
+        decimal = vocabulary.decimal
         for whole in batches:
             for batch in common.pieces(whole, "text"):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
-                raw, good = vocabulary.encode(texts, own=True, check=check)
-                ids = [np.frombuffer(b, kind).tolist() for b in raw]
+                flat, at = vocabulary.encode(batch.column(1), own=True)
+                ids = [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+                theirs = vocabulary.library.encode(texts, num_threads=1) if check and texts else [None] * len(texts)
                 text = vocabulary.library.decode(ids, num_threads=1) if ids else []
                 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
                 yield pa.RecordBatch.from_arrays(
@@ -42,12 +43,11 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         pa.array([len(x) for x in ids], pa.int64()),
                         pa.array([sha(",".join([decimal[i] for i in x])) for x in ids], pa.string()),
                         pa.array([sha(t) for t in text], pa.string()),
-                        pa.array([good] * len(ids), pa.bool_()),
+                        pa.array([None if b is None else a == b for a, b in zip(ids, theirs)], pa.bool_()),
                     ],
                     names=["id", "ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256", "matches_library"],
                 )
-
-    from pyspark.sql import functions as F
+        vocabulary.fresh()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
