@@ -25,6 +25,8 @@ SMALL = 4
 STARS = 2
 #: What texts share with other classes is counted in so many parts.
 PARTS = 64
+#: Bytes of texts that are signed at once.
+CHUNK = 1 << 20
 
 
 def bags(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,7 +105,7 @@ def signatures(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, rows: in
 def _signed(width: int, bands: int, rows: int):
     def run(batches):
         for whole in batches:
-            for batch in common.pieces(whole, "text"):
+            for batch in common.pieces(whole, "text", CHUNK):
                 n = batch.num_rows
                 row, shingle, count = bags(*common.byte_view(batch.column(1)), width)
                 signature = signatures(row, shingle, count, n, bands * rows)
@@ -150,7 +152,7 @@ def _elements(width: int):
 
     def run(batches):
         for whole in batches:
-            for batch in common.pieces(whole, "text"):
+            for batch in common.pieces(whole, "text", CHUNK):
                 row, shingle, count = bags(*common.byte_view(batch.column(2)), width)
                 bag = batch.column(1).to_numpy()
                 mine = (bag_hash(row, shingle, count, len(bag), 1) == bag)[row]
@@ -201,8 +203,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least id of the class.
 
     Texts with equal multisets are one node, so copies are never expanded into pairs. Null,
-    empty and wordless texts are alone. Rows that repeat an id share a class; other columns are not looked
-    at; an empty table gives an empty result. Rows without an id keep the null; a class of none
+    empty and wordless texts are alone. Each row that repeats an id has the class of its own text; other columns are
+    not looked at; an empty table gives an empty result. Rows without an id keep the null; a class of none
     but such rows has a number from 2**62 up.
     """
     texts = docs.select(common.row_id(id_col, text_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("given"))
@@ -216,8 +218,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def tested(pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (u, v) the links."""
-        first = pairs.distinct().join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
-        second = first.join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
+        pairs = common.cut(pairs.distinct(), "pairs")
+        asked = common.few(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "asked")
+        needed = common.cut(texts.select("id", "text").join(asked, "id", "left_semi"), "texts")  # only these texts travel
+        first = pairs.join(needed.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
+        second = first.join(needed.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
         return common.cut(second.select("u", "v", "a", "b").mapInArrow(_verified(width, similarity), "u long, v long, linked boolean").where("linked").select("u", "v"), "links")
 
     def met_in_bucket(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:

@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handled inside a task in pieces of about so many bytes (a longer text is one piece).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
+#: Tables of so many rows of a few numbers each (some 10 MB) may be broadcast.
+FEW_ROWS = 200_000
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -41,7 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = root.get() if root.isDefined() else ""
-    if not root:  # no cluster: tests and local runs
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not root:  # tests and local runs
         root = "file://" + tempfile.mkdtemp(prefix="folio-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -59,6 +63,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, name: str, rows: int = FEW_ROWS) -> DataFrame:
+    """The table, written once; with a hint to broadcast it if it has no more than so many rows."""
+    df = cut(df, name)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column end to end, and the n + 1 offsets of its rows (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -104,13 +114,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n of the hash base and of its inverse modulo 2**64."""
     have = _TABLES.get("powers")
     if have is None or len(have[0]) <= n:
-        m = max(n + 1, CHUNK_BYTES + 1)
+        m = max(n + 1, 4 * CHUNK_BYTES + 1)
         out = []
         for base in (_BASE, _INVERSE):
             p = np.full(m, base, np.uint64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
-        if m > 8 * CHUNK_BYTES:
+        if m > 32 * CHUNK_BYTES:
             return tuple(out)  # for one very long text; not kept
         _TABLES["powers"] = have = tuple(out)
     return have

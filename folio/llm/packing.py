@@ -43,6 +43,8 @@ _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f\u2010-\u2027\u203
 _PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:\W|_)+")
 #: Parts that are new are given to the tokeniser in lines of so many.
 LINE = 64
+#: Bytes of texts that share the search for their different words.
+CHUNK = 2 << 20
 _LOADED: dict = {}
 
 
@@ -121,7 +123,7 @@ def _lengths(path: str, capacity: int, end_id: int):
         ids_of = word_ids(path)
         ids_of.fresh()
         for whole in batches:
-            for batch in common.pieces(whole, "text"):
+            for batch in common.pieces(whole, "text", CHUNK):
                 raw = [b + end for b in ids_of(batch.column(2))]
                 step = 4 * capacity
                 sums = [[zlib.crc32(b[i : i + step]) for i in range(0, len(b), step)] for b in raw]
@@ -138,7 +140,7 @@ def _recut(path: str, end_id: int):
 
     def run(batches):
         for whole in batches:
-            for batch in common.pieces(whole, "text"):
+            for batch in common.pieces(whole, "text", CHUNK):
                 start, first, length = (batch.column(i).to_pylist() for i in range(1, 4))
                 raw = [b + end for b in word_ids(path)(batch.column(0))]
                 sums = [[zlib.crc32(b[4 * s : 4 * (s + f)]), zlib.crc32(b[4 * (s + f) : 4 * (s + n)])] for b, s, f, n in zip(raw, start, first, length)]

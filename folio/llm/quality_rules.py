@@ -52,6 +52,8 @@ def repeated_words(word: np.ndarray, row: np.ndarray, rows: int, width: int = 8)
 
 
 def _measure(model: str):
+    """Measures of (id, lang, text); further columns stay as they are."""
+
     def run(batches):
         vocabulary = pieces.load(model)
         vocabulary.fresh()
@@ -91,16 +93,17 @@ def _measure(model: str):
                         pa.array(np.where(tokens > 0, fallback / total, 0.0), pa.float64()),
                         pa.array(entropy, pa.float64()),
                         pa.array(script, pa.string()),
+                        *batch.columns[3:],
                     ],
-                    names=[x.strip().split(" ")[0] for x in SCHEMA.split(",")],
+                    names=[*(x.strip().split(" ")[0] for x in SCHEMA.split(",")), *batch.schema.names[3:]],
                 )
         vocabulary.fresh()
 
     return run
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, model: str | None = None) -> DataFrame:
-    """One row per input row: its measures, base_failed, its band and kept.
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, model: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: its measures, base_failed, its band, kept, and the carried columns (as carried_<name>).
 
     base_failed: fewer than 20 words, or over 30 % of the words in 8-word windows that are
     found twice or more. kept: not base_failed, and inside the band of its language (null
@@ -108,8 +111,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts have no words and fail. Repeated rows are judged one by one; other
     columns are not looked at; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    seen = common.cut(rows.mapInArrow(_measure(model or pieces.default_path()), SCHEMA), "fertility")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
+    schema = SCHEMA + "".join(f", carried_{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    seen = common.cut(rows.mapInArrow(_measure(model or pieces.default_path()), schema), "fertility")
     seen = seen.withColumn("band", F.coalesce("lang", F.concat(F.lit("script:"), "script")))
     middle = lambda c: F.percentile_approx(c, 0.5, 2000).alias(f"mid_{c}")
     # one row for each language or script: at most a few hundred, as many as there are languages

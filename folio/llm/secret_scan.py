@@ -123,7 +123,7 @@ def _cuts(text: Column, rule: Rule, position: int) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rules=RULES) -> DataFrame:
-    """One row per input row: id, text, spans array<struct<start, kind, end>> in order.
+    """One row per input row: id, row (a hash of the text), spans array<struct<start, kind, end>> in order.
 
     Matches of a rule are leftmost and do not overlap; those that are too short are dropped;
     start and end count code points, end exclusive, kind is the rule's position. Null texts
@@ -133,18 +133,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rul
     rows = docs.select(common.row_id(id_col, text_col).alias("id"), F.col(id_col).alias("given"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     named = candidates(postings(rows, rules), rules)
     full = [r.kind for r in rules if not trigram_query(r.pattern)]
-    looked = rows.join(named, "id", "left").withColumn("row", F.monotonically_increasing_id())
+    looked = rows.join(common.few(named, "candidates"), "id", "left")
     none = F.array().cast("array<struct<kind:int,at:int,gap:int,found:int,good:boolean>>")
     parts = []
     for k, r in enumerate(rules):
         asked = F.col("text").rlike(r.pattern) if r.kind in full else F.array_contains("kinds", r.kind)
         parts.append(F.when(asked, _cuts(F.col("text"), r, k)).otherwise(none))
-    matched = looked.select("id", "given", "row", "text", F.explode_outer(F.concat(*parts)).alias("m")).select("id", "given", "row", "text", "m.*")
+    # equal rows have equal matches: they are counted, and one of them is followed
+    matched = looked.select("id", "given", F.xxhash64("text").alias("row"), F.concat(*parts).alias("m"))
+    once = matched.groupBy("id", "row").agg(F.first("given").alias("given"), F.first("m").alias("m"), F.count("*").alias("rows"))
+    each = once.select("id", "row", "given", "rows", F.explode_outer("m").alias("m")).select("id", "row", "given", "rows", "m.*")
     line = Window.partitionBy("id", "row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.coalesce("found", F.lit(0))).over(line)
     span = F.when(F.col("good"), F.struct((F.col("end") - F.col("found")).cast("int").alias("start"), "kind", F.col("end").cast("int").alias("end")))
-    light = matched.drop("text").withColumn("end", end).groupBy("id", "row").agg(F.first("given").alias("given"), F.sort_array(F.collect_list(span)).alias("spans"))
-    return light.select(F.col("given").alias("id"), "row", "spans")
+    light = each.withColumn("end", end).groupBy("id", "row").agg(F.first("given").alias("given"), F.first("rows").alias("rows"), F.sort_array(F.collect_list(span)).alias("spans"))
+    return light.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).select(F.col("given").alias("id"), "row", "spans")
 
 
 def described(spans: Column, rules=RULES) -> Column:
