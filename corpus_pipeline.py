@@ -6,7 +6,7 @@ the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import bagminhash, common, packing, quality_rules, secret_scan, suffix_dedup
@@ -21,45 +21,50 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go. Null and empty texts go; rows without an id, with a repeated
+    one and repeated rows are judged one by one; an empty table stays empty."""
     ship_package(spark)
-    docs = _keyed(docs)
-    judged = quality_rules.quality_rules(docs, "row_key")
-    kept = judged.groupBy("id").agg(F.min("kept").alias("kept")).where("kept").select(F.col("id").alias("row_key"))
-    return docs.join(kept, "row_key", "left_semi").select(COLUMNS)
+    judged = quality_rules.quality_rules(docs, carry=tuple(COLUMNS))
+    return judged.where("kept").select(*[F.col(f"carried_{c}").alias(c) for c in COLUMNS])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the least id stays (one without an id if none has any); of rows that
-    are equal in all columns one stays."""
+    are equal in all columns one stays. Texts without words are no copies of each other; an empty table stays empty."""
     ship_package(spark)
     docs = _keyed(docs)
-    classes = bagminhash.near_duplicates(docs, "row_key").withColumnRenamed("id", "row_key").distinct()
-    ids = docs.select("row_key", "doc_id").join(classes, "row_key")
+    classes = common.cut(bagminhash.near_duplicates(docs, "row_key").withColumnRenamed("id", "row_key"), "classes")
+    ids = docs.select("row_key", "doc_id").join(classes.distinct(), "row_key")
     kept = ids.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("m")).select("m.row_key")
-    one = Window.partitionBy("row_key").orderBy("text", "lang", "source", "n_chars")
-    return docs.join(kept, "row_key", "left_semi").withColumn("turn", F.row_number().over(one)).where("turn = 1").select(COLUMNS)
+    gone = common.few(classes.select("row_key").distinct().join(kept, "row_key", "left_anti"), "gone")
+    left = docs.join(gone, "row_key", "left_anti")
+    twice = common.few(classes.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key"), "twice")
+    once = left.join(twice, "row_key", "left_anti").select(COLUMNS)
+    return once.union(left.join(twice, "row_key", "left_semi").select(COLUMNS).dropDuplicates(COLUMNS))
 
 
 def passage_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 200 bytes and more that an earlier place has are cut out; the first stays."""
+    """Passages of 200 bytes and more that an earlier place has are cut out; the first stays. Null texts become empty;
+    rows without an id come last; an empty table stays empty."""
     ship_package(spark)
     left = suffix_dedup.remove_repeats(docs, keep="first", carry=("lang", "source"))
     return left.select(F.col("id").alias("doc_id"), F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
+    """Secrets are replaced by a mark. Null texts stay null; rows without an id, with a repeated one and repeated rows
+    are each searched by themselves; an empty table stays empty."""
     ship_package(spark)
     docs = _keyed(docs)
     found = secret_scan.scan(docs, "row_key").where(F.size("spans") > 0).groupBy("id").agg(F.max("spans").alias("spans"))
-    met = docs.join(found, docs["row_key"] == found["id"], "left")
+    met = docs.join(common.few(found, "found"), docs["row_key"] == F.col("id"), "left")
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secret_scan.redact(F.col("text"), F.col("spans")))
     return met.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents placed in sequences."""
+    """Pieces of documents placed in sequences; null and empty texts are their end id alone, rows without an id keep
+    the null, repeated rows are packed each; an empty table gives no piece."""
     ship_package(spark)
     return packing.pack(docs).withColumnRenamed("id", "doc_id")
 
