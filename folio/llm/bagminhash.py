@@ -103,6 +103,7 @@ def signatures(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, rows: in
 
 
 def _signed(width: int, bands: int, rows: int):
+    @common.frugal
     def run(batches):
         for whole in batches:
             for batch in common.pieces(whole, "text", CHUNK):
@@ -138,6 +139,7 @@ def jaccard(a: pa.Array, b: pa.Array, width: int = WIDTH) -> np.ndarray:
 
 
 def _verified(width: int, similarity: float):
+    @common.frugal
     def run(batches):
         for whole in batches:
             for batch in common.pieces(whole, "a"):
@@ -150,6 +152,7 @@ def _verified(width: int, similarity: float):
 def _elements(width: int):
     """The elements of the texts whose multiset is the node's (an id may have other texts too)."""
 
+    @common.frugal
     def run(batches):
         for whole in batches:
             for batch in common.pieces(whole, "text", CHUNK):

@@ -6,6 +6,8 @@ collects rows of the corpus to the driver.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -98,6 +100,23 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
         yield batch.slice(begin)
 
 
+def frugal(run):
+    """A function over Arrow batches that gives what it has freed back to the system when a task ends:
+    Spark keeps Python workers for the tasks of later stages."""
+
+    def with_release(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return with_release
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -386,6 +386,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", *
     """
     model = model or trained()
 
+    @common.frugal
     def run(batches):
         for whole in batches:
             for batch in common.pieces(whole, "html"):
@@ -400,6 +401,7 @@ def op9_html_tree(spark, sf_dir: str) -> DataFrame:
     pages = common.read_table(spark, sf_dir, "pages", "page_id", "url", "html")
     model = trained()
 
+    @common.frugal
     def run(batches):
         for whole in batches:
             for batch in common.pieces(whole, "html"):

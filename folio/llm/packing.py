@@ -119,6 +119,7 @@ def default_path() -> str:
 def _lengths(path: str, capacity: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
+    @common.frugal
     def run(batches):
         ids_of = word_ids(path)
         ids_of.fresh()
@@ -138,6 +139,7 @@ def _lengths(path: str, capacity: int, end_id: int):
 def _recut(path: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
+    @common.frugal
     def run(batches):
         for whole in batches:
             for batch in common.pieces(whole, "text", CHUNK):

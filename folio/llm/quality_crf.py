@@ -201,6 +201,7 @@ def score(docs: DataFrame, model: LineCrf, id_col: str = "doc_id", text_col: str
     at; an empty table gives an empty result.
     """
 
+    @common.frugal
     def run(batches):
         for whole in batches:
             for batch in common.pieces(whole, "text"):

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm import common, pieces
@@ -18,8 +18,12 @@ from folio.llm import common, pieces
 BAND_LOW, BAND_HIGH = 0.75, 1.7
 #: with more byte-fallback tokens than the median and this share,
 BAND_BYTES = 0.2
-#: or with entropy so far below the median. Shorter documents (tokens) say too little.
-BAND_ENTROPY, MIN_TOKENS = 0.22, 48
+#: or with entropy so far below the median. Documents of fewer tokens have bands of their own.
+BAND_ENTROPY, SHORT_TOKENS = 0.22, 48
+#: Medians are exact on a grid of this step.
+GRID = 0.001
+#: Bands that may be broadcast: a few for each language or script.
+MOST_BANDS = 100_000
 
 SCHEMA = (
     "id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
@@ -54,6 +58,7 @@ def repeated_words(word: np.ndarray, row: np.ndarray, rows: int, width: int = 8)
 def _measure(model: str):
     """Measures of (id, lang, text); further columns stay as they are."""
 
+    @common.frugal
     def run(batches):
         vocabulary = pieces.load(model)
         vocabulary.fresh()
@@ -107,26 +112,38 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     base_failed: fewer than 20 words, or over 30 % of the words in 8-word windows that are
     found twice or more. kept: not base_failed, and inside the band of its language (null
-    language: of its script). Bands come from the medians over all documents of the group.
+    language: of its script), short documents apart. Bands come from the medians over all documents of the group.
     Null and empty texts have no words and fail. Repeated rows are judged one by one; other
     columns are not looked at; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
     schema = SCHEMA + "".join(f", carried_{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
     seen = common.cut(rows.mapInArrow(_measure(model or pieces.default_path()), schema), "fertility")
-    seen = seen.withColumn("band", F.coalesce("lang", F.concat(F.lit("script:"), "script")))
-    middle = lambda c: F.percentile_approx(c, 0.5, 2000).alias(f"mid_{c}")
-    # one row for each language or script: at most a few hundred, as many as there are languages
-    bands = seen.where(f"n_tokens >= {MIN_TOKENS}").groupBy("band").agg(middle("chars_per_token"), middle("byte_share"), middle("entropy"))
-    judged = seen.join(bands, "band", "left")
+    short = F.when(F.col("n_tokens") < SHORT_TOKENS, F.lit(":short")).otherwise(F.lit(""))
+    seen = seen.withColumn("band", F.concat(F.coalesce("lang", F.concat(F.lit("script:"), "script")), short))
+    judged = seen.join(common.few(medians(seen, "band", MEASURES), "bands", MOST_BANDS), "band", "left")
     failed = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
     inside = (
-        f"n_tokens < {MIN_TOKENS} or mid_entropy is null or (chars_per_token between {BAND_LOW} * mid_chars_per_token and {BAND_HIGH} * mid_chars_per_token"
+        f"n_tokens = 0 or mid_entropy is null or (chars_per_token between {BAND_LOW} * mid_chars_per_token and {BAND_HIGH} * mid_chars_per_token"
         f" and byte_share <= mid_byte_share + {BAND_BYTES} and entropy >= mid_entropy - {BAND_ENTROPY})"
     )
     return judged.selectExpr("*", f"({failed}) as base_failed", f"not ({failed}) and ({inside}) as kept")
 
 
+MEASURES = ("chars_per_token", "byte_share", "entropy")
+
+
+def medians(seen: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """key and mid_<column>: lower medians of columns over each key, exact on the grid, from counts of the grid's
+    steps, so that they do not depend on how rows are dealt."""
+    steps = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.round(F.col(c) / GRID).cast("long").alias("step")) for c in columns]))
+    counts = seen.where("n_tokens > 0").select(key, steps.alias("x")).groupBy(key, "x.column", "x.step").agg(F.count("*").alias("n"))
+    line = Window.partitionBy(key, "column")
+    run = counts.select(key, "column", "step", F.sum("n").over(line.orderBy("step")).alias("upto"), F.sum("n").over(line).alias("all"))
+    middle = run.where("2 * upto >= all").groupBy(key, "column").agg(F.min("step").alias("step"))
+    return middle.groupBy(key).agg(*[F.max(F.when(F.col("column") == c, F.col("step") * GRID)).alias(f"mid_{c}") for c in columns])
+
+
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     out = quality_rules(common.read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
     return out.selectExpr("id as doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy", "band")

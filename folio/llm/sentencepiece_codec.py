@@ -23,6 +23,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     model = model or pieces.default_path()
 
+    @common.frugal
     def run(batches):
         vocabulary = pieces.load(model)
         vocabulary.fresh()

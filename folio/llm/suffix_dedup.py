@@ -65,6 +65,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, seed: i
 
 
 def _anchored(length: int, seed: int):
+    @common.frugal
     def run(batches):
         for whole in batches:
             for batch in common.pieces(whole, "text"):
@@ -90,6 +91,7 @@ def _anchored(length: int, seed: int):
 def _segments(length: int):
     """Bytes of the wanted cells, one piece a cell."""
 
+    @common.frugal
     def run(batches):
         for batch in batches:
             out = [[], [], [], [], [], []]
@@ -112,6 +114,7 @@ def _segments(length: int):
 def _windows(length: int):
     """Two hashes of each window of the wanted cells, and where it stands."""
 
+    @common.frugal
     def run(batches):
         for batch in batches:
             ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -219,6 +222,7 @@ def _sorted_repeats(length: int, first: bool):
             names=["id", "key", "start", "end"],
         )
 
+    @common.frugal
     def run(batches):
         held, size = [], 0
         for batch in batches:
@@ -291,6 +295,7 @@ def repeats(rows: DataFrame, *, keep: str = "first", length: int = LENGTH, seed:
     return found.union(marked.select("id", "key", F.col("pos").alias("start"), (F.col("pos") + length).alias("end")))
 
 
+@common.frugal
 def _stripped(batches):
     for whole in batches:
         for batch in common.pieces(whole, "text"):

@@ -106,6 +106,7 @@ _ARC_SCHEMA = "page_id long, url string, address string, date string, type strin
 def read_arc(spark, path: str) -> DataFrame:
     """The records of ARC files, one row each; body is the HTTP response."""
 
+    @common.frugal
     def run(batches):
         rows, held = [], 0
         types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
@@ -178,6 +179,7 @@ _WARC_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_
 def read_warc(spark, path: str) -> DataFrame:
     """The records of WARC files; intact: a response's payload has the declared digest and length."""
 
+    @common.frugal
     def run(batches):
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
         names = [x.strip().split(" ")[0] for x in _WARC_SCHEMA.split(",")]
