@@ -30,8 +30,16 @@ def local_session(cores: str = "8", memory: str = "8g", **conf: str) -> SparkSes
     return spark
 
 
+#: Rows of an Arrow batch, where the session has not said: a row can be a whole document.
+BATCH_ROWS, _DEFAULT_ROWS = "1000", "10000"
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Gives this package to the executors' Python (as --py-files would), once per application."""
+    """Gives this package to the executors' Python (as --py-files would), once per application, and
+    bounds Arrow batches."""
+    if spark.conf.get(_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(_ROWS, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(__file__).resolve().parent
