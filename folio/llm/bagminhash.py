@@ -195,8 +195,10 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(around, labels["node"] == around["u"]).select("node", "class", F.least("class", "near").alias("low"))
         jumps = labels.select(F.col("node").alias("low"), F.col("class").alias("next"))
         moved = common.cut(lower.join(jumps, "low").select("node", F.col("class").alias("old"), F.least("low", "next").alias("class")), "labels")
+        common.discard(labels)
         labels = moved.select("node", "class")
         if moved.where("old <> class").isEmpty():
+            common.discard(links)
             return labels
 
 

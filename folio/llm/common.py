@@ -65,6 +65,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the table that cut() wrote; nothing that is still to be run may read it."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/folio-" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def few(df: DataFrame, name: str, rows: int = FEW_ROWS) -> DataFrame:
     """The table, written once; with a hint to broadcast it if it has no more than so many rows."""
     df = cut(df, name)

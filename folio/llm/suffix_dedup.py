@@ -5,7 +5,7 @@ least-hashed inner string of SEED bytes is its anchor, so equal windows have equ
 The windows of one anchor form a cell; cells that are equal as a whole are counted by a
 plain aggregation. Only where an anchor occurs in cells that differ are their bytes brought
 together: there a suffix array is built, and from the previous and next smaller positions
-in suffix order comes the longest earlier (and longest other) match of every window. Where
+in suffix order comes the longest earlier (and later) match of every window. Where
 they are more than GROUP, their windows are counted by two hashes instead, so that no task
 has to hold a group.
 """
@@ -93,7 +93,7 @@ def _segments(length: int):
 
     @common.frugal
     def run(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in common.pieces(whole, "text")):
             out = [[], [], [], [], [], []]
             raw = batch.column(2).cast(pa.binary()).to_pylist()
             held = 0
@@ -116,7 +116,7 @@ def _windows(length: int):
 
     @common.frugal
     def run(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in common.pieces(whole, "text")):
             ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             raw = batch.column(2).cast(pa.binary()).to_pylist()
             for i, wanted in enumerate(batch.column(3).to_pylist()):
@@ -186,7 +186,8 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int, first: b
     """Which of the windows at these (rising) starts also stand elsewhere; first: earlier.
 
     The longest previous factor of a place is that with its previous or its next smaller
-    position in suffix order; links say where factors reach the length.
+    position in suffix order; links say where factors reach the length. A window stands elsewhere
+    if it has such a factor, or is one of a later place: of its previous or next larger position.
     """
     order, ranks = suffix_array(data, length)
     wanted = np.zeros(len(data), bool)
@@ -195,10 +196,9 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int, first: b
     link = same_prefix(ranks, order[:-1], order[1:], length) if len(order) > 1 else np.zeros(0, bool)
     earlier = (nearest_smaller(order, link, -1) >= 0) | (nearest_smaller(order, link, 1) >= 0)
     out = np.zeros(len(data), bool)
-    if first:
-        out[order[earlier]] = True
-    else:
-        out[order[np.concatenate([[False], link]) | np.concatenate([link, [False]])]] = True
+    out[order[earlier]] = True
+    if not first:
+        out[order[(nearest_smaller(-order, link, -1) >= 0) | (nearest_smaller(-order, link, 1) >= 0)]] = True
     return out[starts]
 
 
@@ -206,6 +206,9 @@ def _sorted_repeats(length: int, first: bool):
     """Rows come sorted by bucket, id, position; whole buckets are sorted together."""
 
     def judge(table: pa.Table):
+        # rows that repeat an id and a text are one place
+        place = [table.column(c).to_numpy() for c in ("bucket", "id", "key", "pos")]
+        table = table.filter(pa.array(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in place], axis=0)])))
         n = table.column("n").to_numpy().astype(np.int64)
         data, offsets = common.byte_view(table.column("bytes").combine_chunks())
         total = int(n.sum())
@@ -262,6 +265,7 @@ def repeats(rows: DataFrame, *, keep: str = "first", length: int = LENGTH, seed:
     cells = common.cut(rows.mapInArrow(_anchored(length, seed), "id long, key int, at long, gram long, cell long"), "cells")
     again = cells.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").select("gram")
     shared = common.cut(cells.join(again, "gram"), "shared")
+    common.discard(cells)
     kinds = shared.groupBy("gram", "cell").agg(F.count("*").alias("copies"), F.min(F.struct("id", "key", "at")).alias("f"))
     kinds = common.cut(kinds, "kinds")
     mixed = kinds.groupBy("gram").agg(F.count("*").alias("differing")).where("differing > 1")

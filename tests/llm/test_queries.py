@@ -312,7 +312,12 @@ def test_quality_crf(spark, sf_dir):
 def test_repeated_rows(docs):
     twice = docs.union(docs)
     assert quality_rules.quality_rules(twice).count() == secret_scan.scan(twice).count() == 2 * len(TEXTS)
-    assert suffix_dedup.remove_repeats(twice, keep="first").count() == 2 * len(TEXTS)
+    once = lambda df: Counter((r.id, r.kept) for r in df.collect())
+    left = once(suffix_dedup.remove_repeats(docs, keep="first"))
+    assert once(suffix_dedup.remove_repeats(twice, keep="first")) == {k: 2 * n for k, n in left.items()}
+    for r in suffix_dedup.remove_repeats(twice, keep="none").collect():  # every row has a copy
+        b = (TEXTS[r.id] or "").encode()
+        assert r.kept_sha256 == hashlib.sha256(b if len(b) < 200 else b"").hexdigest()
     assert sentencepiece_codec.encode_decode(twice).count() == 2 * len(TEXTS)
 
 
