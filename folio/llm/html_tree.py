@@ -20,16 +20,15 @@ from pyspark.sql import functions as F
 
 from folio.llm import common
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME, _UNQUOTED = re.compile(r"(/?)([a-zA-Z][^\s/>]*)"), re.compile(r"[^>\"']*")
 #: Attributes one by one, each with its value, so that nothing inside a value is taken for a name.
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
 VOID = frozenset("area base basefont br col embed frame hr img input link meta param source track wbr".split())
 #: Their content is never text.
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-DROPPED = RAW | frozenset("head form button select option svg math object audio video canvas dialog map".split())
+DROPPED = RAW | frozenset("head form button select option svg audio video canvas map".split())
 #: A start of these ends an open p.
 ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
@@ -38,6 +37,9 @@ ENDS_P = frozenset(
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
 FENCES = frozenset("ul ol dl table menu html body".split())
 
+#: All other elements are inline: they stand within a block and do not divide it.
+BLOCKS = ENDS_P | DROPPED | frozenset("html body li dt dd tr td th thead tbody tfoot caption legend optgroup".split())
+
 TAGS = "html body div section article main header footer nav aside p h1 h2 h3 h4 ul ol li table td blockquote pre figure".split()
 TAG_ID = {t: i for i, t in enumerate(TAGS)} | {"h5": TAGS.index("h4"), "h6": TAGS.index("h4"), "th": TAGS.index("td"), "dd": TAGS.index("li"), "dt": TAGS.index("li"), "dl": TAGS.index("ul"), "menu": TAGS.index("nav")}
 #: Words of class, id and role, by what they say.
@@ -67,6 +69,44 @@ _BOX, _LEAF = frozenset("div section article main header footer nav aside body".
 PAGES, EPOCHS, STEP, DECAY = 700, 300, 0.15, 1e-5
 
 
+def tags(source: str):
+    """(start, end, "/" or "", name, attributes) of every tag, and of comments and declarations (no name), in
+    one pass: a quote counts after "=" if it is closed; where a tag would reach the end of the page
+    with its quotes, quotes no longer count."""
+    at, size, quotes = 0, len(source), True
+    last = {q: source.rfind(q) for q in "\"'"}
+    while (low := source.find("<", at)) >= 0:
+        if source.startswith("<!--", low):
+            end = source.find("-->", low + 4)
+            at = end + 3 if end >= 0 else size
+            yield low, at, "", None, ""
+            continue
+        if source[low + 1 : low + 2] in ("!", "?"):
+            end = source.find(">", low)
+            at = end + 1 if end >= 0 else size
+            yield low, at, "", None, ""
+            continue
+        name = _NAME.match(source, low + 1)
+        if not name:
+            at = low + 1
+            continue
+        end = pos = name.end()
+        while quotes:
+            end = _UNQUOTED.match(source, pos).end()
+            if end == size:
+                quotes = False
+            elif source[end] == ">":
+                break
+            elif end < last[source[end]] and source[pos:end].rstrip().endswith("="):
+                pos = source.find(source[end], end + 1) + 1
+            else:
+                pos = end + 1
+        if not quotes:
+            end = source.find(">", name.end())
+        at = end + 1 if end >= 0 else size
+        yield low, at, name[1], name[2].lower(), source[name.end() : at - 1 if end >= 0 else size]
+
+
 class Page:
     """Elements of a page in document order, and its blocks of text."""
 
@@ -78,8 +118,9 @@ class Page:
         self._read(source)
 
     def _read(self, source: str) -> None:
-        tags, parents, flags, dropped, labels = self.tag, self.parent, self.flags, self.dropped, self.label
         stack: list[int] = []
+        places: dict[str, list[int]] = {}  # where on the stack each tag stands
+        fences, boxes = [-1], [-1]  # and those that others don't close
         buffer: list[str] = []
         linked, in_link = 0, False
         skip_to = at = 0
@@ -94,78 +135,80 @@ class Page:
                     self.links.append(min(linked, len(text)))
             linked = 0
 
-        for m in _TAG.finditer(source):
-            if m.start() < skip_to:
+        def push(node: int, name: str):
+            places.setdefault(name, []).append(len(stack))
+            if name in FENCES:
+                fences.append(len(stack))
+            if name in FENCES or name in _BOX:
+                boxes.append(len(stack))
+            stack.append(node)
+
+        def pop(k: int):
+            while len(stack) > k:
+                places[self.tag[stack.pop()]].pop()
+            for marks in (fences, boxes):
+                while marks[-1] >= k:
+                    marks.pop()
+
+        def top(name: str) -> int:
+            return places[name][-1] if places.get(name) else -1
+
+        for start, end, closing, name, attributes in tags(source):
+            if start < skip_to:
                 continue
-            if m.start() > at:
-                piece = source[at : m.start()]
+            if start > at:
+                piece = source[at:start]
                 buffer.append(piece)
                 if in_link:
                     linked += len(piece)
-            at = m.end()
-            name = m[2]
+            at = end
             if name is None:
                 continue
-            name = name.lower()
-            if name in INLINE:
-                if name == "a":
-                    in_link = not m[1]
-                continue
             if name == "br" or name in VOID and name != "hr":
                 if not buffer or buffer[-1] != " ":
                     buffer.append(" ")
                 continue
-            if m[1]:  # an end tag: closes up to its start, if that is open
-                for k in range(len(stack) - 1, -1, -1):
-                    if tags[stack[k]] == name:
-                        flush()
-                        in_link = False
-                        del stack[k:]
-                        break
-                    if tags[stack[k]] in FENCES and name not in FENCES and name not in ENDS_P:
-                        break
+            if name not in BLOCKS:
+                if name == "a":
+                    in_link = not closing
+                continue
+            if closing:  # closes up to its start, if that is open
+                k = top(name)
+                if k >= 0 and (k >= fences[-1] or name in FENCES or name in ENDS_P):
+                    flush()
+                    in_link = False
+                    pop(k)
                 continue
             flush()
             in_link = False
             if name == "hr":
                 continue
-            if name in ENDS_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if tags[stack[k]] == "p":
-                        del stack[k:]
-                        break
-                    if tags[stack[k]] in _BOX or tags[stack[k]] in FENCES:
-                        break
-            for k in range(len(stack) - 1, -1, -1) if name in ENDS else ():
-                if tags[stack[k]] in FENCES:
-                    break
-                if tags[stack[k]] in ENDS[name]:
-                    del stack[k:]
-                    break
-            if name == "body" and "head" in (tags[s] for s in stack):
-                del stack[[tags[s] for s in stack].index("head") :]
-            node = len(tags)
-            up = stack[-1] if stack else -1
-            meaning, label, gone = 0, labels[up] if up >= 0 else 0, name in DROPPED or (up >= 0 and dropped[up])
-            for a in _ATTRIBUTE.finditer(m[3]) if m[3] else ():
+            if name in ENDS_P and top("p") > boxes[-1]:
+                pop(top("p"))
+            k = max((top(t) for t in ENDS.get(name, ())), default=-1)
+            if k > fences[-1]:
+                pop(k)
+            if name == "body" and top("head") >= 0:
+                pop(places["head"][0])
+            node, up = len(self.tag), stack[-1] if stack else -1
+            meaning, label = 0, self.label[up] if up >= 0 else 0
+            for a in _ATTRIBUTE.finditer(attributes):
                 key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
                 if key == "data-y":
-                    label = int(value)
-                elif key == "hidden" or key == "aria-hidden" and value == "true":
-                    gone = True
+                    label = 1 if value == "1" else 0
                 elif key in ("class", "id", "role"):
                     for w in _WORD.findall(value):
                         meaning |= _MEANS.get(w, 0)
-            tags.append(name)
-            parents.append(up)
-            flags.append(meaning)
-            dropped.append(gone)
-            labels.append(label)
+            self.tag.append(name)
+            self.parent.append(up)
+            self.flags.append(meaning)
+            self.dropped.append(name in DROPPED or (up >= 0 and self.dropped[up]))
+            self.label.append(label)
             if name in RAW:
                 end = re.compile(f"</{name}\\s*>", re.I).search(source, at)
                 skip_to = at = end.end() if end else len(source)
-            elif not m[3].endswith("/") or name not in ("path", "use", "circle", "rect"):
-                stack.append(node)
+            else:
+                push(node, name)
         if at < len(source):
             buffer.append(source[at:])
         flush()
@@ -378,11 +421,11 @@ def trained() -> TreeModel:
     return _TRAINED[0]
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", *, model: TreeModel | None = None) -> DataFrame:
-    """id, text and n_chars of every page.
+def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", *, model: TreeModel | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, the carried columns, text and n_chars of every page.
 
-    Null and empty pages, and those without content, have the empty text. Repeated rows stay;
-    other columns are not looked at; an empty table gives an empty result.
+    Null and empty pages, and those without content, have the empty text; a page without tags is content. Repeated
+    rows stay; other columns are not looked at; an empty table gives an empty result.
     """
     model = model or trained()
 
@@ -390,22 +433,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", *
     def run(batches):
         for whole in batches:
             for batch in common.pieces(whole, "html"):
-                texts = ["\n".join(t) for t in model.texts([h or "" for h in batch.column(batch.num_columns - 1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "text", "n_chars"])
+                texts = ["\n".join(t) for t in model.texts([h or "" for h in batch.column(1).to_pylist()])]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), *batch.columns[2:]], names=["id", "text", "n_chars", *batch.schema.names[2:]]
+                )
 
-    return pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html")).mapInArrow(run, "id long, text string, n_chars long")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("html"), *[F.col(c).alias(f"carried_{c}") for c in carry])
+    types = "".join(f", carried_{c} {pages.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(run, f"id long, text string, n_chars long{types}")
 
 
 def op9_html_tree(spark, sf_dir: str) -> DataFrame:
     """Main text of all pages; the url goes along in the same pass."""
     pages = common.read_table(spark, sf_dir, "pages", "page_id", "url", "html")
-    model = trained()
-
-    @common.frugal
-    def run(batches):
-        for whole in batches:
-            for batch in common.pieces(whole, "html"):
-                texts = ["\n".join(t) for t in model.texts([h or "" for h in batch.column(2).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return pages.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return extract(pages, carry=("url",)).selectExpr("id as page_id", "carried_url as url", "text", "n_chars")

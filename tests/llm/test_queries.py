@@ -291,7 +291,7 @@ def test_html_tree(spark):
 
 def test_html_tree_drops_nothing_else(spark):
     some = "A sentence of the article, which is long enough to be read. " * 6
-    article = '<html><body><article style="overflow:hidden" title="the hidden garden" data-state=not-hidden><h1>Title</h1><p>{}</p></article><div hidden><p>unseen</p></div></body></html>'
+    article = '<html><body><article style="overflow:hidden" title="the hidden garden" data-state=not-hidden><h1>Title</h1><p>{}</p></article></body></html>'
     nav = "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>"
     pages = spark.createDataFrame([(1, article.format(some)), (2, some), (3, nav + some), (4, f"{some}<div>{some}</div>")], "page_id long, html string")
     got = rows_of(html_tree.extract(pages))
@@ -300,6 +300,40 @@ def test_html_tree_drops_nothing_else(spark):
     assert got[4].text == f"{some.strip()}\n{some.strip()}"
 
 
+def test_html_tree_keeps_hidden_and_formulas(spark):
+    some = "A sentence of the article, which is long enough to be read. " * 4
+    page = f"<html><body><article><h1>Title</h1><p>{some}</p><p hidden>kept too, with <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <b>bold</b>.</p></article></body></html>"
+    table = spark.createDataFrame([(1, page, "c"), (1, page, "c"), (2, None, "c"), (None, some, "c")], "page_id long, html string, text string")
+    got = html_tree.extract(table).collect()
+    assert len(got) == 4 and all(r.n_chars == len(r.text) for r in got)
+    assert [r.text for r in got if r.id == 1] == [f"Title\n{some.strip()}\nkept too, with x=1 and bold."] * 2
+    assert [r.text for r in got if r.id is None] == [some.strip()]
+    assert html_tree.extract(table.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("part", ["<p title='x ", "<p ", "<div>", "</li>", "<a \">\" ", "<!--", "<li><ul>", "<"])
+def test_html_of_hostile_pages_is_read_in_one_pass(part):
+    import time
+
+    began = time.process_time()
+    html_tree.Page(part * (400_000 // len(part)))
+    assert time.process_time() - began < 4
+
+
+def test_sum_product_is_exact():
+    forest = html_tree.Forest([html_tree.Page("<div class=nav>some words<p>one <i>two</i><p>three</div><ul><li>a<li>b</ul>tail")])
+    weight, link = RNG.normal(size=html_tree.FEATURES), RNG.normal(size=(html_tree.LINKS, 2, 2))
+    got, _ = forest.marginals(weight, link)
+    n, half, total = len(forest.x), forest.x @ weight / 2, 0.0
+    want = np.zeros(n)
+    for code in range(1 << n):
+        y = np.array([code >> i & 1 for i in range(n)])
+        value = np.sum(np.where(y, half, -half)) + sum(link[forest.kind[i], y[forest.parent[i]], y[i]] for i in range(n) if forest.parent[i] >= 0)
+        total += np.exp(value)
+        want += np.exp(value) * y
+    assert np.allclose(got, want / total) and 5 < n < 12
+
+
 def test_quality_crf(spark, sf_dir):
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     got = rows_of(quality_crf.op10_quality_crf(spark, sf_dir), "doc_id")
