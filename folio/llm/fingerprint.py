@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from folio.llm import common
 
 SAMPLES = 32
-#: Documents whose ids share this quotient are ordered together.
+#: About so many documents, at most, of neighbouring ids are ordered together.
 BUCKET = 1024
+#: The densest of so many equal shares of the ids says how wide a bucket is.
+SHARES = 200
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -31,11 +33,10 @@ def sample_value(term: str, weight: str, k: int) -> Column:
     return F.expr(f"{ln_c} - {r} * (floor({weight} / {r} + {beta}) - {beta}) - {r}")
 
 
-def signatures(terms: DataFrame, keys: list[str], samples: int = SAMPLES, *carried: str) -> DataFrame:
-    """keys and signature array<double>, from rows of keys, term (a 64-bit hash) and ln_weight, a row per term;
-    of carried columns the largest value."""
+def signatures(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
+    """keys and signature array<double>, from rows of keys, term (a 64-bit hash) and ln_weight, a row per term."""
     lows = [F.min(sample_value("term", "ln_weight", k)).alias(f"s{k}") for k in range(samples)]
-    return terms.groupBy(*keys).agg(*lows, *[F.max(c).alias(c) for c in carried]).select(*keys, *carried, F.array(*[f"s{k}" for k in range(samples)]).alias("signature"))
+    return terms.groupBy(*keys).agg(*lows).select(*keys, F.array(*[f"s{k}" for k in range(samples)]).alias("signature"))
 
 
 def printed(signature: Column) -> Column:
@@ -49,66 +50,71 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(same / F.lit(float(samples)))
 
 
-def _next_bucket(ids: DataFrame) -> DataFrame:
-    """bucket and the next lower bucket that has documents (of the lowest: the highest), with its highest id.
-    The last window has a row for BUCKET * BUCKET ids."""
-    buckets = ids.groupBy("bucket").agg(F.max("id").alias("top")).withColumn("group", F.floor(F.col("bucket") / BUCKET))
-    groups = buckets.groupBy("group").agg(F.max("top").alias("group_top"))
-    down = Window.orderBy(F.col("group").desc())
-    highest = groups.agg(F.max("group_top").alias("highest"))
-    groups = groups.withColumn("below", F.lead("group_top").over(down)).crossJoin(F.broadcast(highest)).select("group", F.coalesce("below", "highest").alias("below"))
-    inside = Window.partitionBy("group").orderBy(F.col("bucket").desc())
-    return buckets.withColumn("lower", F.lead("top").over(inside)).join(groups, "group").select("bucket", F.coalesce("lower", "below").alias("next_id"))
+def bucketed(rows: DataFrame) -> DataFrame:
+    """Adds bucket, a quotient of the id; its divisor follows the densest ids, so that sparse ids have
+    small buckets and none is large."""
+    marks = [i / SHARES for i in range(SHARES + 1)]
+    found = rows.agg(F.percentile_approx("id", marks, 10_000).alias("marks"), F.count("*").alias("n")).first()
+    width = min((b - a for a, b in zip(found["marks"], found["marks"][1:]) if b > a), default=1) if found["marks"] else 1
+    divisor = max(1, int(BUCKET * width * SHARES / max(found["n"], 1)), BUCKET if found["n"] <= SHARES else 1)
+    return rows.withColumn("bucket", F.expr(f"id div {divisor} - if(id < 0, 1, 0)"))
+
+
+def _next_bucket(rows: DataFrame) -> DataFrame:
+    """bucket and the next lower bucket that has documents (of the lowest: the highest): buckets are dealt by
+    range, and the last window has a row for each partition."""
+    buckets = rows.select("bucket").distinct().repartitionByRange("bucket")
+    buckets = common.cut(buckets.withColumn("part", F.spark_partition_id()), "buckets")
+    ends = buckets.groupBy("part").agg(F.max("bucket").alias("top"))
+    below = ends.select("part", F.lag("top").over(Window.orderBy("part")).alias("below"), F.max("top").over(Window.partitionBy(F.lit(1))).alias("highest"))
+    inside = Window.partitionBy("part").orderBy(F.col("bucket").desc())
+    return buckets.withColumn("lower", F.lead("bucket").over(inside)).join(F.broadcast(below), "part").select("bucket", F.coalesce("lower", "below", "highest").alias("next_bucket"))
 
 
 def with_next(rows: DataFrame, column: str) -> DataFrame:
-    """Adds next_<column>: that of the row with the next lower id (of the last: of the first).
-    rows: id and the column, each id once or, if repeated, the row with the least value counts."""
-    held = rows.withColumn("bucket", F.floor(F.col("id") / BUCKET))
-    after = _next_bucket(held.select("id", "bucket"))
+    """Adds next_<column>: that of the row that follows in descending order of id, then key (of the last: of the first);
+    rows: bucket, id, key and the column. Rows that repeat id and key are one; copies says how many they are."""
+    order = [F.col("id").desc(), F.col("key")]
     # the first row of each bucket, found where the rows lie; only these few travel
-    first = held.groupBy("bucket").agg(F.max(F.col("id")).alias("top"), F.min_by(column, F.struct(-F.col("id"), column)).alias("head"))
-    heads = after.withColumn("below", F.floor(F.col("next_id") / BUCKET)).join(first.select(F.col("bucket").alias("below"), "head"), "below").select("bucket", "head")
-    down = Window.partitionBy("bucket").orderBy(F.col("id").desc(), column)
-    once = held.withColumn("before", F.lag("id").over(down)).where("before is null or before <> id").drop("before")
-    down = Window.partitionBy("bucket").orderBy(F.col("id").desc())
-    led = once.withColumns({"lead": F.lead(column).over(down), "last": F.lead("id").over(down).isNull()})
-    tail = heads.withColumnRenamed("bucket", "b")
-    joined = led.join(tail, (F.col("bucket") == F.col("b")) & F.col("last"), "left")
-    return joined.select("bucket", *rows.columns, F.when(F.col("last"), F.col("head")).otherwise(F.col("lead")).alias(f"next_{column}"))
+    first = rows.groupBy("bucket").agg(F.min_by(column, F.struct(-F.col("id"), "key")).alias("head"))
+    heads = _next_bucket(rows).join(first.select(F.col("bucket").alias("next_bucket"), "head"), "next_bucket").select(F.col("bucket").alias("b"), "head")
+    line = Window.partitionBy("bucket").orderBy(*order)
+    place = {"place": F.row_number().over(line), "before": F.lag(F.struct("id", "key")).over(line), "size": F.count("*").over(Window.partitionBy("bucket"))}
+    once = rows.withColumns(place).where("before is null or before.id <> id or before.key <> key")
+    led = once.withColumns({"lead": F.lead(column).over(line), "then": F.lead("place").over(line)})
+    joined = led.join(heads, (F.col("bucket") == F.col("b")) & F.col("then").isNull(), "left")
+    copies = (F.coalesce("then", F.col("size") + 1) - F.col("place")).alias("copies")
+    return joined.select(*rows.columns, copies, F.when(F.col("then").isNull(), F.col("head")).otherwise(F.col("lead")).alias(f"next_{column}"))
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, samples: int = SAMPLES) -> DataFrame:
-    """One row per id: n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """One row per input row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last half replaced by as much of the next document's beginning,
-    in descending order of ids. Null texts are empty; a text without words has an empty
-    fingerprint; of rows that repeat an id, and of those without an id, one counts (the least text);
-    other columns are not looked at; an empty table gives an empty result.
+    in descending order of ids; rows that repeat an id follow by a hash of their text, rows without an id come first,
+    and rows that repeat both share their results. Null texts are empty; a text without words has an empty
+    fingerprint; other columns are not looked at; an empty table gives an empty result.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**62))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = F.length("text")
-    half = F.floor(n / 2).cast("int")
-    pairs = with_next(rows, "text").select("bucket", "id", "text", F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half)).alias("edited"))
-    # one pass: a third "text" of a single word carries the facts, its digest as four numbers
-    digest = F.sha2("edited", 256)
-    digits = [F.conv(F.substring(digest, 16 * k + 1, 16), 16, -10).cast("long").alias(f"h{k}") for k in range(4)]
-    none = [F.lit(None).cast("long").alias(c) for c in ("n_chars", "h0", "h1", "h2", "h3")]
-    text = lambda kind, column, *facts: F.struct(F.lit(kind).alias("kind"), column.alias("t"), *facts)
-    kinds = F.array(text(0, F.col("text"), *none), text(1, F.col("edited"), *none), text(2, F.lit("-"), F.length("text").cast("long").alias("n_chars"), *digits))
-    facts = ["n_chars", "h0", "h1", "h2", "h3"]
-    words = pairs.select("bucket", "id", F.explode(kinds).alias("x")).select("bucket", "id", "x.kind", *[f"x.{c}" for c in facts], F.explode(F.split("x.t", _SPACE)).alias("word")).where("word <> ''")
-    terms = words.select("bucket", "id", "kind", *facts, F.xxhash64("word").alias("term"), F.length("word").alias("size"))
-    terms = terms.groupBy("bucket", "id", "kind", "term", "size", *facts).agg(F.count("*").alias("n"))
-    signed = signatures(terms.withColumn("ln_weight", F.expr("ln(double(n * size))")), ["bucket", "id", "kind"], samples, *facts)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = bucketed(docs.select(common.row_id(id_col, text_col).alias("id"), F.xxhash64(text).alias("key"), F.col(id_col).cast("long").alias("given"), text.alias("text")))
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr("next_text", F.lit(1), half))
+    pairs = with_next(rows, "text").withColumn("edited", edited)
+    place = ["bucket", "id", "key"]
+    facts = pairs.select(*place, "given", "copies", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
+    words = pairs.select(*place, F.explode(kinds).alias("x")).select(*place, "x.kind", F.explode(F.split("x.t", _SPACE)).alias("word")).where("word <> ''")
+    terms = words.select(*place, "kind", F.xxhash64("word").alias("term"), F.length("word").alias("size")).groupBy(*place, "kind", "term", "size").agg(F.count("*").alias("n"))
+    signed = signatures(terms.withColumn("ln_weight", F.expr("ln(double(n * size))")), [*place, "kind"], samples)
     signed = signed.withColumn("f", printed(F.col("signature")))
-    one = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("f"))), F.lit(""))
-    sha = F.concat(*[F.lpad(F.lower(F.hex(F.max(f"h{k}"))), 16, "0") for k in range(4)])
-    both = signed.groupBy("bucket", "id").agg(F.max("n_chars").alias("n_chars"), sha.alias("edited_sha256"), one(0).alias("fingerprint"), one(1).alias("edited_fingerprint"))
-    both = common.cut(both.drop("bucket"), "fingerprints")
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("f"))).alias(f"f{kind}")
+    both = facts.join(signed.groupBy(*place).agg(of(0), of(1)), place, "left")
+    both = both.select(*place, "given", "copies", "n_chars", "edited_sha256", F.coalesce("f0", F.lit("")).alias("fingerprint"), F.coalesce("f1", F.lit("")).alias("edited_fingerprint"))
+    both = common.cut(both, "fingerprints")
     a, b, c = (F.col(x) for x in ("fingerprint", "edited_fingerprint", "next_fingerprint"))
-    return with_next(both, "fingerprint").select(
-        "id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(a, b, samples).alias("near_edited"), likeness(a, c, samples).alias("near_next")
+    out = with_next(both.withColumnRenamed("copies", "rows"), "fingerprint").withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows").cast("long"))))
+    return out.select(
+        F.col("given").alias("id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(a, b, samples).alias("near_edited"), likeness(a, c, samples).alias("near_next")
     )
 
 

@@ -258,6 +258,30 @@ def test_fingerprint(docs, empty):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def weights(t):
+    return {w: n * len(w) for w, n in Counter(WORD.findall(t or "")).items()}
+
+
+def test_fingerprint_of_sparse_ids(spark):
+    """Hashed and missing ids, repeated rows; and how near the likeness comes to the exact generalised Jaccard."""
+    spread = [int(x) for x in RNG.integers(-(2**62), 2**62, 60)]
+    base = prose(400, 70).split()
+    texts = {d: " ".join(base[: 5 * i + 60] + prose(4 * i, 100 + i).split()) for i, d in enumerate(spread)}
+    rows = [*texts.items(), (None, "no id"), (None, "none either"), (spread[3], texts[spread[3]])]
+    got = fingerprint.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and sum(r.id is None for r in got) == 2
+    down, found = sorted(texts, reverse=True), {r.id: r for r in got}
+    off = []
+    for d, after in zip(down, down[1:]):
+        t, half = texts[d], len(texts[d]) // 2
+        edited = t[: len(t) - half] + texts[after][:half]
+        assert found[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        for other, near in ((edited, found[d].near_edited), (texts[after], found[d].near_next)):
+            a, b = weights(t), weights(other)
+            off.append(near - sum(min(a[w], b.get(w, 0)) for w in a) / sum(max(a.get(w, 0), b.get(w, 0)) for w in {*a, *b}))
+    assert abs(np.mean(off)) < 0.03 and np.sqrt(np.mean(np.square(off))) < 0.1
+
+
 def test_sentencepiece(docs, empty):
     library = pieces.load(pieces.default_path()).library
     got = rows_of(sentencepiece_codec.encode_decode(docs))
