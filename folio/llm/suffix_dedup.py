@@ -263,9 +263,11 @@ def repeats(rows: DataFrame, *, keep: str = "first", length: int = LENGTH, seed:
     """
     first = keep == "first"
     cells = common.cut(rows.mapInArrow(_anchored(length, seed), "id long, key int, at long, gram long, cell long"), "cells")
-    again = cells.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").select("gram")
+    # written first, so that the join is free to split a gram that very many cells have
+    again = common.cut(cells.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").select("gram"), "grams")
     shared = common.cut(cells.join(again, "gram"), "shared")
     common.discard(cells)
+    common.discard(again)
     kinds = shared.groupBy("gram", "cell").agg(F.count("*").alias("copies"), F.min(F.struct("id", "key", "at")).alias("f"))
     kinds = common.cut(kinds, "kinds")
     mixed = kinds.groupBy("gram").agg(F.count("*").alias("differing")).where("differing > 1")
