@@ -100,16 +100,22 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr("next_text", F.lit(1), half))
     pairs = with_next(rows, "text").withColumn("edited", edited)
-    place = ["bucket", "id", "key"]
-    facts = pairs.select(*place, "given", "copies", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    # all that both branches need goes along in both, so that texts are dealt out once
+    place = ["bucket", "id", "key", "given"]
+    facts = pairs.select(*place, "copies", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
     words = pairs.select(*place, F.explode(kinds).alias("x")).select(*place, "x.kind", F.explode(F.split("x.t", _SPACE)).alias("word")).where("word <> ''")
     terms = words.select(*place, "kind", F.xxhash64("word").alias("term"), F.length("word").alias("size")).groupBy(*place, "kind", "term", "size").agg(F.count("*").alias("n"))
     signed = signatures(terms.withColumn("ln_weight", F.expr("ln(double(n * size))")), [*place, "kind"], samples)
     signed = signed.withColumn("f", printed(F.col("signature")))
-    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("f"))).alias(f"f{kind}")
-    both = facts.join(signed.groupBy(*place).agg(of(0), of(1)), place, "left")
-    both = both.select(*place, "given", "copies", "n_chars", "edited_sha256", F.coalesce("f0", F.lit("")).alias("fingerprint"), F.coalesce("f1", F.lit("")).alias("edited_fingerprint"))
+    # put together by a union: a join would tell one branch that keys aren't null and deal the texts twice
+    shown = {"copies": "long", "n_chars": "long", "edited_sha256": "string", "kind": "int", "f": "string"}
+    column = lambda df, c, t: (F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c)
+    rowed = [df.select(*place, *[column(df, c, t) for c, t in shown.items()]) for df in (facts, signed)]
+    one = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("f"))), F.lit(""))
+    both = rowed[0].union(rowed[1]).groupBy(*place).agg(
+        *[F.max(c).alias(c) for c in ("copies", "n_chars", "edited_sha256")], one(0).alias("fingerprint"), one(1).alias("edited_fingerprint")
+    )
     both = common.cut(both, "fingerprints")
     a, b, c = (F.col(x) for x in ("fingerprint", "edited_fingerprint", "next_fingerprint"))
     out = with_next(both.withColumnRenamed("copies", "rows"), "fingerprint").withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows").cast("long"))))
