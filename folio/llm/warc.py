@@ -45,43 +45,51 @@ def write_arc(pages: DataFrame, path: str, version: Column, date: str = "2024010
     one = F.concat_ws(" ", "url", F.lit("0.0.0.0"), F.lit(date), F.lit("text/html"), "length")
     two = F.concat_ws(" ", "url", F.lit("0.0.0.0"), F.lit(date), F.lit("text/html"), F.lit("200"), F.md5(F.encode("body", "UTF-8")), F.lit("-"), F.lit("0"), F.lit("pages.arc"), "length")
     record = F.concat(F.when(F.col("version") == 2, two).otherwise(one), F.lit("\n"), "body")
-    # a hash of the id deals pages evenly, and the number of files follows the bytes
+    # a hash of the id deals pages evenly, and the number of files follows the bytes; a file is of one version
     files = max(1, total // FILE_BYTES)
-    dealt = rows.select(record.alias("value"), "id", "version").repartition(files, "id")
+    for v, fields in ((1, _V1), (2, _V2)):
+        names = f"{v} 0 folio\n{fields}\n"
+        block = f"filedesc://pages.arc 0.0.0.0 {date} text/plain {len(names)}\n{names}"
 
-    # a version block opens each file
-    def opened(batches):
-        first = True
-        for batch in batches:
-            values, versions = batch.column(0), batch.column(2)
-            if first and batch.num_rows:
-                names = f"{versions[0].as_py()} 0 folio\n{_V2 if versions[0].as_py() == 2 else _V1}\n"
-                block = f"filedesc://pages.arc 0.0.0.0 {date} text/plain {len(names)}\n{names}"
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.string())], names=["value"])
-                first = False
-            yield pa.RecordBatch.from_arrays([values], names=["value"])
+        def opened(batches, block=block):
+            first = True
+            for batch in batches:
+                if first and batch.num_rows:  # a version block opens each file
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.string())], names=["value"])
+                    first = False
+                yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
 
-    dealt.mapInArrow(opened, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
+        dealt = rows.where(F.col("version") == v).select(record.alias("value"), "id").repartition(max(1, files // 2), "id")
+        dealt.mapInArrow(opened, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(f"{path}/v{v}")
 
 
 def parse_arc(data: bytes):
     """(version, url, address, date, type, body) of every record of an ARC file.
 
-    The first record declares the version; a record whose header line has ten fields is of version 2."""
-    at = 0
+    The version block at the start declares the version and with it the fields of header lines. A header line with other
+    fields, or a record that ends early, is an error: what follows could not be told from payloads."""
+    at, version = 0, 0
     while at < len(data):
         end = data.find(b"\n", at)
-        if end < 0:
-            return
-        fields = data[at:end].rstrip(b"\r").split(b" ")
-        if len(fields) < 5 or not fields[-1].isdigit():  # blank lines stand between records
-            at = end + 1
+        line = data[at : end if end >= 0 else len(data)].rstrip(b"\r")
+        if not line:  # blank lines stand between records
+            at = at + 1 if end < 0 else end + 1
             continue
+        fields = line.split(b" ")
+        opens = fields[0].startswith(b"filedesc://")
+        if end < 0 or not fields[-1].isdigit() or len(fields) != {0: 5, 1: 5, 2: 10}[0 if opens else version] or not (opens or version):
+            raise ValueError(f"no ARC header line at byte {at}: {line[:80]!r}")
         length = int(fields[-1])
         body = data[end + 1 : end + 1 + length]
+        if len(body) < length:
+            raise ValueError(f"the ARC record at byte {at} ends early")
         at = end + 1 + length
-        if not fields[0].startswith(b"filedesc://"):
-            yield (2 if len(fields) >= 10 else 1), fields[0].decode(), fields[1].decode(), fields[2].decode(), fields[3].decode(), body
+        if opens:
+            version = int(body.split(b" ", 1)[0])
+            if version not in (1, 2):
+                raise ValueError(f"ARC version {version} is not known")
+        else:
+            yield version, fields[0].decode(), fields[1].decode(), fields[2].decode(), fields[3].decode(), body
 
 
 def split_http(body: bytes) -> tuple[dict[str, str], bytes]:
@@ -122,7 +130,7 @@ def read_arc(spark, path: str) -> DataFrame:
                 rows, held = [], 0
         yield block()
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _ARC_SCHEMA)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, _ARC_SCHEMA)
 
 
 def record_id(digest: Column, url: Column, date: Column, page: Column) -> Column:
@@ -215,4 +223,12 @@ def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
     back = round_trip(common.read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "intact")
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+#: What the archives give back is plain SQL over the pages.
+ORACLE = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT *, payload_bytes >= {REVISIT_BYTES} AND page_id <> max(page_id) OVER (PARTITION BY payload_digest) AS again, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN keeper END AS refers_to, true AS intact FROM k
+"""

@@ -302,6 +302,27 @@ def test_archives(spark):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_archives_against_sql(spark, sf_dir):
+    import duckdb
+
+    got = warc.op7_warc(spark, sf_dir)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({warc.ORACLE})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_arc_versions_and_damage():
+    one = b"filedesc://a 0.0.0.0 20240101000000 text/plain 10\n1 0 folio\n\n"
+    two = b"filedesc://a 0.0.0.0 20240101000000 text/plain 10\n2 0 folio\n\n"
+    plain, full = b"http://a 1.2.3.4 20240101000000 text/html 3\nabc\n", b"http://a 1.2.3.4 20240101000000 text/html 200 - - 0 f 3\n\xff\n\x00\n"
+    assert [(r[0], r[5]) for r in warc.parse_arc(one + plain + plain)] == [(1, b"abc")] * 2
+    assert [(r[0], r[5]) for r in warc.parse_arc(two + full)] == [(2, b"\xff\n\x00")]
+    for bad in (plain, one + full, two + plain, one + b"no header\n", one + plain[:-3]):
+        with pytest.raises(ValueError):
+            list(warc.parse_arc(bad))
+
+
 PAGE = "<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><article><h1>The title &amp; more</h1><p>" + "A sentence of the article, which is long enough to be read. " * 6 + "</p><p>Second  part\nof it, with words that go on for a while, as articles do.</p></article><footer>Copyright 2024 All rights reserved</footer><script>var x=1</script></body></html>"
 
 
