@@ -99,9 +99,9 @@ class Pieces:
         self.kind = "<u2" if n <= 1 << 16 else "<u4"
         self.fresh()
 
-    def fresh(self) -> None:
+    def fresh(self, limit: int = CACHE_BYTES) -> None:
         """Forgets what was kept: caches live as long as a task."""
-        self.cache = Kept()
+        self.cache = Kept(limit)
 
     def agenda(self, segment: str) -> list[int]:
         """Merges adjacent symbols in order of score (ties: leftmost) until no pair is a piece."""

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from folio.llm import common, pieces
 
+#: Bytes of texts that share the search for their different segments, and bytes of segments that a task keeps.
+CHUNK, CACHE_BYTES = 2 << 20, 192 << 20
 SCHEMA = "id long, ids array<int>, decoded string, n_tokens long, ids_sha256 string, decoded_sha256 string, matches_library boolean"
 
 
@@ -26,10 +28,10 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     @common.frugal
     def run(batches):
         vocabulary = pieces.load(model)
-        vocabulary.fresh()
+        vocabulary.fresh(CACHE_BYTES)
         decimal = vocabulary.decimal
         for whole in batches:
-            for batch in common.pieces(whole, "text"):
+            for batch in common.pieces(whole, "text", CHUNK):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 flat, at = vocabulary.encode(batch.column(1), own=True)
                 ids = [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
