@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Encodes every text with our score-ordered agenda and decodes the ids.
 
     Returns one row per input row: the id, ids, decoded text, their digests and
-    matches_library: whether the library encodes the whole text alike (null without check);
+    matches_library: whether the library encodes each of its segments alike (null without check);
     the ids are ours in any case. keep_ids=False leaves ids and decoded null. Null and empty texts have no ids and decode to the empty text. Repeated rows stay;
     other columns are not looked at; an empty table gives an empty result.
     """
@@ -32,10 +33,10 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         decimal = vocabulary.decimal
         for whole in batches:
             for batch in common.pieces(whole, "text", CHUNK):
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                flat, at = vocabulary.encode(batch.column(1), own=True)
+                flat, at = vocabulary.encode(batch.column(1), own=True, check=check)
                 ids = [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
-                theirs = vocabulary.library.encode(texts, num_threads=1) if check and texts else [None] * len(texts)
+                wrong = vocabulary.wrong
+                good = [None if not check else not (wrong and wrong.intersection(row)) for row in (vocabulary.split(pc.fill_null(batch.column(1), "")).to_pylist() if wrong else ids)]
                 text = vocabulary.library.decode(ids, num_threads=1) if ids else []
                 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
                 yield pa.RecordBatch.from_arrays(
@@ -46,7 +47,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         pa.array([len(x) for x in ids], pa.int64()),
                         pa.array([sha(",".join([decimal[i] for i in x])) for x in ids], pa.string()),
                         pa.array([sha(t) for t in text], pa.string()),
-                        pa.array([None if b is None else a == b for a, b in zip(ids, theirs)], pa.bool_()),
+                        pa.array(good, pa.bool_()),
                     ],
                     names=["id", "ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256", "matches_library"],
                 )

@@ -289,9 +289,20 @@ def test_sentencepiece(docs, empty):
         ids = library.encode(t or "")
         assert (got[d].n_tokens, got[d].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert got[d].decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+    assert all(r.matches_library for r in got.values())
     assert sentencepiece_codec.encode_decode(empty).count() == 0
 
 
+def test_sentencepiece_finds_what_the_library_encodes_otherwise(monkeypatch):
+    ours = pieces.Pieces(pieces.default_path())
+    keys = ["sea", "\nhill", "", f"{pieces.SPACE}wind", "stone", "river,"]
+    ours.checked(keys)
+    assert not ours.wrong
+    monkeypatch.setattr(ours, "cost", {k: -v for k, v in ours.cost.items()})
+    ours.checked(keys)
+    assert ours.wrong and ours.wrong <= set(keys) and "" not in ours.wrong
+
+
 def test_archives(spark):
     big = "<p>" + "x" * 1200
     pages = spark.createDataFrame([(1, "http://a.b/1", big), (2, "http://a.b/2 x", big), (3, None, None), (4, "u", "ü" * 400), (5, "u", "ü" * 400), (6, "u", "a\r\n\r\nWARC/1.0\r\n")], "page_id long, url string, html string")
