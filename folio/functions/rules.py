@@ -143,3 +143,11 @@ LANGUAGES = {
 LANGUAGE_PRIORITY = {"it": 0, "en": 1, "fr": 2, "de": 3, "es": 4, "pt": 5}
 SITE_LANGUAGES = {"it": "it", "en": "en", "fr": "fr", "es": "es", "de": "de", "zh": "zh-Hans"}
 COVER_NAMES = ("cover.jpg", "cover.jpeg", "cover.png", "cover-image.jpg", "cover-image.png")
+
+# Chapter words before Roman numerals, numbered headings, ends of sentences in previews,
+# addresses, languages of a request with their weights.
+NUMERAL = r"(Capitolo|Chapter|Cap\.?|Parte|Part)\s+([MDCLXVI]+)"
+HEADING = r"^(Capitolo|Chapter|Cap\.?|Parte|Part|Sezione|Section)\s*[.:—\-]?\s*(\d+|[IVXLCDM]+)\s*[.:—\-]?\s*(.*)"
+SENTENCE_END = r"""[.!?][""»)\s]"""
+EMAIL = r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}$"
+ACCEPTED_LANGUAGE = r"([a-zA-Z]{2,3})(?:-[a-zA-Z0-9]+)*(?:;q=([0-9.]+))?"

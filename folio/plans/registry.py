@@ -6,6 +6,7 @@ pages for spine pages and events for what jobs report.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -137,29 +138,85 @@ def punctuation(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.md5(text.punctuation(F.col("text"))).alias("pointed"))
 
 
-@query(
-    f"SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda l: length({_strip('l')}) = 0 OR length({_strip('l')}) > 2 OR regexp_matches({_strip('l')}, '[.!?:]$')), chr(10))) AS lines,"
-    f" md5(CASE WHEN {_strip('text')} = '' OR regexp_matches({_strip('text')}, '[.!?…]$') THEN {_strip('text')} ELSE {_strip('text')} || '.' END) AS ended FROM documents"
-)
+_LINED = f"array_to_string(list_filter(string_split(text, chr(10)), lambda l: length({_strip('l')}) = 0 OR length({_strip('l')}) > 2 OR regexp_matches({_strip('l')}, '[.!?:]$')), chr(10))"
+
+
+def _ended_sql(c):
+    return f"CASE WHEN {_strip(c)} = '' OR regexp_matches({_strip(c)}, '[.!?…]$') THEN {_strip(c)} ELSE {_strip(c)} || '.' END"
+
+
+@query(f"SELECT doc_id, md5({_LINED}) AS lines, md5({_ended_sql('text')}) AS ended FROM documents")
 def short_lines_and_full_stops(spark, sf_dir):
     t = F.col("text")
     return _documents(spark, sf_dir).select("doc_id", F.md5(text.drop_short_lines(t)).alias("lines"), F.md5(text.full_stop(t)).alias("ended"))
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(text, '(Capitolo|Chapter|Cap\.?|Parte|Part)\s+([MDCLXVI]+)', '\2 \1', 'gi')) AS swapped FROM documents")
+@query(rf"SELECT doc_id, md5(regexp_replace(text, '{rules.NUMERAL}', '\2 \1', 'gi')) AS swapped FROM documents")
 def chapter_numerals(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.md5(text.chapter_numerals(F.col("text"))).alias("swapped"))
 
 
-@query()
+_EDGE = r"[^\p{L}\p{M}\p{N}_]"
+
+
+def _sub_sql(c, pattern, to):
+    """One rule in SQL. There are no lookarounds there: what they look at is matched and put back, in two rounds."""
+    pattern, to, rounds = re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), pattern), re.sub(r"\$(\d)", r"\\\1", to), 1
+    if pattern.startswith(r"(?<!\w)"):
+        pattern, to, rounds = f"(^|{_EDGE}){pattern[7:].removesuffix(r'(?!\w)')}({_EDGE}|$)", rf"\1{to}\2", 2
+    elif pattern.endswith((r"(?!\w)", "(?![nrt])")):
+        bare, _, no = pattern[:-1].rpartition("(?!")
+        pattern, to, rounds = f"{bare}({_EDGE if no == r'\w' else '[^nrt]'}|$)", r"\1", 2
+    for _ in range(rounds):
+        c = f"regexp_replace({c}, {_quoted([pattern])}, {_quoted([to])}, 'g')"
+    return c
+
+
+def _clean_sql(rows):
+    """All cleaning steps of the texts of rows (doc_id, text)."""
+    residue = noise = abbreviations = None
+    for pattern, to in rules.RESIDUE:
+        residue = _sub_sql(residue or _mapped_sql("nfc_normalize(text)"), pattern, to)
+    for pattern, to in rules.NOISE:
+        start = pattern.lstrip("^").replace(r"(?!\w)", f"(?:{_EDGE}|$)")
+        noise = _sub_sql(_sub_sql(noise or "l", f"^(?:{start}).*", to or chr(0xE000)), pattern, to)
+    for short in sorted(rules.ABBREVIATIONS, key=len, reverse=True):
+        abbreviations = _sub_sql(abbreviations or "text", rf"(?<!\w)(?i:{re.escape(short)})(?!\w)", rules.ABBREVIATIONS[short])
+    lines = f"list_filter(list_transform(string_split(text, chr(10)), lambda l: {noise}), lambda l: l <> chr(57344))"
+    steps = (residue, f"array_to_string({lines}, chr(10))", abbreviations, f"regexp_replace(text, '{rules.NUMERAL}', '\\2 \\1', 'gi')", _SPACED, _POINTED, _LINED, _ended_sql("text"))
+    chain = ", ".join(f"c{k + 1} AS (SELECT doc_id, {step} AS text FROM {f'c{k}' if k else 'rows'})" for k, step in enumerate(steps))
+    return f"WITH rows AS ({rows}), {chain} SELECT doc_id, md5(text) AS cleaned, length(text) AS chars FROM c{len(steps)}"
+
+
+@query(_clean_sql("SELECT doc_id, text FROM documents"))
 def clean_text(spark, sf_dir):
-    """All cleaning steps (lookarounds are beyond DuckDB; tests compare with plain Python)."""
-    cleaned = _documents(spark, sf_dir).select("doc_id", text.clean_text(F.col("text")).alias("text"))
-    return cleaned.select("doc_id", F.md5("text").alias("cleaned"), text.char_count(F.col("text")).alias("chars"))
+    """All cleaning steps."""
+    return _cleaned(_documents(spark, sf_dir))
+
+
+#: Lines that the rules of cleaning change, one or more a rule.
+_MARKED = (
+    "## A heading # alone ##x a#b", "some *bold* and **bolder** words", "a __ rule ~~~ and `code`", "a | table | row", "C:\\dir \\new \\ end", "<b>bold</b> &amp; &#169; &nbsp;",
+    "[12] goes as a line", "stays [12] here {3} and [b]", "a\u00b2 + b\u2074 = c\u2020 \u00a7 4", "https://example.com/a goes", "see https://example.com/a now", "write to someone@example.org today",
+    "the book ISBN 978-0-00-000000-2 and doi: 10.1000/182", "as on pp. 12-14, 18 of it", "a rule (see page 4) or (Vedi sopra) or (cfr. sotto) [ ]", "etc. and ecc., ad es. Dr. Rossi vs. Mr. Smith",
+    "SIG.RA Bianchi, op. cit. pag. 3; n.d.r. e.g. this, i.e. that", "presetc. stays, etc.x stays, cap. IV, Chapter XII", "ok", "a.", "  \t two\t\ttabs ....... !!!! \"\" x ,y", "Part  II of \u00ab it \u00bb \u2014 done",
+)
+
+
+@query(_clean_sql(f"SELECT doc_id, [{_quoted(_MARKED)}][doc_id % {len(_MARKED)} + 1] || chr(10) || text AS text FROM documents"))
+def clean_marked_text(spark, sf_dir):
+    """Documents that begin with a line which rules of cleaning change."""
+    line = F.element_at(F.array(*map(F.lit, _MARKED)), (F.col("doc_id") % len(_MARKED) + 1).cast("int"))
+    return _cleaned(_documents(spark, sf_dir).withColumn("text", F.concat(line, F.lit("\n"), "text")))
+
+
+def _cleaned(rows):
+    out = rows.select("doc_id", text.clean_text(F.col("text")).alias("text"))
+    return out.select("doc_id", F.md5("text").alias("cleaned"), text.char_count(F.col("text")).alias("chars"))
 
 
 _H1 = r"regexp_extract(html, '<h1>([^<]*)</h1>', 1)"
-_HEAD = r"(?i)^(Capitolo|Chapter|Cap\.?|Parte|Part|Sezione|Section)\s*[.:—\-]?\s*(\d+|[IVXLCDM]+)\s*[.:—\-]?\s*(.*)"
+_HEAD = f"(?i){rules.HEADING}"
 
 
 @query(
@@ -222,7 +279,7 @@ def file_names(spark, sf_dir):
 
 
 _TRIMMED = r"regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
-_ENDS = r"""'[.!?]["”»)\s]'"""
+_ENDS = f"'{rules.SENTENCE_END}'"
 
 
 @query(
@@ -239,7 +296,7 @@ def normal_titles(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", text.normal_title(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("norm"))
 
 
-@query(r"SELECT count(*) AS lines, count(*) FILTER (regexp_matches(lower(w), '^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}$')) AS emails FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents)")
+@query(rf"SELECT count(*) AS lines, count(*) FILTER (regexp_matches(lower(w), '{rules.EMAIL}')) AS emails FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents)")
 def email_words(spark, sf_dir):
     words = _documents(spark, sf_dir).select(F.explode(F.split("text", r"\s+", -1)).alias("w"))
     return words.agg(F.count("*").alias("lines"), F.count_if(text.is_email(F.col("w"))).alias("emails"))
@@ -499,7 +556,7 @@ def file_titles(spark, sf_dir):
 
 
 @query(
-    r"""WITH h AS (SELECT page_id % 10 AS book_id, page_id AS pos, regexp_replace(lower(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '[^\w\s\p{L}\p{N}]', '', 'g') AS n FROM pages),
+    r"""WITH h AS (SELECT page_id // 50 AS book_id, page_id AS pos, regexp_replace(lower(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '[^\w\s\p{L}\p{N}]', '', 'g') AS n FROM pages),
     w AS (SELECT *, regexp_replace(regexp_replace(n, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS norm FROM h),
     t AS (SELECT book_id, pos AS toc_pos, norm AS toc, list_filter(list_distinct(string_split(norm, ' ')), lambda x: x <> '') AS words FROM w),
     m AS (SELECT w.book_id, w.pos, toc_pos, CASE WHEN length(norm) < 3 OR toc = '' THEN NULL WHEN norm = toc THEN 1 WHEN contains(norm, toc) OR contains(toc, norm) THEN 2
@@ -507,7 +564,7 @@ def file_titles(spark, sf_dir):
     SELECT pos, (min({'r': rank, 'p': toc_pos})).p AS toc_pos FROM m WHERE rank IS NOT NULL GROUP BY book_id, pos"""
 )
 def heading_matches(spark, sf_dir):
-    """Headings of pages matched with those of their book."""
-    pages = _table(spark, sf_dir, "pages", "page_id", "html").select((F.col("page_id") % 10).alias("book_id"), F.lit("f").alias("file"), F.col("page_id").alias("pos"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"))
+    """Headings of pages matched with those of their book (fifty pages each)."""
+    pages = _table(spark, sf_dir, "pages", "page_id", "html").select(F.floor(F.col("page_id") / 50).alias("book_id"), F.lit("f").alias("file"), F.col("page_id").alias("pos"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"))
     toc = pages.select("book_id", F.col("file").alias("href_file"), "pos", F.col("heading").alias("title"))
     return chapters.match_headings(pages, toc).select("pos", "toc_pos")
