@@ -4,7 +4,8 @@ Every line is good or bad. Its features are its own and those of the lines befor
 a 2 x 2 table links neighbours. Forward-backward gives each line's marginal, and the mean
 weighted by the lines' lengths is the document's score. Training sees documents' labels
 only: all lines of a document carry its label, and the likelihood of that labelling is
-maximised; then a logistic curve is fitted to the scores of the training documents.
+maximised; then a logistic curve is fitted to the scores of the training documents. A text
+without words is a chain of one bare line, so that its score is learned too.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from folio.llm import common
 
 #: At most so many labelled documents train the model, so many of each label: a fixed, documented bound.
 SAMPLE = 1500
-#: Longer documents (code points) are not drawn for training; all are scored.
-SAMPLE_CHARS = 20_000
+#: In training a document of more lines is several chains, so that a step takes so many turns; scoring never cuts.
+CHAIN_LINES = 256
 EPOCHS, STEP, DECAY = 250, 0.08, 1e-3
 
 _CODE = {"upper": range(0x41, 0x5B), "lower": range(0x61, 0x7B), "digit": range(0x30, 0x3A)}
@@ -39,9 +40,12 @@ FEATURES = 3 * OWN + 1
 
 
 def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, lengths (bytes) and rows of the lines that have a word."""
-    if not len(data):
+    """Features, lengths (bytes) and rows of the lines that have a word; a row without such lines has one bare line."""
+    rows = len(offsets) - 1
+    if not rows:
         return np.zeros((0, FEATURES)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if not len(data):
+        return _with_bare(np.zeros((0, OWN)), np.zeros(0, np.int64), np.zeros(0, np.int64), rows)
     start, end, word_row = common.word_spans(data, offsets)
     cuts = np.unique(np.concatenate([offsets, np.flatnonzero(data == 0x0A) + 1]))
     line_of_word = np.searchsorted(cuts, start, "right") - 1
@@ -76,12 +80,24 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         ], axis=1
     )
     kept = np.flatnonzero(words)
-    own, row = own[kept], np.searchsorted(offsets, cuts[kept], "right") - 1
+    return _with_bare(own[kept], np.diff(cuts)[kept], np.searchsorted(offsets, cuts[kept], "right") - 1, rows)
+
+
+def _with_bare(own: np.ndarray, length: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Adds the bare lines, then the features of the lines before and after."""
+    bare = np.setdiff1d(np.arange(rows), row)
+    if len(bare):
+        blank = np.zeros((len(bare), OWN))
+        blank[:, -1] = 1  # fewer than four words
+        row = np.concatenate([row, bare])
+        order = np.argsort(row, kind="stable")
+        own, row = np.concatenate([own, blank])[order], row[order]
+        length = np.concatenate([length, np.ones(len(bare), np.int64)])[order]
     before, after = np.zeros_like(own), np.zeros_like(own)
     joined = row[1:] == row[:-1]
     before[1:][joined] = own[:-1][joined]
     after[:-1][joined] = own[1:][joined]
-    return np.concatenate([own, before, after, np.ones((len(own), 1))], axis=1), np.diff(cuts)[kept], row
+    return np.concatenate([own, before, after, np.ones((len(own), 1))], axis=1), length, row
 
 
 def _layout(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,22 +155,24 @@ class LineCrf:
             self.curve = (0.0, 6.0 if share[1] > share[0] else -6.0 if share[0] else 0.0)
             return self
         balance = len(of_chain) / 2 / share
-        # a chain counts once, however many lines it has
-        w = (balance[of_chain] / size / len(of_chain))[np.cumsum(np.isin(np.arange(len(row)), edge)) - 1]
+        # a document counts once, however many lines it has
+        w = np.repeat(balance[of_chain] / size / len(of_chain), size)
+        place = np.arange(len(row)) - np.repeat(edge, size)
+        part = np.cumsum(place % CHAIN_LINES == 0)  # numbers the chains
         m = [np.zeros(FEATURES), np.zeros((2, 2))]
         v = [np.zeros(FEATURES), np.zeros((2, 2))]
-        inner = np.flatnonzero(row[1:] == row[:-1])
+        inner = np.flatnonzero(part[1:] == part[:-1])
         seen = np.zeros((2, 2))
         np.add.at(seen, (y[inner], y[inner + 1]), w[inner])
         for epoch in range(1, EPOCHS + 1):
-            marginal, near = chain(self._scores(x), self.link, row, pairs=True)
+            marginal, near = chain(self._scores(x), self.link, part, pairs=True)
             slope = [((y - marginal[:, 1]) * w) @ x - DECAY * self.weight, seen - (near * w[inner][:, None, None]).sum(0) - DECAY * self.link]
             for k, target in enumerate((self.weight, self.link)):
                 m[k] = 0.9 * m[k] + 0.1 * slope[k]
                 v[k] = 0.99 * v[k] + 0.01 * slope[k] ** 2
                 target += STEP * (m[k] / (1 - 0.9**epoch)) / (np.sqrt(v[k] / (1 - 0.99**epoch)) + 1e-8)
-        mean, has = self.means(x, row, length, len(label))
-        logit, target = np.log(np.clip(mean[has], 1e-4, 1 - 1e-4) / np.clip(1 - mean[has], 1e-4, 1)), label[has]
+        mean = np.clip(self.means(x, row, length, len(label)), 1e-4, 1 - 1e-4)
+        logit, target = np.log(mean / (1 - mean)), label
         a, b = 1.0, 0.0
         each = balance[target.astype(int)]
         for _ in range(200):
@@ -164,20 +182,18 @@ class LineCrf:
         self.curve = (max(a, 0.05), b)
         return self
 
-    def means(self, x: np.ndarray, row: np.ndarray, length: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-        """Length-weighted mean marginal of "good" for each row, and which rows have lines."""
+    def means(self, x: np.ndarray, row: np.ndarray, length: np.ndarray, rows: int) -> np.ndarray:
+        """Length-weighted mean marginal of "good" for each row; every row has lines."""
         marginal, _ = chain(self._scores(x), self.link, row)
         weight = np.bincount(row, weights=length, minlength=rows)
-        return np.bincount(row, weights=length * marginal[:, 1], minlength=rows) / np.maximum(weight, 1e-12), weight > 0
+        return np.bincount(row, weights=length * marginal[:, 1], minlength=rows) / weight
 
     def score(self, texts: pa.Array) -> np.ndarray:
         data, offsets = common.byte_view(texts)
         x, length, row = line_features(data, offsets)
-        mean, has = self.means(x, row, length, len(texts))
-        mean = np.clip(mean, 1e-4, 1 - 1e-4)
+        mean = np.clip(self.means(x, row, length, len(texts)), 1e-4, 1 - 1e-4)
         a, b = self.curve
-        out = 1 / (1 + np.exp(-(a * np.log(mean / (1 - mean)) + b)))
-        return np.where(has, out, 0.0)
+        return 1 / (1 + np.exp(-(a * np.log(mean / (1 - mean)) + b)))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, sample: int = SAMPLE) -> LineCrf:
@@ -187,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for k in (0, 1):
         part = ranked.where(f"label = {k}").orderBy(F.xxhash64(F.col("id")), "id").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = texts.join(F.broadcast(chosen), "id").orderBy("id", "text").select("text", "label").toArrow()  # at most 2 x sample rows
     data, offsets = common.byte_view(table.column(0))
     x, length, row = line_features(data, offsets)
@@ -197,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: LineCrf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score (0 to 1, higher: better) of every row, from whole texts.
 
-    Null, empty and wordless texts score 0. Repeated rows stay; other columns are not looked
+    Null, empty and wordless texts have the learned score of a bare line. Repeated rows stay; other columns are not looked
     at; an empty table gives an empty result.
     """
 

@@ -399,6 +399,37 @@ def test_quality_crf(spark, sf_dir):
     assert np.mean([a == b for a, b in known]) >= 0.9
 
 
+def test_forward_backward_is_exact():
+    row = np.array([0, 0, 0, 0, 1, 2, 2, 4, 4, 4])
+    score, link = RNG.normal(size=(len(row), 2)), RNG.normal(size=(2, 2))
+    marginal, near = quality_crf.chain(score, link, row, pairs=True)
+    inner = np.flatnonzero(row[1:] == row[:-1])
+    want, pair, total = np.zeros((len(row), 2)), np.zeros((len(inner), 2, 2)), 0.0
+    for code in range(1 << len(row)):
+        y = np.array([code >> i & 1 for i in range(len(row))])
+        value = np.exp(score[np.arange(len(row)), y].sum() + link[y[inner], y[inner + 1]].sum())
+        total += value
+        want[np.arange(len(row)), y] += value
+        pair[np.arange(len(inner)), y[inner], y[inner + 1]] += value
+    assert np.allclose(marginal, want / total) and np.allclose(near, pair / total)
+
+
+def test_quality_crf_of_odd_tables(spark, docs, empty, monkeypatch):
+    good, bad = ["\n".join(prose(12, 100 + i) + "." for _ in range(4)) for i in range(12)], ["$$$ | # |\n" * (i + 2) for i in range(12)]
+    known = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad + ["", None, "\n \n"])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 12)) for i in range(27)] + [(99, None), (98, 1)], "doc_id long, quality int")
+    model = quality_crf.train(known, labels)
+    got = rows_of(quality_crf.score(docs, model))
+    assert set(got) == set(TEXTS) and all(0 <= r.score <= 1 for r in got.values())
+    assert got[2].score == got[3].score == got[4].score < 0.5 < got[16].score and got[1].score == got[5].score
+    assert quality_crf.score(docs.union(docs), model).count() == 2 * len(TEXTS) and not quality_crf.score(empty, model).count()
+    assert 0 <= quality_crf.score(docs.limit(1), quality_crf.train(known, labels.where("false"))).first().score <= 1
+    # a line is scored the same whatever stands beside its text in the batch; long documents train in several chains
+    monkeypatch.setattr(quality_crf, "CHAIN_LINES", 2)
+    again = rows_of(quality_crf.score(docs.repartition(1), quality_crf.train(known, labels)))
+    assert again[3].score < 0.5 < again[16].score
+
+
 def test_repeated_rows(docs):
     twice = docs.union(docs)
     assert quality_rules.quality_rules(twice).count() == secret_scan.scan(twice).count() == 2 * len(TEXTS)
