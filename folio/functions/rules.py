@@ -151,3 +151,6 @@ HEADING = r"^(Capitolo|Chapter|Cap\.?|Parte|Part|Sezione|Section)\s*[.:—\-]?\s
 SENTENCE_END = r"""[.!?][""»)\s]"""
 EMAIL = r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}$"
 ACCEPTED_LANGUAGE = r"([a-zA-Z]{2,3})(?:-[a-zA-Z0-9]+)*(?:;q=([0-9.]+))?"
+
+# The voice of a book in the first language, and that of any other.
+VOICE_LANGUAGE, VOICE_OWN, VOICE_OTHER = "it", "it-IT-IsabellaNeural", "en-US-JennyNeural"

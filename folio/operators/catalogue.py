@@ -20,6 +20,13 @@ def language_priority(code: Column) -> Column:
     return F.coalesce(F.element_at(_map(rules.LANGUAGE_PRIORITY), code), F.lit(99))
 
 
+def default_voice(language: Column) -> Column:
+    """The voice of a book by the first two letters of its language; books without one count as of the first language."""
+    given = F.coalesce(language, F.lit(""))
+    code = F.when(given == "", rules.VOICE_LANGUAGE).otherwise(F.lower(F.substring(given, 1, 2)))
+    return F.when(code == rules.VOICE_LANGUAGE, rules.VOICE_OWN).otherwise(rules.VOICE_OTHER)
+
+
 def voice_catalogue(voices: DataFrame) -> DataFrame:
     """One row per language in display order: code, name, place, voices by gender and name."""
     code = text.language_of(F.col("locale"))

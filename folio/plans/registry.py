@@ -318,7 +318,10 @@ def html_text(spark, sf_dir):
     return out.select("page_id", F.md5("text").alias("digest"), text.char_count(F.col("text")).alias("chars"))
 
 
-@query()
+_PLAIN_H1 = r"regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT page_id, replace(replace(replace(replace(replace({_PLAIN_H1}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&') AS title FROM pages")
 def html_titles(spark, sf_dir):
     return _table(spark, sf_dir, "pages", "page_id", "html").select("page_id", html.html_title("html").alias("title"))
 
@@ -436,7 +439,10 @@ def feed_items(spark, sf_dir):
     return items.select("book_id", "episode", "title", "description", "duration", "pub_date")
 
 
-@query()
+@query(
+    f"""WITH h AS (SELECT page_id, sha1(unhex('{text._URL_SPACE}') || encode(url)) AS h FROM pages)
+    SELECT page_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST((strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1 AS BIGINT), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS guid FROM h"""
+)
 def name_identifiers(spark, sf_dir):
     """Version 5 identifiers of page addresses (tests compare with the standard library)."""
     return _table(spark, sf_dir, "pages", "page_id", "url").select("page_id", text.name_uuid(F.col("url")).alias("guid"))
@@ -568,3 +574,133 @@ def heading_matches(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages", "page_id", "html").select(F.floor(F.col("page_id") / 50).alias("book_id"), F.lit("f").alias("file"), F.col("page_id").alias("pos"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"))
     toc = pages.select("book_id", F.col("file").alias("href_file"), "pos", F.col("heading").alias("title"))
     return chapters.match_headings(pages, toc).select("pos", "toc_pos")
+
+
+_TOC = "WITH toc AS (SELECT doc_id // 4 AS book_id, 'f' || (doc_id % 3) AS file, doc_id AS pos, split_part(text, chr(10), 1) AS title FROM documents)"
+
+
+@query(_TOC + " SELECT book_id, file AS href_file, count(*) AS entries, string_agg(title, '|' ORDER BY pos) AS titles FROM toc GROUP BY book_id, file HAVING count(*) >= 2")
+def shared_files(spark, sf_dir):
+    """Files with two or more entries of contents, and their titles in order."""
+    toc = _documents(spark, sf_dir).select(F.expr("doc_id div 4").alias("book_id"), F.concat(F.lit("f"), F.col("doc_id") % 3).alias("href_file"), F.col("doc_id").alias("pos"), F.substring_index("text", "\n", 1).alias("title"))
+    return chapters.shared_files(toc).select("book_id", "href_file", "entries", F.array_join("titles", "|").alias("titles"))
+
+
+@query(
+    """WITH r AS (SELECT user_id, event_type AS level, event_id AS pos, repeat(event_type || ' ', CAST(event_id % 40 AS BIGINT)) AS heading FROM events),
+    c AS (SELECT user_id, level, count(*) AS n, min(pos) AS first FROM r GROUP BY ALL),
+    b AS (SELECT user_id, arg_max(level, {'n': n, 'f': -first}) AS level FROM c GROUP BY user_id HAVING max(n) >= 2)
+    SELECT r.user_id AS book_id, r.pos, r.level, CASE WHEN length(heading) < 150 THEN heading ELSE substr(heading, 1, 100) END AS title FROM r JOIN b ON r.user_id = b.user_id AND r.level = b.level"""
+)
+def level_headings(spark, sf_dir):
+    """Events as headings of their user's book: those of the most frequent kind, long ones shortened."""
+    rows = _table(spark, sf_dir, "events", "user_id", "event_id", "event_type")
+    heading = F.expr("repeat(event_type || ' ', int(event_id % 40))")
+    found = chapters.level_headings(rows.select(F.col("user_id").alias("book_id"), F.lit("f").alias("file"), F.col("event_type").alias("level"), F.col("event_id").alias("pos"), heading.alias("heading")))
+    return found.select("book_id", "pos", "level", "title")
+
+
+@query(
+    f"""WITH e AS (SELECT doc_id // 8 AS book_id, doc_id AS pos, CASE WHEN doc_id % 7 = 0 THEN 'OPS/Cover.JPG' WHEN doc_id % 3 = 0 THEN doc_id || '.svg' ELSE doc_id || '.png' END AS name, n_chars AS size,
+    doc_id % 2 = 0 AS image, doc_id % 11 = 0 AS property, doc_id % 5 = 0 AS meta FROM documents),
+    r AS (SELECT *, CASE WHEN image AND property THEN 0 WHEN image AND meta THEN 1 WHEN lower(regexp_replace(name, '^.*/', '')) IN ({_quoted(rules.COVER_NAMES)}) THEN 2 WHEN regexp_matches(lower(name), '[.](jpg|jpeg|png)$') AND size > 300 THEN 3 END AS rank FROM e)
+    SELECT book_id, arg_min(name, {{'r': rank, 's': CASE WHEN rank = 3 THEN -size ELSE 0 END, 'p': pos}}) AS cover FROM r WHERE rank IS NOT NULL GROUP BY book_id"""
+)
+def cover_ranks(spark, sf_dir):
+    """Documents as members of archives of eight: covers by property, metadata, name and size."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "n_chars")
+    name = F.expr("CASE WHEN doc_id % 7 = 0 THEN 'OPS/Cover.JPG' WHEN doc_id % 3 = 0 THEN doc_id || '.svg' ELSE doc_id || '.png' END")
+    entries = docs.select(
+        F.expr("doc_id div 8").alias("book_id"), F.col("doc_id").alias("pos"), name.alias("name"), F.col("n_chars").alias("file_size"), F.expr("if(doc_id % 2 = 0, 'image/png', 'text/html')").alias("media_type"),
+        F.expr("if(doc_id % 11 = 0, array('cover-image', 'svg'), null)").alias("properties"), F.expr("if(doc_id % 5 = 0, true, null)").alias("is_meta_cover"),
+    )
+    return catalogue.cover(entries, 300)
+
+
+@query(
+    r"""WITH w AS (SELECT page_id // 10 AS book_id, page_id, CASE page_id % 4 WHEN 0 THEN 'OPS/' || page_id || '.xhtml' WHEN 1 THEN 'OPS\' || page_id || '.xhtml' WHEN 2 THEN 'x/y/' || page_id || '.XHTML' ELSE 'OPS/none' || page_id END AS path FROM pages)
+    SELECT book_id, path, 'OPS/' || page_id || '.xhtml' AS name FROM w WHERE page_id % 4 < 3"""
+)
+def archive_members(spark, sf_dir):
+    """Members found by their path, by it with plain slashes, and by its last part in any case."""
+    pages = _table(spark, sf_dir, "pages", "page_id").withColumn("book_id", F.expr("page_id div 10"))
+    entries = pages.select("book_id", F.col("page_id").alias("pos"), F.format_string("OPS/%d.xhtml", "page_id").alias("name"))
+    kinds = F.array(*[F.format_string(f, "page_id") for f in ("OPS/%d.xhtml", "OPS\\%d.xhtml", "x/y/%d.XHTML", "OPS/none%d")])
+    wanted = pages.select("book_id", F.get(kinds, (F.col("page_id") % 4).cast("int")).alias("path"))
+    return catalogue.find_member(entries, wanted)
+
+
+@query(
+    f"""WITH raw AS (SELECT conv_id AS book_id, turn, text, CASE turn % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE role END AS title FROM conversations),
+    a AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY turn) AS idx FROM raw WHERE {_content("text", "coalesce(title, '')")})
+    SELECT book_id, turn AS spine_pos, idx, CASE WHEN coalesce(title, '') = '' THEN 'Section ' || idx ELSE title END AS title FROM a"""
+)
+def fallback_titles(spark, sf_dir):
+    """Chapters without a title are named by their number."""
+    turns = _turns(spark, sf_dir)
+    title = F.when(F.col("spine_pos") % 3 == 2, F.col("title")).when(F.col("spine_pos") % 3 == 1, "")
+    return chapters.number_chapters(turns.withColumn("title", title)).select("book_id", "spine_pos", "idx", "title")
+
+
+@query(
+    """WITH b AS (SELECT conv_id AS book_id, turn AS pos, text, role = 'user' AS begins, substr(text, 1, 20) AS heading FROM conversations),
+    n AS (SELECT *, count(*) FILTER (begins) OVER (PARTITION BY book_id ORDER BY pos) AS section, count(*) FILTER (begins) OVER (PARTITION BY book_id) AS many FROM b)
+    SELECT book_id, section, max(heading) FILTER (begins) AS title, coalesce(string_agg(text, '' ORDER BY pos) FILTER (NOT begins), '') AS text FROM n WHERE section > 0 AND many >= 2 GROUP BY book_id, section"""
+)
+def heading_sections(spark, sf_dir):
+    """What users say as headings: the text from each to the next one."""
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book_id"), F.lit("f").alias("file"), F.col("turn").alias("pos"), F.lit(0).alias("level"), "text", "role")
+    starts = turns.where("role = 'user'").select("book_id", "file", "pos", F.substring("text", 1, 20).alias("title"))
+    return chapters.sections(turns.drop("role"), starts).select("book_id", "section", "title", "text")
+
+
+_CHUNKS = "WITH c AS (SELECT conv_id AS book_id, turn // 3 AS chapter_index, turn AS chunk_index, length(text)::BIGINT AS chars FROM conversations)"
+
+
+def _chunk_rows(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations")
+    return turns.select(F.col("conv_id").alias("book_id"), F.expr("turn div 3").alias("chapter_index"), F.col("turn").alias("chunk_index"), F.length("text").cast("long").alias("chars"))
+
+
+@query(_CHUNKS + " SELECT book_id, count(*) AS total_chunks, sum(chars)::BIGINT AS total_chars FROM c GROUP BY book_id")
+def chunk_totals(spark, sf_dir):
+    """Chunks and characters of each book; turns stand for chunks."""
+    return chapters.chunk_totals(_chunk_rows(spark, sf_dir))
+
+
+@query(
+    _CHUNKS + """ SELECT book_id, chunk_index, coalesce(lag(chapter_index) OVER w <> chapter_index, false) AS starts_chapter, count(*) OVER w AS done_chunks, sum(chars) OVER w::BIGINT AS done_chars
+    FROM c WINDOW w AS (PARTITION BY book_id ORDER BY chapter_index, chunk_index)"""
+)
+def turn_progress(spark, sf_dir):
+    """What is done after each chunk; turns stand for chunks."""
+    return chapters.chunk_progress(_chunk_rows(spark, sf_dir)).select("book_id", "chunk_index", "starts_chapter", "done_chunks", "done_chars")
+
+
+@query(
+    _STATES + """, j AS (SELECT job_id, status, email_registered FROM a WHERE job_id % 2 = 0), t AS (SELECT job_id, 'kept' AS status, last_poll AS created_at FROM a WHERE job_id % 3 = 0)
+    SELECT coalesce(j.job_id, t.job_id) AS job_id, coalesce(j.status, t.status) AS status, email_registered, strftime(date_trunc('second', created_at), '%Y-%m-%d %H:%M:%S') AS created FROM j FULL JOIN t ON j.job_id = t.job_id"""
+)
+def job_snapshots(spark, sf_dir):
+    """Jobs that live, and those of which only the token's copy is left."""
+    states = _states(spark, sf_dir)
+    tokens = states.where("job_id % 3 = 0").select("job_id", F.lit("kept").alias("status"), F.col("last_poll").alias("created_at"))
+    met = sessions.with_snapshot(states.where("job_id % 2 = 0").select("job_id", "status", "email_registered"), tokens)
+    return met.select("job_id", "status", "email_registered", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"))
+
+
+_TAGGED = "CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN upper(lang) || '-XX' WHEN 2 THEN 'IT-' || lang WHEN 3 THEN CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'ita' END END"
+
+
+@query(f"SELECT doc_id, CASE WHEN coalesce({_TAGGED}, '') = '' OR lower({_TAGGED})[1:2] = '{rules.VOICE_LANGUAGE}' THEN '{rules.VOICE_OWN}' ELSE '{rules.VOICE_OTHER}' END AS voice FROM documents")
+def default_voices(spark, sf_dir):
+    """The voice of each document by its language."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "lang")
+    return docs.select("doc_id", catalogue.default_voice(F.expr(_TAGGED)).alias("voice"))
+
+
+@query("WITH w AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang) SELECT lang, n, CASE WHEN lang = 'fr' THEN 'Bonjour' ELSE 'Hello' END AS greeting FROM w")
+def site_contents(spark, sf_dir):
+    """Contents of a site in the languages of the documents, or in English."""
+    wanted = _table(spark, sf_dir, "documents", "lang").groupBy("lang").agg(F.count("*").alias("n"))
+    return catalogue.site_content(wanted, spark.createDataFrame([("en", "Hello"), ("fr", "Bonjour")], "lang string, greeting string"))
