@@ -24,6 +24,11 @@ FEW_ROWS = 200_000
 
 _WS = np.zeros(256, bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes between terms: ASCII that is no letter and no digit.
+BETWEEN = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
+#: A-Z to a-z, other bytes as they are.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -173,9 +178,9 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix64(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every word [^\\x20\\x09-\\x0D]+; words never cross rows."""
-    inside = ~_WS[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _WS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every word, by default [^\\x20\\x09-\\x0D]+; gap marks the bytes between words. Words never cross rows."""
+    inside = ~gap[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
