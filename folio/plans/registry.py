@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from folio.functions import content, html, rules, text
 from folio.operators import catalogue, chapters, sessions
+from folio.session import scratch
 from folio.sinks import books as sink
-from folio.sources import logs
+from folio.sources import epub, logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -704,3 +705,51 @@ def site_contents(spark, sf_dir):
     """Contents of a site in the languages of the documents, or in English."""
     wanted = _table(spark, sf_dir, "documents", "lang").groupBy("lang").agg(F.count("*").alias("n"))
     return catalogue.site_content(wanted, spark.createDataFrame([("en", "Hello"), ("fr", "Bonjour")], "lang string, greeting string"))
+
+
+def _archived(spark, sf_dir):
+    """Pages as EPUB books of fifty, written to the shared folder; where they are."""
+    pages = _table(spark, sf_dir, "pages", "page_id", "html")
+    path = scratch(spark, "epub")
+    rows = pages.select(F.expr("page_id div 50").alias("book_id"), F.concat(F.lit("Pages & more of "), F.expr("page_id div 50")).alias("title"), F.col("page_id").alias("pos"), F.format_string("text/%d.xhtml", "page_id").alias("name"), "html")
+    epub.write_epub(rows, path)
+    return path
+
+
+def _book():
+    return F.regexp_extract("book_id", r"([^/]+)\.epub$", 1).cast("long").alias("book")
+
+
+@query("SELECT page_id // 50 AS book, (row_number() OVER (PARTITION BY page_id // 50 ORDER BY page_id) - 1)::INTEGER AS pos, 'text/' || page_id || '.xhtml' AS name, md5(coalesce(html, '')) AS digest FROM pages")
+def epub_spine(spark, sf_dir):
+    """Pages written as EPUB books and read again, a row a page, in the order of the spine."""
+    return epub.read_epub_rows(spark, _archived(spark, sf_dir)).select(_book(), "pos", "name", F.md5("html").alias("digest"))
+
+
+@query("SELECT DISTINCT page_id // 50 AS book, 'Pages & more of ' || (page_id // 50) AS title, 'unknown' AS author, '' AS language FROM pages")
+def epub_metadata(spark, sf_dir):
+    """What such books say of themselves, with what stands for missing parts."""
+    return epub.read_epub_rows(spark, _archived(spark, sf_dir), "books").where("error is null").select(_book(), "title", "author", "language")
+
+
+@query(
+    r"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'text/' || page_id || '.xhtml' WHEN 1 THEN 'text\' || page_id || '.xhtml' WHEN 2 THEN 'x/y/' || page_id || '.XHTML' ELSE 'none' || page_id END AS path,
+    CASE WHEN page_id % 4 < 3 THEN 'text/' || page_id || '.xhtml' END AS name, CASE WHEN page_id % 4 < 3 THEN md5(coalesce(html, '')) END AS digest FROM pages"""
+)
+def member_bytes(spark, sf_dir):
+    """Bytes of archive members by their path, by it with plain slashes, by its last part in any case; and of none."""
+    place = _archived(spark, sf_dir)
+    kinds = F.array(*[F.format_string(f, "page_id") for f in ("text/%d.xhtml", "text\\%d.xhtml", "x/y/%d.XHTML", "none%d")])
+    wanted = _table(spark, sf_dir, "pages", "page_id").select(F.concat(F.lit(f"{place}/"), F.expr("page_id div 50"), F.lit(".epub")).alias("book_id"), F.get(kinds, (F.col("page_id") % 4).cast("int")).alias("path"))
+    number = F.regexp_extract("path", r"(\d+)[^\d]*$", 1).cast("long")
+    return epub.read_members(wanted).select(number.alias("page_id"), "path", "name", F.md5("content").alias("digest"))
+
+
+@query(ORACLE_SQL["chapter_files"].replace("SELECT book_id, printf", "SELECT book_id::VARCHAR AS folder, printf"))
+def written_chapter_files(spark, sf_dir):
+    """Chapters written as files NNN_title.txt in a folder for each book, and read again."""
+    path = scratch(spark, "chapters")
+    sink.write_chapter_files(_chapters(spark, sf_dir), path)
+    found = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    place = F.split(F.col("_metadata.file_path"), "/")
+    return found.select(F.element_at(place, -2).alias("folder"), F.element_at(place, -1).alias("file"), F.md5("value").alias("digest"))

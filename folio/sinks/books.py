@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
 
 from folio.functions import text
+from folio.sources.stores import StagedWriter, save
 
 # What stands between chapters and at the end.
 PAUSE, END = "\n\n...\n\n", "\n\nFine.\n"
@@ -26,10 +28,44 @@ def chapter_files(chapters: DataFrame) -> DataFrame:
     return chapters.select("book_id", text.chapter_filename(F.col("idx"), F.col("title")).alias("file"), body.alias("text"))
 
 
-def write_chapter_files(chapters: DataFrame, path: str) -> None:
-    """A folder for each book and file; each holds one text file of Spark's."""
-    out = chapter_files(chapters).withColumn("book_id", text.safe_filename(F.col("book_id")))
-    out.write.mode("overwrite").partitionBy("book_id", "file").option("lineSep", "\n").text(path)
+class _TextFiles(StagedWriter):
+    def files_of(self, rows):
+        for r in rows:
+            yield f"{r['folder']}/{r['file']}", [r["text"].encode()]
+
+
+class TextFiles(DataSource):
+    """A sink of one file for each row of folder, file, text. All files get their names when all tasks are done, and
+    none if one fails."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "text_files"
+
+    def writer(self, schema, overwrite: bool) -> _TextFiles:
+        return _TextFiles(self.options.get("path"), overwrite)
+
+
+def write_text_files(files: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Rows of book_id, file, text as path/<book_id>/<file>, many files a task. Books without an id are in the folder "book";
+    null texts are empty files; two rows for one file are an error, and then nothing is written."""
+    folder = F.coalesce(F.nullif(text.safe_filename(F.col("book_id").cast("string")), F.lit("")), F.lit("book"))
+    save(files.select(folder.alias("folder"), "file", F.coalesce("text", F.lit("")).alias("text")), TextFiles, path, mode)
+
+
+def write_chapter_files(chapters: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A folder for each book, in it a file NNN_title.txt for each chapter."""
+    write_text_files(chapter_files(chapters), path, mode)
+
+
+def write_feeds(feeds: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """feed.xml of each book (book_id, rss)."""
+    write_text_files(feeds.select("book_id", F.lit("feed.xml").alias("file"), F.col("rss").alias("text")), path, mode)
+
+
+def write_manifests(manifests: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """manifest.json of each book (book_id, json)."""
+    write_text_files(manifests.select("book_id", F.lit("manifest.json").alias("file"), F.col("json").alias("text")), path, mode)
 
 
 def manifest(chapters: DataFrame, books: DataFrame) -> DataFrame:

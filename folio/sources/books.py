@@ -26,7 +26,8 @@ EPUB_SCHEMA = (
 
 
 def _files(spark: SparkSession, path: str, extension: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{extension}").load(path)
+    glob = "".join(f"[{c}{c.upper()}]" for c in extension)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{glob}").load(path)
     return files.where(content.is_book_file(F.col("path"), F.col("length"), MOST_BYTES))
 
 
@@ -91,8 +92,12 @@ def _contents(book: zipfile.ZipFile, folder: str, items: list) -> list[tuple[int
     return out
 
 
-def _epub(path: str, raw: bytes) -> dict:
-    book = zipfile.ZipFile(io.BytesIO(raw))
+#: What damaged archives and package files raise.
+DAMAGE = (zipfile.BadZipFile, StopIteration, KeyError, ElementTree.ParseError)
+
+
+def describe(path: str, book: zipfile.ZipFile) -> dict:
+    """All of a book but its pages' text: metadata, names of pages in reading order, contents, archive entries."""
     names = book.namelist()
     try:
         place = _all(ElementTree.fromstring(book.read("META-INF/container.xml")), "rootfile")[0].get("full-path")
@@ -105,11 +110,8 @@ def _epub(path: str, raw: bytes) -> dict:
     spine = [r.get("idref") for r in _all(opf, "itemref") if r.get("idref") in documents] or documents
     by_path = {_path(folder, h): (kind, p, k) for k, (h, kind, p) in items.items()}
     meta = next((m.get("content") for m in _all(opf, "meta") if m.get("name") == "cover"), None)
-    pages = []
-    for key in spine:
-        name = _path(folder, items[key][0])
-        if name in names:
-            pages.append({"pos": len(pages), "name": name, "properties": items[key][2], "html": book.read(name).decode("utf-8", "replace")})
+    there = set(names)
+    pages = [(name, items[key][2]) for key in spine if (name := _path(folder, items[key][0])) in there]
     return {
         "book_id": path,
         "title": _first(opf, "title") or posixpath.splitext(posixpath.basename(path))[0],
@@ -117,7 +119,7 @@ def _epub(path: str, raw: bytes) -> dict:
         "language": _first(opf, "language") or "",
         "publisher": _first(opf, "publisher") or "",
         "description": _first(opf, "description") or "",
-        "pages": pages,
+        "pages": [{"pos": i, "name": name, "properties": properties} for i, (name, properties) in enumerate(pages)],
         "toc": [dict(zip(("pos", "href_file", "title"), row)) for row in _contents(book, folder, list(items.values()))],
         "entries": [
             {"pos": i, "name": z.filename, "file_size": z.file_size, "media_type": m[0], "properties": m[1], "is_meta_cover": m[2] == meta}
@@ -128,19 +130,28 @@ def _epub(path: str, raw: bytes) -> dict:
     }
 
 
+def _epub(path: str, raw: bytes) -> dict:
+    book = zipfile.ZipFile(io.BytesIO(raw))
+    row = describe(path, book)
+    for page in row["pages"]:
+        page["html"] = book.read(page["name"]).decode("utf-8", "replace")
+    return row
+
+
 def _read(batches):
     names = [c.split(" ")[0] for c in ("book_id", "title", "author", "language", "publisher", "description", "pages", "toc", "entries", "error")]
     for batch in batches:
         for path, raw in zip(batch["path"], batch["content"]):
             try:
                 row = _epub(path, bytes(raw))
-            except (zipfile.BadZipFile, StopIteration, KeyError, ElementTree.ParseError) as e:  # a damaged book is a row that says so
+            except DAMAGE as e:  # a damaged book is a row that says so
                 row = dict.fromkeys(names) | {"book_id": path, "error": f"{type(e).__name__}: {e}"}
             yield pd.DataFrame([row], columns=names)
 
 
 def read_epub(spark: SparkSession, path: str) -> DataFrame:
-    """One row per book: metadata, pages in reading order, contents, archive entries, error."""
+    """One row per book: metadata, pages in reading order, contents, archive entries, error. For books whose pages do
+    not fit into a row folio.sources.epub has a row per page."""
     return _files(spark, path, "epub").select("path", "content").mapInPandas(_read, EPUB_SCHEMA)
 
 
