@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import content, text
+from folio.operators import titles
 
 
 def file_titles(toc: DataFrame) -> DataFrame:
@@ -29,9 +30,8 @@ def match_headings(headings: DataFrame, toc: DataFrame) -> DataFrame:
     best: equal, containing, sharing words; then the first. Others are left out."""
     left = headings.withColumn("norm", text.normal_title(F.col("heading")))
     right = toc.select("book_id", F.col("href_file").alias("file"), F.col("pos").alias("toc_pos"), F.col("title").alias("toc_title"), text.normal_title(F.col("title")).alias("toc_norm"))
-    met = left.join(right, ["book_id", "file"]).withColumn("rank", content.titles_match(F.col("norm"), F.col("toc_norm"))).where("rank is not null")
-    best = met.groupBy("book_id", "file", "pos", "heading").agg(F.min(F.struct("rank", "toc_pos", "toc_title")).alias("m"))
-    return best.select("book_id", "file", "pos", "heading", F.col("m.toc_pos").alias("toc_pos"), F.col("m.toc_title").alias("title"))
+    best = titles.best_entries(left.select("book_id", "file", "norm"), right)
+    return left.join(best, ["book_id", "file", "norm"]).select("book_id", "file", "pos", "heading", "toc_pos", F.col("toc_title").alias("title"))
 
 
 def level_headings(headings: DataFrame) -> DataFrame:
