@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions import content, text
+from folio.functions import chunking, content, text
 from folio.operators import titles
 
 
@@ -123,13 +123,12 @@ def preview(chapters: DataFrame, *, plain: bool = False) -> DataFrame:
     return best.select("book_id", F.coalesce(text.trim_preview(F.col("text")), F.lit("")).alias("preview"))
 
 
-def plan_chunks(chapters: DataFrame, most: int = text.CHUNK_CHARS, stripped: Column | None = None) -> DataFrame:
+def plan_chunks(chapters: DataFrame, most: int = chunking.CHUNK_CHARS, stripped: Column | None = None) -> DataFrame:
     """Chunks of each chapter: the title as a sentence, then the text without brackets."""
-    body = text.strip_parentheses("text") if stripped is None else stripped
-    cut = text.chunks(F.concat(F.col("title"), F.lit(".\n\n"), body), most)
-    rows = chapters.select("book_id", F.col("idx").alias("chapter_index"), F.col("title").alias("chapter_title"), cut.alias("cut"))
-    rows = rows.select("book_id", "chapter_index", "chapter_title", F.size("cut").alias("chunks_in_chapter"), F.posexplode("cut").alias("chunk_index", "text"))
-    return rows.withColumn("chars", F.length("text"))
+    body = text.strip_parentheses(F.col("text")) if stripped is None else stripped
+    rows = chapters.select("book_id", F.col("idx").alias("chapter_index"), F.col("title").alias("chapter_title"), F.concat(F.col("title"), F.lit(".\n\n"), body).alias("spoken"))
+    cut = chunking.chunked(rows, F.col("spoken"), most)
+    return cut.select("book_id", "chapter_index", "chapter_title", F.col("chunks").alias("chunks_in_chapter"), "chunk_index", F.col("chunk").alias("text"), F.length("chunk").alias("chars"))
 
 
 def chunk_totals(chunks: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.functions import content, html, rules, text
+from folio.functions import chunking, content, html, rules, text
 from folio.operators import catalogue, chapters, sessions
 from folio.session import scratch
 from folio.sinks import books as sink
@@ -216,7 +216,8 @@ def _cleaned(rows):
     return out.select("doc_id", F.md5("text").alias("cleaned"), text.char_count(F.col("text")).alias("chars"))
 
 
-_H1 = r"regexp_extract(html, '<h1>([^<]*)</h1>', 1)"
+#: The pages' first heading, in SQL.
+_H1 = r"replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '^\s+|\s+$', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')"
 _HEAD = f"(?i){rules.HEADING}"
 
 
@@ -228,9 +229,9 @@ _HEAD = f"(?i){rules.HEADING}"
 )
 def heading_format(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages", "page_id", "html")
-    title = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
-    numbered = F.concat(F.lit("Chapter "), "page_id", F.lit(" - "), text.strip(title))
-    both = pages.select("page_id", title.alias("h")).union(pages.select(F.col("page_id") + 1000000, numbered))
+    heads = pages.select("page_id", html.html_title("html").alias("h"))
+    numbered = F.concat(F.lit("Chapter "), "page_id", F.lit(" - "), "h")
+    both = heads.union(heads.select(F.col("page_id") + 1000000, numbered))
     return both.select("page_id", text.format_heading(F.col("h")).alias("heading"))
 
 
@@ -245,28 +246,79 @@ def leading_title(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.md5(text.remove_leading_title(F.col("text"), title)).alias("body"))
 
 
-def _bare_sql(c, depth=6):
-    for _ in range(depth):
-        c = rf"regexp_replace(regexp_replace({c}, '\([^()]*\)', '', 'g'), '\[[^\[\]]*\]', '', 'g')"
-    return _strip(rf"regexp_replace(regexp_replace({c}, '\s+', ' ', 'g'), '\s+([,;:.!?])', '\1', 'g')")
+#: A text followed by brackets nested as deep as its number says.
+_NESTED = "text || repeat(' (a [b', CAST(doc_id % 30 AS INT)) || ' x ' || repeat('c] d)', CAST(doc_id % 30 AS INT)) || ' , end'"
 
 
-@query(f"SELECT doc_id, md5({_bare_sql('text')}) AS bare FROM documents")
+def _bare_sql(rows, *keys):
+    """Text without brackets of rows (keys, text), nested to any depth."""
+    inner = r"regexp_replace(regexp_replace(t, '\([^()]*\)', '', 'g'), '\[[^\[\]]*\]', '', 'g')"
+    keys, ends = ", ".join(keys), rf"regexp_replace(regexp_replace(arg_max(t, k), '\s+', ' ', 'g'), '\s+([,;:.!?])', '\1', 'g')"
+    rounds = f"SELECT {keys}, text AS t, 0 AS k FROM ({rows}) UNION ALL SELECT {keys}, {inner}, k + 1 FROM rounds WHERE {inner} <> t"
+    return f"rounds AS ({rounds}), bare AS (SELECT {keys}, {_strip(ends)} AS text FROM rounds GROUP BY {keys})"
+
+
+@query(f"WITH RECURSIVE {_bare_sql(f'SELECT doc_id, {_NESTED} AS text FROM documents', 'doc_id')} SELECT doc_id, md5(text) AS bare FROM bare")
 def strip_parentheses(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", F.md5(text.strip_parentheses("text")).alias("bare"))
+    """Documents with nested brackets at their end, without what stands in brackets."""
+    return _documents(spark, sf_dir).select("doc_id", F.md5(text.strip_parentheses(F.expr(_NESTED))).alias("bare"))
+
+
+def _chunks_sql(rows, *keys, most=chunking.CHUNK_CHARS):
+    """Chunks (keys, chunk_index, chunks, chunk) of rows (keys, text), in the order of tables: lines, pieces with their places in
+    the joined text, the piece that begins the chunk after one that begins with each piece, and the walk along these."""
+    k, on = ", ".join(keys), " AND ".join(f"a.{x} = b.{x}" for x in keys)
+    ends = "".join(f"WHEN contains(line, '{e}') THEN list_transform(string_split(line, '{e}'), lambda p, i: p || CASE WHEN i < len(string_split(line, '{e}')) THEN '{e[0]}' ELSE '' END) " for e in chunking.ENDS)
+    return f"""lines AS (SELECT {k}, i AS n, {_strip('x')} AS line FROM (SELECT {k}, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM ({rows}))),
+    inked AS (SELECT *, n - coalesce(lag(n) OVER (PARTITION BY {k} ORDER BY n), 0) - 1 AS blank FROM lines WHERE line <> ''),
+    listed AS (SELECT *, CASE WHEN length(line) <= {most} THEN [line] {ends} ELSE [line] END AS parts FROM inked),
+    units AS (SELECT {k}, n, blank, unnest(parts) AS part, generate_subscripts(parts, 1) AS j, length(line) > {most} AS long FROM listed),
+    spaced AS (SELECT {k}, row_number() OVER w AS i, j = 1 AND long AS fresh, CASE WHEN row_number() OVER w = 1 THEN part ELSE repeat(chr(10), CASE WHEN j = 1 THEN blank ELSE 0 END) || ' ' || part END AS unit, length(part) AS size FROM units WINDOW w AS (PARTITION BY {k} ORDER BY n, j)),
+    placed AS (SELECT *, sum(length(unit)) OVER (PARTITION BY {k} ORDER BY i) AS e, sum(length(unit)) OVER (PARTITION BY {k} ORDER BY i) - size AS s FROM spaced),
+    jumps AS (SELECT {', '.join(f'a.{x}' for x in keys)}, a.i, min(b.i) AS nxt FROM placed a LEFT JOIN placed b ON {on} AND b.i > a.i AND (b.fresh OR b.e > a.s + {most}) GROUP BY ALL),
+    walk AS (SELECT {k}, i, nxt, 0 AS chunk_index FROM jumps WHERE i = 1 UNION ALL SELECT {', '.join(f'a.{x}' for x in keys)}, b.i, b.nxt, a.chunk_index + 1 FROM walk a JOIN jumps b ON {on} AND b.i = a.nxt),
+    full_text AS (SELECT {k}, string_agg(unit, '' ORDER BY i) AS t FROM placed GROUP BY {k}),
+    bounds AS (SELECT a.*, b.s, (SELECT max(c.e) FROM placed c WHERE {' AND '.join(f'c.{x} = a.{x}' for x in keys)} AND c.i < coalesce(a.nxt, 1000000000)) AS e FROM walk a JOIN placed b ON {on} AND a.i = b.i),
+    found AS (SELECT {', '.join(f'a.{x}' for x in keys)}, chunk_index, {_strip('substr(b.t, (s + 1)::BIGINT, (e - s)::BIGINT)')} AS chunk FROM bounds a JOIN full_text b ON {on}),
+    chunked AS (SELECT {k}, chunk_index, chunk FROM found UNION ALL SELECT {k}, 0, text FROM ({rows}) r WHERE {_strip('text')} = '')"""
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_chunks_sql('SELECT doc_id, text FROM documents', 'doc_id', most=300)}"
+    " SELECT doc_id, chunk_index, count(*) OVER (PARTITION BY doc_id) AS chunks, length(chunk) AS chars, md5(chunk) AS chunk FROM chunked"
+)
+def document_chunks(spark, sf_dir):
+    """Chunks of 300 characters of whole documents."""
+    rows = chunking.chunked(_documents(spark, sf_dir).select("doc_id", "text"), F.col("text"), 300)
+    return rows.select("doc_id", "chunk_index", F.col("chunks").cast("long").alias("chunks"), F.length("chunk").cast("long").alias("chars"), F.md5("chunk").alias("chunk"))
+
+
+_PLANNED = (
+    _CHAPTERS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f", {_bare_sql('SELECT book_id, idx, title, text FROM chapters', 'book_id', 'idx', 'title')}, {_chunks_sql("SELECT book_id, idx, title || '.' || chr(10) || chr(10) || text AS text FROM bare", 'book_id', 'idx')}"
+)
+
+
+@query(_PLANNED + " SELECT book_id, idx AS chapter_index, chunk_index, count(*) OVER (PARTITION BY book_id, idx) AS chunks_in_chapter, length(chunk) AS chars, md5(chunk) AS chunk FROM chunked")
 def chunk_plan(spark, sf_dir):
-    """Chunks of every content turn (a greedy fold, which tests compare with a plain loop)."""
+    """Chunks of every content turn."""
     plan = chapters.plan_chunks(_chapters(spark, sf_dir))
-    return plan.select("book_id", "chapter_index", "chunk_index", "chunks_in_chapter", "chars", F.md5("text").alias("chunk"))
+    return plan.select("book_id", "chapter_index", "chunk_index", F.col("chunks_in_chapter").cast("long").alias("chunks_in_chapter"), F.col("chars").cast("long").alias("chars"), F.md5("text").alias("chunk"))
 
 
-@query()
+@query(
+    _PLANNED + """ SELECT book_id, idx AS chapter_index, chunk_index, coalesce(lag(idx) OVER w <> idx, false) AS starts_chapter, count(*) OVER w AS done_chunks, sum(length(chunk)) OVER w::BIGINT AS done_chars
+    FROM chunked WINDOW w AS (PARTITION BY book_id ORDER BY idx, chunk_index)"""
+)
 def chunk_progress(spark, sf_dir):
     plan = chapters.plan_chunks(_chapters(spark, sf_dir).select("book_id", "idx", "title", "text"))
-    return chapters.chunk_progress(plan.drop("text"))
+    return chapters.chunk_progress(plan).select("book_id", "chapter_index", "chunk_index", "starts_chapter", "done_chunks", "done_chars")
+
+
+@query(_PLANNED + " SELECT book_id, count(*) AS total_chunks, sum(length(chunk))::BIGINT AS total_chars FROM chunked GROUP BY book_id")
+def planned_totals(spark, sf_dir):
+    """Chunks and characters of each book's plan."""
+    return chapters.chunk_totals(chapters.plan_chunks(_chapters(spark, sf_dir)))
 
 
 @query(
@@ -294,7 +346,7 @@ def previews(spark, sf_dir):
 
 @query(rf"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower({_H1}), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), '[^\w\s\p{{L}}\p{{N}}]', '', 'g') AS norm FROM pages")
 def normal_titles(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", text.normal_title(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("norm"))
+    return _table(spark, sf_dir, "pages").select("page_id", text.normal_title(html.html_title("html")).alias("norm"))
 
 
 @query(rf"SELECT count(*) AS lines, count(*) FILTER (regexp_matches(lower(w), '{rules.EMAIL}')) AS emails FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents)")
@@ -319,10 +371,7 @@ def html_text(spark, sf_dir):
     return out.select("page_id", F.md5("text").alias("digest"), text.char_count(F.col("text")).alias("chars"))
 
 
-_PLAIN_H1 = r"regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '^\s+|\s+$', '', 'g')"
-
-
-@query(f"SELECT page_id, replace(replace(replace(replace(replace({_PLAIN_H1}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&') AS title FROM pages")
+@query(f"SELECT page_id, {_H1} AS title FROM pages")
 def html_titles(spark, sf_dir):
     return _table(spark, sf_dir, "pages", "page_id", "html").select("page_id", html.html_title("html").alias("title"))
 
@@ -563,16 +612,16 @@ def file_titles(spark, sf_dir):
 
 
 @query(
-    r"""WITH h AS (SELECT page_id // 50 AS book_id, page_id AS pos, regexp_replace(lower(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '[^\w\s\p{L}\p{N}]', '', 'g') AS n FROM pages),
+    rf"""WITH h AS (SELECT page_id // 50 AS book_id, page_id AS pos, regexp_replace(lower({_H1}), '[^\w\s\p{{L}}\p{{N}}]', '', 'g') AS n FROM pages),
     w AS (SELECT *, regexp_replace(regexp_replace(n, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS norm FROM h),
     t AS (SELECT book_id, pos AS toc_pos, norm AS toc, list_filter(list_distinct(string_split(norm, ' ')), lambda x: x <> '') AS words FROM w),
     m AS (SELECT w.book_id, w.pos, toc_pos, CASE WHEN length(norm) < 3 OR toc = '' THEN NULL WHEN norm = toc THEN 1 WHEN contains(norm, toc) OR contains(toc, norm) THEN 2
     WHEN len(words) >= 2 AND len(list_intersect(words, string_split(norm, ' '))) / len(words) >= 0.6 THEN 3 END AS rank FROM w JOIN t ON w.book_id = t.book_id)
-    SELECT pos, (min({'r': rank, 'p': toc_pos})).p AS toc_pos FROM m WHERE rank IS NOT NULL GROUP BY book_id, pos"""
+    SELECT pos, (min({{'r': rank, 'p': toc_pos}})).p AS toc_pos FROM m WHERE rank IS NOT NULL GROUP BY book_id, pos"""
 )
 def heading_matches(spark, sf_dir):
     """Headings of pages matched with those of their book (fifty pages each)."""
-    pages = _table(spark, sf_dir, "pages", "page_id", "html").select(F.floor(F.col("page_id") / 50).alias("book_id"), F.lit("f").alias("file"), F.col("page_id").alias("pos"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"))
+    pages = _table(spark, sf_dir, "pages", "page_id", "html").select(F.floor(F.col("page_id") / 50).alias("book_id"), F.lit("f").alias("file"), F.col("page_id").alias("pos"), html.html_title("html").alias("heading"))
     toc = pages.select("book_id", F.col("file").alias("href_file"), "pos", F.col("heading").alias("title"))
     return chapters.match_headings(pages, toc).select("pos", "toc_pos")
 

@@ -1,13 +1,14 @@
 """Text functions against plain Python on written cases."""
 
 import re
+import time
 import unicodedata
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
-from folio.functions import content, rules, text
+from folio.functions import chunking, content, rules, text
 
 CASES = [
     "", " ", "Plain words. More", "# Heading\nbody *bold* and **b**", "a [1] b {2} c [a] d", "[1] whole line goes\nstays", "see http://x.y/z now\nhttp://start.of line",
@@ -62,43 +63,63 @@ def test_strip_and_words(spark):
 
 
 def plain_chunks(t, most):
-    out, cur = [], ""
-
-    def flush():
-        if cur.strip():
-            out.append(cur.strip())
-
-    for line in (x.strip() for x in t.split("\n")):
-        if not line:
-            cur += "\n" if cur else ""
-            continue
-        parts, fresh = [line], False
-        if len(line) > most:
-            sep = next((s for s in (". ", "! ", "? ", "; ") if s in line), None)
-            parts, fresh = ([p + sep[0] for p in line.split(sep)[:-1]] + [line.split(sep)[-1]] if sep else [line]), True
-        for p in parts:
-            if fresh or len(cur) + len(p) + 1 > most:
-                flush()
-                cur, fresh = p, False
-            else:
-                cur = f"{cur} {p}" if cur else p
-    flush()
-    return out or [t]
+    """The contract in words: lines fill a buffer; what would exceed it closes it; long lines go by sentences."""
+    done, buffer = [], None
+    for line in [x.strip() for x in t.split("\n")]:
+        kinds = [e for e in (". ", "! ", "? ", "; ") if e in line] if len(line) > most else []
+        units = re.split(f"(?<={re.escape(kinds[0][0])}) ", line) if kinds else [line] if line else []
+        if not line and buffer is not None:
+            buffer += "\n"
+        for n, unit in enumerate(units):
+            joined = unit if buffer is None else f"{buffer} {unit}"
+            if buffer is not None and (len(joined) > most or (n == 0 and len(line) > most)):
+                done.append(buffer)
+                joined = unit
+            buffer = joined
+    done += [buffer] if buffer is not None else []
+    return [x.strip() for x in done] or [t]
+
+
+def chunks_of(spark, texts, most):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    found = chunking.chunked(rows, F.col("t"), most).collect()
+    out = [[] for _ in texts]
+    for r in sorted(found, key=lambda r: (r.i, r.chunk_index)):
+        assert r.chunk_index == len(out[r.i])
+        out[r.i].append(r.chunk)
+        assert r.chunks == sum(x.i == r.i for x in found)
+    return out
 
 
 def test_chunks(spark, sf_dir):
     texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect()]
-    texts += ["", " \n ", "a" * 50, "One. Two! Three? " * 9, "x; y; z\n\nq" * 8, "no end at all " * 10]
+    texts += ["", " \n ", "a" * 50, "One. Two! Three? " * 9, "x; y; z\n\nq" * 8, "no end at all " * 10, "a.  b. " * 30, "x" * 40 + "\n" + "y" * 40, "x" * 19 + "\n\n" + "y" * 19, None, ". . . " * 20]
     for most in (40, 500):
-        assert apply(spark, texts, lambda c: text.chunks(c, most)) == [plain_chunks(t, most) for t in texts]  # noqa: B023
+        assert chunks_of(spark, texts, most) == [[] if t is None else plain_chunks(t, most) for t in texts]
+
+
+def test_chunks_of_a_long_chapter_take_linear_time():
+    text = "A sentence of a few words that ends here. " * 120_000
+    began = time.process_time()
+    found = chunking.cuts(text + "\n\n" + text.replace(". ", ".\n"))
+    assert len(text) > 5_000_000 and time.process_time() - began < 5
+    assert max(map(len, found)) <= 2000 and "".join("".join(found).split()) == "".join(text.split()) * 2
 
 
 def test_chunks_lose_nothing(spark):
-    (got,) = apply(spark, ["One two. Three four!\n\nFive six; seven " * 30], lambda c: text.chunks(c, 60))
+    (got,) = chunks_of(spark, ["One two. Three four!\n\nFive six; seven " * 30], 60)
     assert "".join("".join(got).split()) == "".join(("One two. Three four!\n\nFive six; seven " * 30).split())
     assert max(map(len, got)) <= 60
 
 
+def plain_bare(t):
+    while True:
+        left = re.sub(r"\[[^\[\]]*\]", "", re.sub(r"\([^()]*\)", "", t))
+        if left == t:
+            return re.sub(r"\s+([,;:.!?])", r"\1", " ".join(t.split()))
+        t = left
+
+
 @pytest.mark.parametrize(
     "given, want",
     [("Chapter 3: The end", "Chapter 3. The end."), ("capitolo IV", "capitolo IV."), ("Part 2 - ", "Part 2."), ("Prologue", "Prologue."), ("Why?", "Why?"), ("", "")],
@@ -108,7 +129,8 @@ def test_headings(spark, given, want):
 
 
 def test_names_times_and_addresses(spark):
-    assert apply(spark, ["a(b(c)d)e [x] , f", "(open", None], text.strip_parentheses) == ["ae, f", "(open", None]
+    odd = ["a(b(c)d)e [x] , f", "(open", None, "", "( [ (x) ) ] y", "(a [x) y] b)", "[(] a )", "(" * 900 + "x" + ")" * 900 + " z", "(a)[b] " * 900 + "\x1c.", ")(", "((a) b", "[[(]])]"]
+    assert apply(spark, odd, text.strip_parentheses) == [t if t is None else plain_bare(t) for t in odd]
     assert apply(spark, ['a<b>: "c" d'], text.safe_filename) == ["ab_c_d"]
     assert apply(spark, ["/x/My_book-one.txt", "/x/_.txt"], text.title_from_stem) == ["My book one", "Text"]
     assert apply(spark, ["it-IT-ElsaNeural"], text.voice_name) == ["Elsa"]
