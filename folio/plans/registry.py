@@ -545,6 +545,16 @@ def hourly_digest(spark, sf_dir):
     return out.select(F.date_format("start", "yyyy-MM-dd HH:00").alias("hour"), "event_type", "n")
 
 
+@query(
+    """WITH RECURSIVE sent AS (SELECT user_id, min(ts) AS at, NULL::TIMESTAMP AS before FROM events GROUP BY user_id
+    UNION ALL SELECT s.user_id, greatest(min(e.ts), s.at + INTERVAL 1 HOUR), s.at FROM sent s JOIN events e ON e.user_id = s.user_id AND e.ts > s.at GROUP BY s.user_id, s.at)
+    SELECT s.user_id AS job_id, epoch_us(s.at) AS sent_us, count(*) AS events FROM sent s JOIN events e ON e.user_id = s.user_id AND e.ts <= s.at AND (s.before IS NULL OR e.ts > s.before) GROUP BY ALL"""
+)
+def throttled_digests(spark, sf_dir):
+    """Digests of each job's events, an hour apart at least."""
+    return sessions.throttled(_jobs(spark, sf_dir)).select(F.col("key").alias("job_id"), F.unix_micros("sent_at").alias("sent_us"), "events")
+
+
 _NOW = "2024-01-30 00:00:00"
 _STATUSES = ("analyzed", "generating", "done", "error", "cancelled")
 
@@ -567,7 +577,7 @@ _STATES = """WITH last AS (SELECT user_id AS job_id, min(ts) AS start_time, max(
 
 @query(
     _STATES + """ SELECT job_id, status, CASE WHEN coalesce(CASE WHEN status = 'cancelled' THEN true WHEN email_registered AND status IN ('generating', 'analyzed') THEN false
-    WHEN status = 'done' THEN CASE WHEN email_sent_at IS NOT NULL THEN idle > 1440 WHEN email_registered THEN false WHEN idle < 60 THEN false ELSE idle > 60 END
+    WHEN status = 'done' THEN CASE WHEN email_registered AND email_sent_at IS NOT NULL THEN idle > 1440 WHEN email_registered THEN false WHEN idle < 60 THEN false ELSE idle > 60 END
     WHEN status = 'error' THEN age > 60 WHEN status = 'analyzed' THEN idle > 5 ELSE false END, false) THEN 'remove' ELSE 'keep' END AS action,
     status = 'generating' AND NOT email_registered AND idle * 60 > 60 AS heartbeat_lost FROM a"""
 )
