@@ -117,7 +117,7 @@ def _signed(width: int, bands: int, rows: int):
                 size = np.bincount(row, weights=count, minlength=n).astype(np.int64)
                 values = pa.array(np.ascontiguousarray(band).view(np.int64).ravel())
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), values)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *hashes, pa.array(size), listed], names=["id", "given", "bag1", "bag2", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *hashes, pa.array(size), listed], names=["id", "given", "text_hash", "bag1", "bag2", "size", "bands"])
 
     return run
 
@@ -150,7 +150,7 @@ def _verified(width: int, similarity: float):
 
 
 def _elements(width: int):
-    """The elements of the texts whose multiset is the node's (an id may have other texts too)."""
+    """The elements of the texts of nodes."""
 
     @common.frugal
     def run(batches):
@@ -158,8 +158,6 @@ def _elements(width: int):
             for batch in common.pieces(whole, "text", CHUNK):
                 row, shingle, count = bags(*common.byte_view(batch.column(2)), width)
                 bag = batch.column(1).to_numpy()
-                mine = (bag_hash(row, shingle, count, len(bag), 1) == bag)[row]
-                row, shingle, count = row[mine], shingle[mine], count[mine]
                 node = batch.column(0).to_numpy()[row]
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(bag[row]), pa.array(shingle.view(np.int64)), pa.array(count.astype(np.int64))], names=["node", "bag1", "shingle", "weight"])
 
@@ -207,27 +205,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weighted Jaccard similarity over shingles is at least `similarity`; class_id is the
     least id of the class.
 
-    Texts with equal multisets are one node, so copies are never expanded into pairs. Null,
-    empty and wordless texts are alone. Each row that repeats an id has the class of its own text; other columns are
+    Texts with equal multisets are one node, whatever their ids, so copies are never expanded into pairs. Null,
+    empty and wordless texts are alone. Texts of any length are taken whole; equal likeness needs no tie-break, since all links
+    count. Each row that repeats an id has the class of its own text; other columns are
     not looked at; an empty table gives an empty result. Rows without an id keep the null; a class of none
     but such rows has a number from 2**62 up.
     """
-    texts = docs.select(common.row_id(id_col, text_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("given"))
-    signed = common.cut(texts.mapInArrow(_signed(width, bands, rows), "id long, given long, bag1 long, bag2 long, size long, bands array<long>"), "signatures")
+    texts = docs.select(common.row_id(id_col, text_col).alias("id"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("given"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
+    signed = common.cut(texts.mapInArrow(_signed(width, bands, rows), "id long, given long, text_hash long, bag1 long, bag2 long, size long, bands array<long>"), "signatures")
     full = signed.where("size > 0")
-    nodes = full.groupBy("bag1", "bag2").agg(F.min("id").alias("node"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    nodes = common.cut(nodes, "nodes")
+    nodes = full.groupBy("bag1", "bag2").agg(F.min(F.struct("id", "text_hash")).alias("stands"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    # nodes are numbered as they are written; a node's text is that of its least id
+    nodes = common.cut(nodes.select(F.monotonically_increasing_id().alias("node"), "bag1", "bag2", F.col("stands.id").alias("id"), F.col("stands.text_hash").alias("text_hash"), "size", "bands"), "nodes")
     members = nodes.select("node", "bag1", "size", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
     met = common.cut(members.join(sizes, "bucket"), "buckets")  # only what shares a bucket
 
+    def texts_of(asked: DataFrame) -> DataFrame:
+        """node, bag1, text of some nodes; rows that repeat id and text give it as often."""
+        places = common.few(nodes.join(asked.select("node").distinct(), "node").select("node", "bag1", "id", "text_hash"), "asked")
+        return texts.select("id", "text_hash", "text").join(places, ["id", "text_hash"]).select("node", "bag1", "text")
+
     def tested(pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (u, v) the links."""
         pairs = common.cut(pairs.distinct(), "pairs")
-        asked = common.few(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "asked")
-        needed = common.cut(texts.select("id", "text").join(asked, "id", "left_semi"), "texts")  # only these texts travel
-        first = pairs.join(needed.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
-        second = first.join(needed.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
+        needed = common.cut(texts_of(pairs.select(F.explode(F.array("u", "v")).alias("node"))).select("node", "text"), "texts")  # only these texts travel
+        first = pairs.join(needed.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
+        second = first.join(needed.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
         return common.cut(second.select("u", "v", "a", "b").mapInArrow(_verified(width, similarity), "u long, v long, linked boolean").where("linked").select("u", "v"), "links")
 
     def met_in_bucket(left: DataFrame, right: DataFrame, condition: str) -> DataFrame:
@@ -259,9 +263,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         asked = large.select("node", "class").distinct()
         if elements is None:
-            kept = texts.join(nodes.join(asked, "node").select("node", "bag1"), texts["id"] == F.col("node")).select("node", "bag1", "text")
-            # rows that repeat a node's text, or only its multiset, count once
-            elements = common.cut(kept.mapInArrow(_elements(width), "node long, bag1 long, shingle long, weight long").distinct(), "elements")
+            # rows that repeat a node's text count once
+            elements = common.cut(texts_of(asked).mapInArrow(_elements(width), "node long, bag1 long, shingle long, weight long").distinct(), "elements")
         # a text with too much that no other class has is linked to none of them
         reach = common.cut(shared_sizes(elements, asked, similarity), "reach")
         large = still_open(large.select("bucket", "node", "bag1", "size").distinct().join(reach, ["node", "bag1"]))
@@ -278,7 +281,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not found.isEmpty():
             links = links.union(found)
             classes = components(links)
-    named = nodes.join(classes, "node", "left").select("bag1", "bag2", F.coalesce("class", "node").alias("class_id"))
+    least = classes.join(nodes.select("node", "id"), "node").groupBy("class").agg(F.min("id").alias("least"))
+    named = nodes.join(classes.join(least, "class"), "node", "left").select("bag1", "bag2", F.coalesce("least", "id").alias("class_id"))
     out = full.select("given", "bag1", "bag2").join(named, ["bag1", "bag2"]).select(F.col("given").alias("id"), "class_id")
     return out.union(signed.where("size = 0").select(F.col("given").alias("id"), F.col("id").alias("class_id")))
 

@@ -89,7 +89,7 @@ def parse_arc(data: bytes):
             if version not in (1, 2):
                 raise ValueError(f"ARC version {version} is not known")
         else:
-            yield version, fields[0].decode(), fields[1].decode(), fields[2].decode(), fields[3].decode(), body
+            yield version, *(f.decode("utf-8", "replace") for f in fields[:4]), body
 
 
 def split_http(body: bytes) -> tuple[dict[str, str], bytes]:
@@ -101,29 +101,45 @@ def split_http(body: bytes) -> tuple[dict[str, str], bytes]:
     return {k.strip().lower(): v.strip() for k, _, v in headers}, payload
 
 
+def unpacked(raw: bytes) -> bytes:
+    """A file's bytes: plain, or gzip of one member or of many (a member a record is the usual form)."""
+    out = []
+    while raw[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(47)
+        out.append(member.decompress(raw))
+        if not member.eof:
+            raise ValueError("a gzip member ends early")
+        raw = member.unused_data.lstrip(b"\0")  # files may be padded
+    if out and raw:
+        raise ValueError(f"no gzip member: {raw[:20]!r}")
+    return b"".join(out) if out else raw
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text and text.lstrip("-").isdigit() else None
+
+
 def _archive(batches, parse):
     for batch in batches:
         for content in batch.column(0):
-            raw = content.as_py()
-            yield from parse(zlib.decompress(raw, 47) if raw[:2] == b"\x1f\x8b" else raw)
+            yield from parse(unpacked(content.as_py()))
 
 
-_ARC_SCHEMA = "page_id long, url string, address string, date string, type string, payload_bytes long, payload_digest string, body string"
+_ARC_SCHEMA = "page_id long, url string, address string, date string, type string, payload_bytes long, payload_digest string, body binary"
 
 
 def read_arc(spark, path: str) -> DataFrame:
-    """The records of ARC files, one row each; body is the HTTP response."""
+    """The records of ARC files, one row each; body is the HTTP response, of whatever bytes."""
 
     @common.frugal
     def run(batches):
         rows, held = [], 0
-        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
         names = [x.strip().split(" ")[0] for x in _ARC_SCHEMA.split(",")]
         block = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, types)], names=names)
         for _, url, address, date, kind, body in _archive(batches, parse_arc):
             headers, payload = split_http(body)
-            page = headers.get("x-page-id", "")
-            rows.append((int(page) if page else None, url, address, date, kind, len(payload), hashlib.sha1(payload).hexdigest(), body.decode()))
+            rows.append((_number(headers.get("x-page-id")), url, address, date, kind, len(payload), hashlib.sha1(payload).hexdigest(), body))
             held += len(body)
             if held > common.CHUNK_BYTES:
                 yield block()
@@ -143,27 +159,45 @@ def record_id(digest: Column, url: Column, date: Column, page: Column) -> Column
 
 def convert(records: DataFrame) -> DataFrame:
     """WARC records (column value) of ARC records: revisits of equal payloads refer to the one with
-    the largest page id."""
+    the largest page id; records without an id revisit it too, and stand as they are if no equal one has an id.
+
+    Which records are revisits is told by small rows without bodies, and then by the record's own identifier, so
+    that no payload, however common, brings bodies together."""
     named = records.withColumn("rid", record_id(F.col("payload_digest"), F.col("url"), F.col("date"), F.col("page_id")))
-    stands = records.where(f"payload_bytes >= {REVISIT_BYTES}").groupBy("payload_digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
-    stands = stands.select(F.col("payload_digest").alias("d"), "keeper")
-    seen = named.join(stands, F.expr(f"payload_digest = d and payload_bytes >= {REVISIT_BYTES}"), "left")
-    revisit = F.expr("keeper is not null and page_id <> keeper")
-    stamp = F.concat_ws("", *[x for a, n, s in ((1, 4, "-"), (5, 2, "-"), (7, 2, "T"), (9, 2, ":"), (11, 2, ":"), (13, 2, "Z")) for x in (F.substring("date", a, n), F.lit(s))])
-    head = F.substring_index("body", "\r\n\r\n", 1)
-    block = F.when(revisit, F.concat(head, F.lit("\r\n\r\n"))).otherwise(F.col("body"))
+    small = common.cut(named.where(f"payload_bytes >= {REVISIT_BYTES}").select("payload_digest", "page_id", "rid", "url", "date"), "digests")
+    stands = small.where("page_id is not null").groupBy("payload_digest").agg(F.max(F.struct("page_id", "rid", "url", "date")).alias("keeper"))
+    again = small.join(stands, "payload_digest").where("not page_id <=> keeper.page_id").select(F.col("rid").alias("again"), "keeper").distinct()
+    seen = named.join(common.few(again, "revisits"), F.col("rid") == F.col("again"), "left")
+    revisit = F.col("keeper").isNotNull()
+    stamp = lambda date: F.concat_ws("", *[x for a, n, s in ((1, 4, "-"), (5, 2, "-"), (7, 2, "T"), (9, 2, ":"), (11, 2, ":"), (13, 2, "Z")) for x in (F.substring(date, a, n), F.lit(s))])
+    body = F.col("body").cast("string")  # the same bytes, whatever they are
+    block = F.when(revisit, F.concat(F.substring_index(body, "\r\n\r\n", 1), F.lit("\r\n\r\n"))).otherwise(body)
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+    bracketed = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
+    refers = F.concat(
+        line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", bracketed(F.col("keeper.rid"))), line("WARC-Refers-To-Target-URI", F.col("keeper.url")),
+        line("WARC-Refers-To-Date", stamp("keeper.date")), line("WARC-Refers-To-Page", F.col("keeper.page_id").cast("string")),
+        line("WARC-Payload-Length", F.col("payload_bytes").cast("string")),
+    )
     text = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", F.concat(F.lit("<"), "rid", F.lit(">"))), line("WARC-Date", stamp),
+        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", bracketed(F.col("rid"))), line("WARC-Date", stamp("date")),
         line("WARC-Target-URI", F.col("url")), line("WARC-IP-Address", F.col("address")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To-Page", F.col("keeper").cast("string")))).otherwise(F.lit("")),
+        F.when(revisit, refers).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"), block,
     )
     return seen.select(text.alias("value"))
 
 
+#: What a file says of itself, in its first record.
+INFO = "software: folio\r\nformat: WARC File Format 1.1\r\n"
+
+
 def write_warc(records: DataFrame, path: str) -> None:
-    """Records (column value) as WARC files; each record ends in two line breaks."""
+    """Records (column value) as WARC files; each record ends in two line breaks, and a warcinfo record opens each file."""
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # of its partition, which is one file
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    info = F.concat(F.lit("WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:"), F.expr("uuid()"), F.lit(">\r\nWARC-Date: "), stamp, F.lit(f"\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(INFO)}\r\n\r\n{INFO}\r\n\r\n"))
+    records = records.select(F.when(first, F.concat(info, "value")).otherwise(F.col("value")).alias("value"))
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
@@ -175,30 +209,34 @@ def parse_warc(data: bytes):
         if at < 0:
             return
         end = data.find(b"\r\n\r\n", at)
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode().split("\r\n")[1:])}
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])}
         length = int(headers["content-length"])
         yield headers, data[end + 4 : end + 4 + length]
         at = end + 4 + length
 
 
-_WARC_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string, intact boolean"
+_WARC_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string, refers_to_record string, intact boolean"
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """The records of WARC files; intact: a response's payload has the declared digest and length."""
+    """The responses and revisits of WARC files; intact: a response's payload has the declared digest and length."""
 
     @common.frugal
     def run(batches):
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
         names = [x.strip().split(" ")[0] for x in _WARC_SCHEMA.split(",")]
         rows = []
-        block = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, types)], names=names)
+        block = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, types)], names=names)
         for headers, body in _archive(batches, parse_warc):
+            kind = headers["warc-type"]
+            if kind not in ("response", "revisit"):
+                continue
             http, payload = split_http(body)
-            page, kind, refers = http.get("x-page-id", ""), headers["warc-type"], headers.get("warc-refers-to-page")
-            digest, declared = headers["warc-payload-digest"].partition(":")[2], int(http["content-length"])
-            intact = kind == "revisit" or (declared == len(payload) and hashlib.sha1(payload).hexdigest() == digest)
-            rows.append((int(page) if page else None, declared, digest, kind, int(refers) if refers else None, headers["warc-record-id"].strip("<>"), headers["warc-target-uri"], intact))
+            declared = _number(headers.get("warc-payload-length") or http.get("content-length"))
+            digest = headers.get("warc-payload-digest", "").partition(":")[2] or hashlib.sha1(payload).hexdigest()
+            intact = kind == "revisit" or (declared in (None, len(payload)) and hashlib.sha1(payload).hexdigest() == digest)
+            page, refers = _number(http.get("x-page-id")), _number(headers.get("warc-refers-to-page"))
+            rows.append((page, len(payload) if declared is None else declared, digest, kind, refers, headers["warc-record-id"].strip("<>"), headers.get("warc-target-uri"), headers.get("warc-refers-to", "").strip("<>") or None, intact))
             if len(rows) >= 5000:
                 yield block()
                 rows = []
@@ -211,7 +249,8 @@ def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
     """Pages as ARC files of both versions, converted to WARC files, read back: one row a page.
 
     Null and empty payloads have no bytes and are responses; null URLs become about:blank; repeated rows
-    have a record each; an empty table gives an empty result.
+    have a record each, and of equal payloads all with the largest page id are responses; rows without an id revisit
+    that one; payloads of any length are taken whole (a record is held in memory); other columns are not looked at; an empty table gives an empty result.
     """
     spark = pages.sparkSession
     arc, warc = common.scratch(spark, "arc"), common.scratch(spark, "warc")
@@ -229,6 +268,6 @@ def op7_warc(spark, sf_dir: str) -> DataFrame:
 #: What the archives give back is plain SQL over the pages.
 ORACLE = f"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-k AS (SELECT *, payload_bytes >= {REVISIT_BYTES} AND page_id <> max(page_id) OVER (PARTITION BY payload_digest) AS again, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM p)
+k AS (SELECT *, payload_bytes >= {REVISIT_BYTES} AND page_id IS DISTINCT FROM max(page_id) OVER (PARTITION BY payload_digest) AS again, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN keeper END AS refers_to, true AS intact FROM k
 """

@@ -1,5 +1,7 @@
 """The stages of the pipeline, each on what the stage before kept."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -48,3 +50,14 @@ def test_empty(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_columns_that_clash(spark, sf_dir):
+    """Other columns, with names that stages use themselves, change nothing."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    names = ("id", "spans", "row_key", "class_id", "text_hash", "kept", "carried_text", "key", "bag1", "node", "n", "band", "start")
+    more = docs.select("*", *[F.lit("x").alias(c) for c in names])
+    for name, stage in corpus_pipeline.STAGES:
+        want, got = stage(spark, docs, sf_dir), stage(spark, more, sf_dir)
+        columns = [c for c in want.columns if c not in ("sequence_id", "offset")]
+        assert got.columns == want.columns and sorted(map(repr, got.select(columns).collect())) == sorted(map(repr, want.select(columns).collect())), name

@@ -233,6 +233,50 @@ def test_bagminhash_of_repeated_rows(spark):
     assert classes(find) == classes(got.get)
 
 
+def test_unrelated_texts_that_share_an_id(spark):
+    a, b = prose(60, 21), prose(60, 22)
+    rows = [(1, a), (1, b), (2, b + " more"), (3, prose(60, 23)), (1, a + " else")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = bagminhash.near_duplicates(docs).collect()
+    assert sorted((r.id, r.class_id) for r in got) == [(1, 1)] * 3 + [(2, 1), (3, 3)]
+    # classes are told apart where their ids are
+    moved = bagminhash.near_duplicates(docs.selectExpr("if(text = '" + b + "', 5, doc_id) as doc_id", "text")).collect()
+    assert sorted((r.id, r.class_id) for r in moved) == [(1, 1), (1, 1), (2, 2), (3, 3), (5, 2)]
+
+
+def plain_classes(rows):
+    """Class of every row by all pairs of exact weighted Jaccard similarity of five-word shingles."""
+    bags = [Counter(zip(*(WORD.findall(t or "")[k:] for k in range(5)))) if len(WORD.findall(t or "")) >= 5 else Counter([tuple(WORD.findall(t or ""))]) if WORD.findall(t or "") else Counter() for _, t in rows]
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    by, links = defaultdict(set), 0
+    for i, bag in enumerate(bags):
+        for s in bag:
+            by[s].add(i)
+    for i, bag in enumerate(bags):
+        for j in {j for s in bag for j in by[s] if j < i}:
+            shared = sum((bag & bags[j]).values())
+            if shared >= 0.8 * (sum(bag.values()) + sum(bags[j].values()) - shared) - 1e-9:
+                links += 1
+                label[max(root(i), root(j))] = min(root(i), root(j))
+    least = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        least[root(i)].append(d)
+    return sorted((d, min(least[root(i)])) for i, (d, _) in enumerate(rows)), links
+
+
+def test_near_duplicates_of_all_documents(spark):
+    """No link of the larger table is lost, and none is made."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want, links = plain_classes([tuple(r) for r in docs.collect()])
+    assert links > 50 and sorted((r.id, r.class_id) for r in bagminhash.near_duplicates(docs).collect()) == want
+
+
 def test_bagminhash_is_unbiased():
     weights = [{i: 1 + i % 4 for i in range(80)}, {i: 1 + (i % 4 if i < 60 else 0) for i in range(10, 90)}]
     row = np.repeat([0, 1], [len(w) for w in weights])
@@ -311,6 +355,38 @@ def test_archives(spark):
         assert (got[p].payload_bytes, got[p].payload_digest) == (len(html.encode()), hashlib.sha1(html.encode()).hexdigest())
     assert [(got[p].record_type, got[p].refers_to) for p in range(1, 7)] == [("revisit", 2), ("response", None), ("response", None), ("response", None), ("response", None), ("response", None)]
     assert warc.round_trip(pages.where("false")).count() == 0
+    assert got[1].refers_to_record == got[2].record_id and got[2].refers_to_record is None
+
+
+def test_archives_of_odd_rows(spark):
+    big = "<p>" + "x" * 1200
+    rows = [(7, "u", big), (7, "u", big), (None, "u", big), (3, "v", big), (None, "u", big + "y"), (None, "u", big + "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'clash' as body", "1 as keeper", "'x' as rid", "'x' as payload_digest")
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
+    assert got == [(0, "response", None), (0, "response", None), (0, "revisit", 7), (3, "revisit", 7), (7, "response", None), (7, "response", None)]
+
+
+def test_real_archives(spark, tmp_path):
+    """A member a record, and payloads that aren't UTF-8."""
+    import gzip
+
+    head = b"filedesc://a 0.0.0.0 20240101000000 text/plain 10\n1 0 folio\n\n"
+    pay = ["caf\xe9 \xff\x00".encode("latin-1"), b"", b"x" * 2000, b"x" * 2000]
+    body = [b"HTTP/1.1 200 OK\r\nX-Page-Id: %d\r\n\r\n%s" % (i, x) for i, x in enumerate(pay)]
+    records = [b"http://a/%d 1.2.3.4 20240102030405 text/html %d\n%s\n" % (i, len(x), x) for i, x in enumerate(body)]
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "a.arc.gz").write_bytes(b"".join(map(gzip.compress, [head, *records])) + b"\0" * 9)
+    (tmp_path / "arc" / "b.arc").write_bytes(head + b"http://a/b 1.2.3.4 20240102030405 text/html 3\nabc\n")
+    found = warc.read_arc(spark, str(tmp_path / "arc"))
+    assert {(r.page_id, bytes(r.body)) for r in found.collect()} == {*enumerate(body), (None, b"abc")}
+    warc.write_warc(warc.convert(found), str(tmp_path / "warc"))
+    back = warc.read_warc(spark, str(tmp_path / "warc")).collect()
+    assert len(back) == 5
+    assert {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.intact) for r in back} == {*((i, len(x), hashlib.sha1(x).hexdigest(), "revisit" if i == 2 else "response", True) for i, x in enumerate(pay) if i != 2), (2, 2000, hashlib.sha1(pay[2]).hexdigest(), "revisit", True), (None, 3, hashlib.sha1(b"abc").hexdigest(), "response", True)}
+    files = [gzip.decompress(p.read_bytes()) for p in (tmp_path / "warc").glob("*.gz")]
+    assert all(f.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and f.count(b"warcinfo") == 1 for f in files if f) and any(files)
+    with pytest.raises(ValueError):
+        warc.unpacked(gzip.compress(b"abc")[:-9])
 
 
 def test_archives_against_sql(spark, sf_dir):
