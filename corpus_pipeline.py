@@ -16,8 +16,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds row_key, a hash of all columns; ids may be null or repeated."""
-    return docs.withColumn("row_key", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in COLUMNS]))
+    """The columns of documents, and row_key, a hash of them all; ids may be null or repeated."""
+    return docs.select(COLUMNS).withColumn("row_key", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in COLUMNS]))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     ship_package(spark)
     docs = _keyed(docs)
     found = secret_scan.scan(docs, "row_key").where(F.size("spans") > 0).groupBy("id").agg(F.max("spans").alias("spans"))
-    met = docs.join(common.few(found, "found"), docs["row_key"] == F.col("id"), "left")
+    met = docs.join(common.few(found.withColumnRenamed("id", "row_key"), "found"), "row_key", "left")
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secret_scan.redact(F.col("text"), F.col("spans")))
     return met.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
