@@ -29,6 +29,8 @@ VOID = frozenset("area base basefont br col embed frame hr img input link meta p
 #: Their content is never text.
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 DROPPED = RAW | frozenset("head form button select option svg audio video canvas map".split())
+#: Of these the ones that stand within a line of text: they go with their content and neither divide a block nor weigh on it.
+SKIPPED = DROPPED - {"head", "form"}
 #: A start of these ends an open p.
 ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
@@ -38,7 +40,7 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 FENCES = frozenset("ul ol dl table menu html body".split())
 
 #: All other elements are inline: they stand within a block and do not divide it.
-BLOCKS = ENDS_P | DROPPED | frozenset("html body li dt dd tr td th thead tbody tfoot caption legend optgroup".split())
+BLOCKS = ENDS_P | {"head", "form"} | frozenset("html body li dt dd tr td th thead tbody tfoot caption legend optgroup".split())
 
 TAGS = "html body div section article main header footer nav aside p h1 h2 h3 h4 ul ol li table td blockquote pre figure".split()
 TAG_ID = {t: i for i, t in enumerate(TAGS)} | {"h5": TAGS.index("h4"), "h6": TAGS.index("h4"), "th": TAGS.index("td"), "dd": TAGS.index("li"), "dt": TAGS.index("li"), "dl": TAGS.index("ul"), "menu": TAGS.index("nav")}
@@ -124,6 +126,7 @@ class Page:
         buffer: list[str] = []
         linked, in_link = 0, False
         skip_to = at = 0
+        skipped, inside = "", {}  # the skipped element that is open, and how many of each name are open in it
 
         def flush():
             nonlocal linked
@@ -156,7 +159,7 @@ class Page:
         for start, end, closing, name, attributes in tags(source):
             if start < skip_to:
                 continue
-            if start > at:
+            if start > at and not skipped:
                 piece = source[at:start]
                 buffer.append(piece)
                 if in_link:
@@ -164,6 +167,27 @@ class Page:
             at = end
             if name is None:
                 continue
+            if skipped:
+                if not closing:
+                    if name in RAW:
+                        skip_to = at = self._behind(source, name, at)
+                    elif name not in VOID and not attributes.endswith("/"):
+                        inside[name] = inside.get(name, 0) + 1
+                    continue
+                if inside.get(name):
+                    inside[name] -= 1
+                    if name == skipped and not inside[name]:
+                        skipped = ""
+                    continue
+                if top(name) < 0:
+                    continue
+                skipped = ""  # it was not closed, and ends with what is around it
+            if name in SKIPPED:
+                if not closing and name in RAW:
+                    skip_to = at = self._behind(source, name, at)
+                elif not closing and not attributes.endswith("/"):
+                    skipped, inside = name, {name: 1}
+                continue
             if name == "br" or name in VOID and name != "hr":
                 if not buffer or buffer[-1] != " ":
                     buffer.append(" ")
@@ -204,15 +228,17 @@ class Page:
             self.flags.append(meaning)
             self.dropped.append(name in DROPPED or (up >= 0 and self.dropped[up]))
             self.label.append(label)
-            if name in RAW:
-                end = re.compile(f"</{name}\\s*>", re.I).search(source, at)
-                skip_to = at = end.end() if end else len(source)
-            else:
-                push(node, name)
-        if at < len(source):
+            push(node, name)
+        if at < len(source) and not skipped:
             buffer.append(source[at:])
         flush()
 
+    @staticmethod
+    def _behind(source: str, name: str, at: int) -> int:
+        """The place after the end tag of an element whose content is no markup."""
+        end = re.compile(f"</{name}\\s*>", re.I).search(source, at)
+        return end.end() if end else len(source)
+
 
 class Forest:
     """The elements of some pages as arrays, level by level."""
@@ -341,7 +367,11 @@ def labelled_pages(count: int = PAGES, seed: int = 7) -> list[str]:
     def block(short):
         if short:  # verse, dialogue, lists of names
             return f"<p>{words(1, 7)}</p>"
-        kind = rng.randrange(16)
+        kind = rng.randrange(18)
+        if kind == 16:  # where an article lists its sources or parts
+            return f"<p>{sentences(1, 3)}</p><{(t := some('ul', 'ul', 'ol'))}>{links(2, 7)}</{t}>"
+        if kind == 17:
+            return f"<p>{sentences(1, 2)} {some('<svg><path d=x /></svg>', '<button>go</button>', '<audio src=x></audio>')} {sentences(1, 2)}</p>"
         if kind < 9:
             return f"<p>{some('', '', '<b>')}{sentences(1, 7)}{some('</p>', '</p>', '<br>', '')}"
         if kind == 9:
@@ -424,8 +454,8 @@ def trained() -> TreeModel:
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", *, model: TreeModel | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """id, the carried columns, text and n_chars of every page.
 
-    Null and empty pages, and those without content, have the empty text; a page without tags is content. Repeated
-    rows stay; other columns are not looked at; an empty table gives an empty result.
+    Null and empty pages, and those without content, have the empty text; a page without tags is content. Pages of any length are
+    read whole; there are no ties, since each block is judged by itself. Repeated rows stay; other columns are not looked at; an empty table gives an empty result.
     """
     model = model or trained()
 

@@ -421,6 +421,43 @@ def test_html_tree(spark):
     assert got[2].text == got[3].text == ""
 
 
+def plain_article(page):
+    """What stands in the pages' article element, without white space."""
+    import html as entities
+
+    inner = re.search(r"<article[^>]*>(.*?)</article>", re.sub(r"(?s)<!--.*?-->|<(script|style|aside|form|nav)\b.*?</\1>", "", page), re.S)
+    return "".join(entities.unescape(re.sub(r"<[^>]+>", "", inner[1])).split())
+
+
+def test_html_tree_of_all_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = rows_of(html_tree.extract(pages))
+    wrong = [r.page_id for r in pages.collect() if "".join(got[r.page_id].text.split()) != plain_article(r.html)]
+    assert not wrong and len(got) == 250
+
+
+LINE = "A sentence of the article, which is long enough to be read. "
+
+
+@pytest.mark.parametrize("within", ["<svg><path d='x'/></svg>", "<svg viewBox=1 />", "<button>go <div>on</div></button>", "<select><option>a<option>b</select>", "<video src=x><p>no video</p></video>", "<script>var x = '<p>';</script>", "<canvas>no</canvas>", "<svg><title>t</title><svg></svg>no</svg>"])
+def test_html_elements_within_a_line(within):
+    """They go, and what is around them stays one block."""
+    page = f"<nav><ul><li><a href=/a>Home</a></li></ul></nav><article><p>{LINE}{within} end</p><p>{LINE}</p></article><footer>Copyright, all rights reserved</footer>"
+    assert html_tree.trained().texts([page]) == [[f"{LINE}end", LINE.strip()]]
+
+
+def test_html_elements_that_are_not_closed():
+    page = f"<article><p>{LINE}<button>go</p><p>{LINE}</p></article><p><svg>"
+    assert html_tree.trained().texts([page]) == [[LINE.strip(), LINE.strip()]]
+
+
+def test_html_links_of_an_article_stay():
+    links = "".join(f"<li><a href=/{i}>Part {i} of it</a></li>" for i in range(4))
+    page = f"<nav><ul>{links.replace('Part', 'Menu')}</ul></nav><article><h1>The title of it</h1><p>{LINE * 3}</p><ul>{links}</ul><p>{LINE * 2}</p></article><div class=related><ul>{links.replace('Part', 'More')}</ul></div>"
+    (got,) = html_tree.trained().texts([page])
+    assert [x for x in got if "Part" in x] == [f"Part {i} of it" for i in range(4)] and not [x for x in got if "Menu" in x or "More" in x]
+
+
 def test_html_tree_drops_nothing_else(spark):
     some = "A sentence of the article, which is long enough to be read. " * 6
     article = '<html><body><article style="overflow:hidden" title="the hidden garden" data-state=not-hidden><h1>Title</h1><p>{}</p></article></body></html>'
