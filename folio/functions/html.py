@@ -144,6 +144,14 @@ def html_blocks(pages: pd.Series) -> pd.Series:
     return pages.map(_blocks, na_action="ignore")
 
 
+class _Enough(Exception):
+    """The title is known; the rest of the page isn't read."""
+
+
+def _fits(title: str) -> bool:
+    return 0 < len(title) < 200
+
+
 class _Titles(HTMLParser):
     WANTED = ("h1", "h2", "h3", "title")
 
@@ -158,6 +166,8 @@ class _Titles(HTMLParser):
     def handle_endtag(self, tag):
         if tag == self.within:
             self.within = None
+            if tag == "h1" and _fits(self.found[tag]):
+                raise _Enough
 
     def handle_data(self, data):
         if self.within:
@@ -166,11 +176,14 @@ class _Titles(HTMLParser):
 
 def page_title(html: str) -> str | None:
     reader = _Titles()
-    reader.feed(html)
-    reader.close()
+    try:
+        reader.feed(html)
+        reader.close()
+    except _Enough:
+        pass
     for tag in _Titles.WANTED:
         title = reader.found.get(tag, "")
-        if 0 < len(title) < 200 and not (tag == "title" and title.lower() == "untitled"):
+        if _fits(title) and not (tag == "title" and title.lower() == "untitled"):
             return title
     return None
 

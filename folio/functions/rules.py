@@ -16,44 +16,44 @@ CHARACTERS = {
     "\u00b9": "", "\u00b2": "", "\u00b3": "", "\u2070": "", "\u2074": "", "\u2075": "", "\u2076": "", "\u2077": "", "\u2078": "", "\u2079": "",
 }
 
-# Markup left in texts, pattern and replacement, in the order of application.
+# Markup left in texts: pattern, replacement, and what a text must hold for it ("": anything), in the order of application.
 RESIDUE = (
-    (r"(?m)^#{1,6}\s*", ""),
-    (r"(?<!\w)#+(?!\w)", ""),
-    (r"\*{1,3}(\S)", "$1"),
-    (r"(\S)\*{1,3}", "$1"),
-    (r"_{2,}", ""),
-    (r"~{2,}", ""),
-    (r"`+", ""),
-    (r"\|", " "),
-    (r"\\(?![nrt])", ""),
-    (r"<[^>]+>", ""),
-    (r"&\w+;", ""),
-    (r"&#\d+;", ""),
+    (r"(?m)^#{1,6}\s*", "", "#"),
+    (r"(?<!\w)#+(?!\w)", "", "#"),
+    (r"\*{1,3}(\S)", "$1", "*"),
+    (r"(\S)\*{1,3}", "$1", "*"),
+    (r"_{2,}", "", "__"),
+    (r"~{2,}", "", "~~"),
+    (r"`+", "", "`"),
+    (r"\|", " ", "|"),
+    (r"\\(?![nrt])", "", "\\"),
+    (r"<[^>]+>", "", "<"),
+    (r"&\w+;", "", "&"),
+    (r"&#\d+;", "", "&#"),
 )
 
-# Noise in lines, in the order of application. A line that one of them matches at
-# its start goes as a whole (where the replacement is empty) or becomes the replacement.
+# Noise in lines: pattern, replacement, and a pattern of what a line must hold for it, in the order of
+# application. A line that one of them matches at its start goes as a whole (where the replacement is empty) or becomes the replacement.
 NOISE = (
-    (r"\[\d+\]", ""),
-    (r"\{\d+\}", ""),
-    (r"\[[a-z]\]", ""),
-    (r"[\u00b9\u00b2\u00b3\u2070-\u2079]+", ""),
-    (r"[\u2020\u2021]", ""),
-    (r"[\u00a7\u00b6]", ""),
-    (r"^\s*#{1,6}\s+", ""),
-    (r"#{2,}", ""),
-    (r"https?://\S+", ""),
-    (r"\S+@\S+\.\S+", ""),
-    (r"ISBN[\s:-]*[\d-]{10,}", ""),
-    (r"doi[\s:]*10\.\S+", ""),
-    (r"\bp+\.\s*\d[\d\s,\-–—]+", ""),
-    (r"\([Vv]edi\s+[^)]*\)", ""),
-    (r"\([Ss]ee\s+[^)]*\)", ""),
-    (r"\([Cc]fr\.?\s+[^)]*\)", ""),
-    (r"\[\s*\]", ""),
-    (r"\|", " "),
-    (r"\\(?!\w)", ""),
+    (r"\[\d+\]", "", r"\["),
+    (r"\{\d+\}", "", r"\{"),
+    (r"\[[a-z]\]", "", r"\["),
+    (r"[\u00b9\u00b2\u00b3\u2070-\u2079]+", "", r"[\u00b9\u00b2\u00b3\u2070-\u2079]"),
+    (r"[\u2020\u2021]", "", r"[\u2020\u2021]"),
+    (r"[\u00a7\u00b6]", "", r"[\u00a7\u00b6]"),
+    (r"^\s*#{1,6}\s+", "", "#"),
+    (r"#{2,}", "", "##"),
+    (r"https?://\S+", "", "https?:"),
+    (r"\S+@\S+\.\S+", "", "@"),
+    (r"ISBN[\s:-]*[\d-]{10,}", "", "ISBN"),
+    (r"doi[\s:]*10\.\S+", "", "doi"),
+    (r"\bp+\.\s*\d[\d\s,\-–—]+", "", r"p\."),
+    (r"\([Vv]edi\s+[^)]*\)", "", r"\("),
+    (r"\([Ss]ee\s+[^)]*\)", "", r"\("),
+    (r"\([Cc]fr\.?\s+[^)]*\)", "", r"\("),
+    (r"\[\s*\]", "", r"\["),
+    (r"\|", " ", r"\|"),
+    (r"\\(?!\w)", "", r"\\"),
 )
 
 # Abbreviations and what is read for them.
@@ -72,21 +72,27 @@ ABBREVIATIONS = {
     "Dr.": "Doctor", "Mr.": "Mister", "Mrs.": "Missis", "St.": "Saint", "Jr.": "Junior", "Sr.": "Senior",
 }
 
-# Parts of titles of sections that are no content (longer phrases that hold one of
-# these are covered by it).
+# Parts of titles of sections that are no content.
 SKIPPED_TITLES = (
-    "indice", "sommario", "contents", "toc", "table des matières", "sommaire", "índice", "inhalt",
-    "copyright", "colophon", "informazioni legali", "avviso legale", "legal notice", "all rights reserved", "mentions légales", "aviso legal", "impressum",
+    "indice", "indice generale", "indice dei contenuti", "indice analitico", "sommario", "table of contents", "contents", "toc",
+    "table des matières", "sommaire", "índice", "índice general", "inhaltsverzeichnis", "inhalt",
+    "copyright", "colophon", "note legali", "informazioni legali", "avviso legale", "legal notice", "all rights reserved",
+    "copyright notice", "mentions légales", "aviso legal", "impressum",
     "frontespizio", "title page", "cover", "copertina", "half title", "halftitle", "page de titre",
-    "dedica", "dédicace", "epigrafe", "epigraph", "épigraphe",
-    "bibliografia", "bibliography", "bibliographie", "bibliografía", "riferimenti", "references", "opere citate", "works cited", "fonti", "sources",
-    "letture consigliate", "further reading", "suggested reading", "per approfondire", "lectures complémentaires",
-    "note", "anmerkungen", "glossaire", "glosario", "glossar", "index",
+    "dedica", "dedication", "dédicace", "dedicatoria", "epigrafe", "epigraph", "épigraphe",
+    "bibliografia", "bibliography", "bibliographie", "bibliografía", "riferimenti bibliografici", "riferimenti", "references",
+    "opere citate", "works cited", "fonti", "sources", "letture consigliate", "further reading", "suggested reading",
+    "per approfondire", "lectures complémentaires",
+    "note", "notes", "note al testo", "note a piè di pagina", "note finali", "endnotes", "footnotes", "anmerkungen",
+    "note dell'autore", "note del traduttore", "note del curatore", "note bibliografiche", "note critiche",
+    "glossario", "glossary", "glossaire", "glosario", "glossar",
+    "indice analitico", "indice dei nomi", "indice dei luoghi", "indice delle opere", "indice tematico",
+    "index", "name index", "subject index", "word index",
     "appendice", "appendix", "annexe", "apéndice", "anhang",
-    "about the author", "l'autore", "l'autrice", "biography", "biografia", "biographie", "about the translator", "nota del traduttore",
-    "dello stesso autore", "also by", "du même auteur", "altre opere", "other books",
+    "about the author", "sull'autore", "l'autore", "l'autrice", "biography", "biografia", "biographie",
+    "about the translator", "nota del traduttore", "dello stesso autore", "also by", "du même auteur", "altre opere", "other books",
     "ringraziamenti", "acknowledgements", "acknowledgments", "remerciements", "agradecimientos", "danksagung",
-    "errata", "credits", "crediti",
+    "errata", "errata corrige", "credits", "crediti", "photo credits", "image credits", "illustration credits",
 )
 
 # Signals of a colophon; two of them in the first 500 characters reject a text.
@@ -109,13 +115,20 @@ DROPPED_TAGS = (
 )
 BLOCK_TAGS = ("p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "section", "article", "br", "hr")
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-# Parts of classes and ids of elements that go (longer names that hold one of these are covered by it).
+# Parts of classes and ids of elements that go.
 DROPPED_CLASSES = (
-    "footnote", "endnote", "note", "fn", "pagenum", "page-number", "pageno", "page-break", "running-head",
-    "toc", "contents", "index", "bibliography", "references", "biblio", "bib-entry", "citation", "works-cited", "further-reading",
-    "ref-list", "reference-list", "sources", "sidebar", "pullquote", "infobox", "textbox", "tip", "warning",
-    "copyright", "colophon", "imprint", "legal", "glossary", "pub-info", "book-info",
+    "footnote", "footnotes", "endnote", "endnotes", "note", "notes", "noteref", "noterefs", "fn", "fnref",
+    "pagenum", "page-number", "pageno", "page-break", "running-head",
+    "toc", "table-of-contents", "contents", "calibre_toc", "toc-entry", "toc-item", "toc-link", "toc-list",
+    "index", "index-entry", "index-item", "index-group", "book-index", "subject-index", "name-index",
+    "bibliography", "references", "biblio", "bib-entry", "citation", "citations", "works-cited", "further-reading",
+    "ref-list", "reference-list", "sources",
+    "sidebar", "pullquote", "infobox", "textbox", "tip", "warning",
+    "copyright", "colophon", "imprint", "legal",
+    "glossary", "glossary-entry", "glossary-term", "glossary-def",
+    "appendix-notes", "editorial-note", "editors-note", "translator-note", "pub-info", "book-info",
 )
+
 # Roles, epub:type values and link targets of elements that go.
 DROPPED_ROLES = ("navigation", "complementary", "contentinfo", "note", "directory", "doc-bibliography", "doc-endnotes", "doc-glossary", "doc-index", "doc-toc")
 DROPPED_TYPES = (
@@ -144,6 +157,12 @@ LANGUAGE_PRIORITY = {"it": 0, "en": 1, "fr": 2, "de": 3, "es": 4, "pt": 5}
 SITE_LANGUAGES = {"it": "it", "en": "en", "fr": "fr", "es": "es", "de": "de", "zh": "zh-Hans"}
 COVER_NAMES = ("cover.jpg", "cover.jpeg", "cover.png", "cover-image.jpg", "cover-image.png")
 
+# White space, in the order of application; punctuation; signs that file names and spoken text cannot hold.
+SPACING = ((r"\t[ \t]*| [ \t]+", " "), (r" *\n *", "\n"), (r"\n{4,}", "\n\n\n"), (r"\n(?:[^\S\n]*\n){2}\s*", "\n\n"))
+PUNCTUATION = ((r"\s+([.,;:!?])", "$1"), (r"([.,;:!?]){3,}", "$1$1"), ('"{2,}', '"'))
+RESERVED = r'[<>:"/\\|?*]'
+UNSPOKEN = ((r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\u200b-\u200f\u2028-\u202f\ufeff\ufffe\uffff]", ""), (r"\n{3,}", "\n\n"), (r" {3,}", " "))
+
 # Chapter words before Roman numerals, numbered headings, ends of sentences in previews,
 # addresses, languages of a request with their weights.
 NUMERAL = r"(Capitolo|Chapter|Cap\.?|Parte|Part)\s+([MDCLXVI]+)"

@@ -103,12 +103,17 @@ def feed(items: DataFrame, books: DataFrame) -> DataFrame:
     return met.select("book_id", F.concat(F.lit(head), e("title"), F.lit("</title><itunes:author>"), e("author"), F.lit("</itunes:author>"), F.array_join(F.transform("xml", lambda x: x["xml"]), ""), F.lit("</channel></rss>")).alias("rss"))
 
 
-def site_map(spark: SparkSession, base_url: str) -> DataFrame:
-    """(place, loc, priority, hreflang, href): each page of the site with its alternates."""
-    langs = list(rules.SITE_LANGUAGES.items())
-    pages = spark.createDataFrame([(0, f"{base_url}/", 1.0), *[(i, f"{base_url}/{c}/", 0.9) for i, (c, _) in enumerate(langs, 1)]], "place int, loc string, priority double")
-    other = spark.createDataFrame([*[(t, f"{base_url}/{c}/") for c, t in langs], ("x-default", f"{base_url}/")], "hreflang string, href string")
-    return pages.crossJoin(F.broadcast(other))  # 7 by 7 rows, whatever the data
+def site_map(spark: SparkSession, base_url: str, languages: DataFrame | None = None) -> DataFrame:
+    """(place, loc, priority, hreflang, href): each page of the site, which has a root and one for each language (code; by default
+    those of the rules), with its alternates."""
+    if languages is None:
+        languages = spark.createDataFrame([(c,) for c in rules.SITE_LANGUAGES], "code string")
+    tag = F.coalesce(F.element_at(_map(rules.SITE_LANGUAGES), F.col("code")), F.col("code"))
+    listed = languages.select("code", tag.alias("hreflang"), F.row_number().over(Window.orderBy("code")).alias("place"), F.concat(F.lit(f"{base_url}/"), "code", F.lit("/")).alias("href"))  # as many rows as languages
+    root = spark.createDataFrame([(0, f"{base_url}/", 1.0)], "place int, loc string, priority double")
+    pages = root.union(listed.select("place", F.col("href").alias("loc"), F.lit(0.9)))
+    other = listed.select("hreflang", "href").union(spark.createDataFrame([("x-default", f"{base_url}/")], "hreflang string, href string"))
+    return pages.crossJoin(F.broadcast(other))  # languages by languages, whatever the data
 
 
 def robots(base_url: str = "") -> str:

@@ -22,11 +22,11 @@ def plain_clean(t):
     t = unicodedata.normalize("NFC", t)
     for old, new in rules.CHARACTERS.items():
         t = t.replace(old, new)
-    for pattern, to in rules.RESIDUE:
+    for pattern, to, _ in rules.RESIDUE:
         t = re.sub(pattern, to.replace("$1", r"\1"), t)
     kept = []
     for line in t.split("\n"):
-        for pattern, to in rules.NOISE:
+        for pattern, to, _ in rules.NOISE:
             if re.match(pattern, line):
                 line = to or None
                 break
@@ -36,7 +36,7 @@ def plain_clean(t):
     t = "\n".join(kept)
     for short in sorted(rules.ABBREVIATIONS, key=lambda s: -len(s)):
         t = re.sub(rf"(?<!\w){re.escape(short)}(?!\w)", rules.ABBREVIATIONS[short], t, flags=re.I)
-    t = re.sub(r"(Capitolo|Chapter|Cap\.?|Parte|Part)\s+([MDCLXVI]+)", r"\2 \1", t, flags=re.I)
+    t = re.sub(rules.NUMERAL, r"\2 \1", t, flags=re.I)
     for pattern, to in ((r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{4,}", "\n\n\n"), (r"(\n\s*){3,}", "\n\n"), (r"\s+([.,;:!?])", r"\1"), (r"([.,;:!?]){3,}", r"\1\1"), (r'"{2,}', '"')):
         t = re.sub(pattern, to, t)
     t = "\n".join(x for x in t.split("\n") if not (x.strip() and len(x.strip()) < 3 and x.strip()[-1] not in ".!?:")).strip()
@@ -52,6 +52,20 @@ def test_clean_text(spark):
     assert apply(spark, [*CASES, None], text.clean_text) == [*map(plain_clean, CASES), None]
 
 
+def test_rules_hold_what_they_say():
+    """A text that a rule changes holds the rule's sign."""
+    for t in [*CASES, *(line for c in CASES for line in c.split("\n"))]:
+        for pattern, to, sign in rules.RESIDUE:
+            assert sign in t or not re.search(pattern, t), (pattern, t)
+        for pattern, _, sign in rules.NOISE:
+            assert re.search(sign, t) or not re.search(pattern, t), (pattern, t)
+
+
+def test_other_tables(spark):
+    assert apply(spark, ["a %% b", "no sign"], lambda c: text.strip_residue(c, [("%+", "percent", "%")])) == ["a percent b", "no sign"]
+    assert apply(spark, ["x\nTODO this\ny TODO z"], lambda c: text.drop_noise(c, [("TODO", "", "TODO")])) == ["x\ny  z"]
+
+
 def test_clean_documents(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", text.clean_text(F.col("text")).alias("c")).limit(60).collect()
     assert all(r.c == plain_clean(r.text) for r in rows if r.text is not None)
