@@ -373,6 +373,27 @@ def html_text(spark, sf_dir):
     return out.select("page_id", F.md5("text").alias("digest"), text.char_count(F.col("text")).alias("chars"))
 
 
+def _page_lines_sql():
+    """Lines of the pages' readable text. The pages hold no notes, lists outside navigation or tables; blocks are divided by tags."""
+    c = "html"
+    for pattern in ("<!--.*?-->", *(f"<{tag}\\b.*?</{tag}\\s*>" for tag in ("head", *rules.DROPPED_TAGS[:6]))):
+        c = f"regexp_replace({c}, '{pattern}', '', 'gs')"
+    c = f"regexp_replace({c}, '</?({'|'.join(rules.BLOCK_TAGS)})(\\s[^>]*)?/?>', chr(10), 'gi')"
+    c = f"regexp_replace({c}, '<[^>]*>', '', 'g')"
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("#39", "''"), ("amp", "&")):
+        c = f"replace({c}, '&{name};', '{sign}')"
+    return f"list_filter(list_transform(string_split({c}, chr(10)), lambda l: {_strip('l')}), lambda l: l <> '')"
+
+
+@query(f"WITH t AS (SELECT page_id, {_page_lines_sql()} AS lines FROM pages) SELECT page_id, len(lines) AS lines, md5(array_to_string(lines, chr(10))) AS digest FROM t")
+def html_lines(spark, sf_dir):
+    """Lines of the pages' readable text."""
+    pages = spread(_table(spark, sf_dir, "pages", "page_id", "html"))
+    bare = pages.select("page_id", html.html_to_text(F.col("html")).alias("text"))
+    lines = bare.select("page_id", F.filter(F.transform(F.split("text", "\n"), text.strip), lambda line: line != "").alias("lines"))
+    return lines.select("page_id", F.size("lines").cast("long").alias("lines"), F.md5(F.array_join("lines", "\n")).alias("digest"))
+
+
 @query(f"SELECT page_id, {_H1} AS title FROM pages")
 def html_titles(spark, sf_dir):
     return _table(spark, sf_dir, "pages", "page_id", "html").select("page_id", html.html_title("html").alias("title"))
