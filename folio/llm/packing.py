@@ -58,6 +58,9 @@ class WordIds:
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        lone = {t: i for t, i in vocabulary.items() if len(t.removesuffix("</w>")) == 1}
+        self.is_byte = np.zeros(len(self.ends), bool)  # the vocabulary writes bytes beyond ASCII as characters beyond it
+        self.is_byte[[i for t, i in lone.items() if ord(t[0]) > 126]] = True
         self.fresh()
 
     def fresh(self) -> None:

@@ -1,8 +1,10 @@
-"""Quality rules: word counts, repetition, and the fertility of a public vocabulary.
+"""Quality rules: word counts, repetition, and the fertility of two public vocabularies.
 
-Fertility: code points per token, share of byte-fallback tokens and entropy of the tokens
-(bits, over the logarithm of their number). Each language (rows without one: each script)
-has its own rejection band, set around the median of all its documents.
+Fertility, of a piece vocabulary and of one of lower-case words: code points per token, share of
+byte-fallback tokens (of the word vocabulary: of tokens that are a lone byte of a character) and
+entropy of the tokens (bits, over the logarithm of their number). Each language (rows without one:
+each script) has its own rejection bands, one for each doubling of the length, set by the quartiles
+of all its different documents.
 """
 
 from __future__ import annotations
@@ -12,22 +14,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm import common, pieces
+from folio.llm import common, packing, pieces
 
-#: A document fails its band below low x median or above high x median of code points per token,
-BAND_LOW, BAND_HIGH = 0.75, 1.7
-#: with more byte-fallback tokens than the median and this share,
-BAND_BYTES = 0.2
-#: or with entropy so far below the median. Documents of fewer tokens have bands of their own.
-BAND_ENTROPY, SHORT_TOKENS = 0.22, 48
-#: Medians are exact on a grid of this step.
+#: A band reaches so many times the distance of the quartiles beyond them ("far out" in a box plot),
+SPREAD = 3
+#: and at least this share of the median for code points per token, and this much for shares and entropies.
+LEAST_RATIO, LEAST_SHARE, LEAST_ENTROPY = 0.05, 0.02, 0.05
+#: Quartiles are exact on a grid of this step.
 GRID = 0.001
 #: Bands that may be broadcast: a few for each language or script.
 MOST_BANDS = 100_000
+#: What bands are set for: the least reach beyond the quartiles, whether low and whether high values fail.
+MEASURES = {
+    "chars_per_token": (f"{LEAST_RATIO} * mid_chars_per_token", True, True),
+    "byte_share": (f"{LEAST_SHARE}", False, True),
+    "entropy": (f"{LEAST_ENTROPY}", True, False),
+    "word_chars_per_token": (f"{LEAST_RATIO} * mid_word_chars_per_token", True, True),
+    "word_byte_share": (f"{LEAST_SHARE}", False, True),
+    "word_entropy": (f"{LEAST_ENTROPY}", True, False),
+}
 
 SCHEMA = (
     "id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
-    " n_tokens long, chars_per_token double, byte_share double, entropy double, script string"
+    " n_tokens long, chars_per_token double, byte_share double, entropy double, n_word_tokens long, word_chars_per_token double,"
+    " word_byte_share double, word_entropy double, script string"
 )
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -55,13 +65,29 @@ def repeated_words(word: np.ndarray, row: np.ndarray, rows: int, width: int = 8)
     return np.bincount(row[covered], minlength=rows)
 
 
-def _measure(model: str):
+def fertility(ids: np.ndarray, tokens: np.ndarray, chars: np.ndarray, fallback: np.ndarray) -> list[np.ndarray]:
+    """Tokens, code points per token, share of fallback tokens and entropy of each row. ids: those of all rows end to
+    end; tokens, chars: numbers of each row; fallback: whether an id is a byte's."""
+    n, size = len(tokens), len(fallback)
+    of = np.repeat(np.arange(n), tokens)
+    lone = np.bincount(of[fallback[ids]], minlength=n)
+    key = np.sort(of * size + ids)
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(edge, len(key))).astype(float)
+    info = np.bincount(key[edge] // size, weights=count * np.log2(np.maximum(count, 1)), minlength=n)
+    total = np.maximum(tokens, 1)
+    entropy = np.where(tokens > 1, (np.log2(total) - info / total) / np.maximum(np.log2(np.maximum(tokens, 2)), 1e-9), 0.0)
+    return [tokens, np.where(tokens > 0, chars / total, 0.0), np.where(tokens > 0, lone / total, 0.0), entropy]
+
+
+def _measure(model: str, words: str):
     """Measures of (id, lang, text); further columns stay as they are."""
 
     @common.frugal
     def run(batches):
-        vocabulary = pieces.load(model)
+        vocabulary, second = pieces.load(model), packing.word_ids(words)
         vocabulary.fresh()
+        second.fresh()
         for whole in batches:
             for batch in common.pieces(whole, "text"):
                 texts = [t or "" for t in batch.column(2).to_pylist()]
@@ -73,15 +99,10 @@ def _measure(model: str):
                 word = common.span_hash(common.prefix_hash(data), start, end)
                 lines = [[x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")] if "\n" in t else () for t in texts]
                 ids, at = vocabulary.encode(batch.column(2), own=False)
-                ids, tokens = ids.astype(np.int64), np.diff(at)
-                of = np.repeat(np.arange(n), tokens)
-                fallback = np.bincount(of[vocabulary.is_byte[ids]], minlength=n)
-                key = np.sort(of * vocabulary.size + ids)
-                edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-                count = np.diff(np.append(edge, len(key))).astype(float)
-                info = np.bincount(key[edge] // vocabulary.size, weights=count * np.log2(np.maximum(count, 1)), minlength=n)
-                total = np.maximum(tokens, 1)
-                entropy = np.where(tokens > 1, (np.log2(total) - info / total) / np.maximum(np.log2(np.maximum(tokens, 2)), 1e-9), 0.0)
+                measures = fertility(ids.astype(np.int64), np.diff(at), chars, vocabulary.is_byte)
+                raw = second(batch.column(2))
+                ids = np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
+                measures += fertility(ids, np.fromiter((len(x) // 4 for x in raw), np.int64, n), chars, second.is_byte)
                 leads = [(name, common.per_row((data >= r.start) & (data < r.stop), offsets)) for name, r in _SCRIPTS] if n else []
                 best = np.argmax([c for _, c in leads], axis=0) if n else []
                 script = [leads[b][0] if leads[b][1][i] else "none" for i, b in enumerate(best)]
@@ -93,57 +114,60 @@ def _measure(model: str):
                         pa.array(common.per_row(_SYMBOL[data], offsets), pa.int64()),
                         pa.array([len(x) - len(set(x)) for x in lines], pa.int64()),
                         pa.array(repeated_words(word, row, n), pa.int64()),
-                        pa.array(tokens, pa.int64()),
-                        pa.array(np.where(tokens > 0, chars / total, 0.0), pa.float64()),
-                        pa.array(np.where(tokens > 0, fallback / total, 0.0), pa.float64()),
-                        pa.array(entropy, pa.float64()),
+                        *[pa.array(m, pa.int64() if m.dtype.kind == "i" else pa.float64()) for m in measures],
                         pa.array(script, pa.string()),
                         *batch.columns[3:],
                     ],
                     names=[*(x.strip().split(" ")[0] for x in SCHEMA.split(",")), *batch.schema.names[3:]],
                 )
         vocabulary.fresh()
+        second.fresh()
 
     return run
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, model: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def quality_rules(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, model: str | None = None, words: str | None = None, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per input row: its measures, base_failed, its band, kept, and the carried columns (as carried_<name>).
 
-    base_failed: fewer than 20 words, or over 30 % of the words in 8-word windows that are
-    found twice or more. kept: not base_failed, and inside the band of its language (null
-    language: of its script), short documents apart. Bands come from the medians over all documents of the group.
-    Null and empty texts have no words and fail. Repeated rows are judged one by one; other
-    columns are not looked at; an empty table gives an empty result.
+    model and words: paths of the piece vocabulary and of the word vocabulary. base_failed: fewer than 20 words,
+    or over 30 % of the words in 8-word windows that are found twice or more. kept: not base_failed, and inside the
+    bands of its language (null language: of its script) and of its length (a band for each power of two of tokens)
+    in all measures of both vocabularies. Bands come from the quartiles over all documents of the group, those of
+    equal measures once, so that copies don't narrow them; ties at a band's edge are inside.
+    Null and empty texts have no words and fail. Texts of any length are measured whole. Repeated rows are judged
+    one by one; other columns are not looked at; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), *[F.col(c).alias(f"carried_{c}") for c in carry])
     schema = SCHEMA + "".join(f", carried_{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
-    seen = common.cut(rows.mapInArrow(_measure(model or pieces.default_path()), schema), "fertility")
-    short = F.when(F.col("n_tokens") < SHORT_TOKENS, F.lit(":short")).otherwise(F.lit(""))
-    seen = seen.withColumn("band", F.concat(F.coalesce("lang", F.concat(F.lit("script:"), "script")), short))
-    judged = seen.join(common.few(medians(seen, "band", MEASURES), "bands", MOST_BANDS), "band", "left")
+    seen = common.cut(rows.mapInArrow(_measure(model or pieces.default_path(), words or packing.default_path()), schema), "fertility")
+    length = F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("string")
+    seen = seen.withColumn("band", F.concat(F.coalesce("lang", F.concat(F.lit("script:"), "script")), F.lit(":"), length))
+    judged = seen.join(common.few(quartiles(seen, "band", tuple(MEASURES)), "bands", MOST_BANDS), "band", "left")
     failed = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
-    inside = (
-        f"n_tokens = 0 or mid_entropy is null or (chars_per_token between {BAND_LOW} * mid_chars_per_token and {BAND_HIGH} * mid_chars_per_token"
-        f" and byte_share <= mid_byte_share + {BAND_BYTES} and entropy >= mid_entropy - {BAND_ENTROPY})"
-    )
-    return judged.selectExpr("*", f"({failed}) as base_failed", f"not ({failed}) and ({inside}) as kept")
-
-
-MEASURES = ("chars_per_token", "byte_share", "entropy")
-
-
-def medians(seen: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
-    """key and mid_<column>: lower medians of columns over each key, exact on the grid, from counts of the grid's
-    steps, so that they do not depend on how rows are dealt."""
+    outside = []
+    for c, (least, low, high) in MEASURES.items():
+        reach = f"greatest({SPREAD} * (high_{c} - low_{c}), {least})"
+        outside += [f"{c} < low_{c} - {reach}"] * low + [f"{c} > high_{c} + {reach}"] * high
+    return judged.selectExpr("*", f"({failed}) as base_failed", f"not ({failed}) and (n_tokens = 0 or not ({' or '.join(outside)})) as kept")
+
+
+def quartiles(seen: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """key and low_, mid_ and high_<column>: the lower quartile, median and upper quartile of columns over each key, of
+    rows of equal columns one; exact on the grid, from counts of the grid's steps, so that they do not depend on how rows
+    are dealt."""
+    different = seen.where("n_tokens > 0").select(key, "n_tokens", *columns).distinct()
     steps = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.round(F.col(c) / GRID).cast("long").alias("step")) for c in columns]))
-    counts = seen.where("n_tokens > 0").select(key, steps.alias("x")).groupBy(key, "x.column", "x.step").agg(F.count("*").alias("n"))
+    counts = different.select(key, steps.alias("x")).groupBy(key, "x.column", "x.step").agg(F.count("*").alias("n"))
     line = Window.partitionBy(key, "column")
     run = counts.select(key, "column", "step", F.sum("n").over(line.orderBy("step")).alias("upto"), F.sum("n").over(line).alias("all"))
-    middle = run.where("2 * upto >= all").groupBy(key, "column").agg(F.min("step").alias("step"))
-    return middle.groupBy(key).agg(*[F.max(F.when(F.col("column") == c, F.col("step") * GRID)).alias(f"mid_{c}") for c in columns])
+    at = {"low": F.expr("4 * upto >= all"), "mid": F.expr("2 * upto >= all"), "high": F.expr("4 * upto >= 3 * all")}
+    found = run.groupBy(key, "column").agg(*[F.min(F.when(reached, F.col("step"))).alias(q) for q, reached in at.items()])
+    return found.groupBy(key).agg(*[F.max(F.when(F.col("column") == c, F.col(q) * GRID)).alias(f"{q}_{c}") for c in columns for q in at])
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Counts, measures of both vocabularies and verdicts of all documents."""
     out = quality_rules(common.read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
-    return out.selectExpr("id as doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "entropy", "band")
+    return out.selectExpr("id as doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "n_word_tokens", *MEASURES, "band")

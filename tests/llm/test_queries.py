@@ -59,6 +59,56 @@ def test_quality_rules(docs, empty):
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def plain_fertility(ids, lone, chars):
+    n = len(ids)
+    bits = sum(-c / n * np.log2(c / n) for c in Counter(ids).values()) if n else 0.0
+    return [chars / n if n else 0.0, sum(i in lone for i in ids) / n if n else 0.0, bits / np.log2(n) if n > 1 else 0.0]
+
+
+def test_fertility_bands(spark, docs):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    piece, word = sentencepiece.SentencePieceProcessor(model_file=pieces.default_path()), Tokenizer.from_file(packing.default_path())
+    lone_piece = {i for i in range(piece.get_piece_size()) if piece.is_byte(i)}
+    lone_word = {i for t, i in word.get_vocab().items() if len(t.replace("</w>", "")) == 1 and ord(t[0]) > 126}
+    odd = " ".join(f"{w}$$$ | #{i}" for i, w in enumerate(VOCABULARY * 4))
+    more = [(100 + i, prose(100 + i % 9, 50 + i), "en") for i in range(24)] + [(200, odd, "en"), (201, odd, None)]
+    table = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(more, "doc_id long, text string, lang string")).collect()
+    copies = [(300 + i, more[0][1], "en") for i in range(100)]  # a band is as wide as without them
+    result = quality_rules.quality_rules(spark.createDataFrame([tuple(r) for r in table] + copies, "doc_id long, text string, lang string").repartition(3))
+    got = rows_of(result)
+    names, bands, plain = list(quality_rules.MEASURES), defaultdict(set), {}
+    for d, t, lang in [tuple(r) for r in table] + copies:
+        ids, words = piece.encode(t or ""), word.encode(t or "", add_special_tokens=False).ids
+        plain[d] = plain_fertility(ids, lone_piece, len(t or "")) + plain_fertility(words, lone_word, len(t or ""))
+        assert (got[d].n_tokens, got[d].n_word_tokens) == (len(ids), len(words))
+        assert np.allclose([got[d][c] for c in names], plain[d])
+        assert got[d].band == f"{lang or 'script:' + got[d].script}:{max(len(ids), 1).bit_length() - 1}"
+        if ids:
+            bands[got[d].band].add((len(ids), *(got[d][c] for c in names)))
+    for d, r in got.items():
+        inside = True
+        for j, c in enumerate(names):
+            steps = sorted(round(x[j + 1] * 1000) for x in bands[r.band])
+            if not steps:
+                continue
+            low, mid, high = (steps[-(-len(steps) * q // 4) - 1] / 1000 for q in (1, 2, 3))
+            least = {"ratio": 0.05 * mid, "token": 0.05 * mid, "share": 0.02, "entropy": 0.05}[c.split("_")[-1]]
+            reach = max(3 * (high - low), least)
+            assert np.allclose([r[f"low_{c}"], r[f"mid_{c}"], r[f"high_{c}"]], [low, mid, high])
+            inside &= not (plain[d][j] < low - reach - 1e-9 and "byte" not in c or plain[d][j] > high + reach + 1e-9 and "entropy" not in c)
+        assert r.kept == (inside and not r.base_failed), d
+    assert not got[200].kept and not got[200].base_failed and got[100].kept and got[201].kept
+
+
+def test_fertility_bands_against_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    judged = quality_rules.op1_quality_rules(spark, folder).where("not base_failed").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
+    kept = {(r.quality, r.kept): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
+    assert kept[0, False] >= kept.get((0, True), 0) and kept.get((1, False), 0) <= 0.01 * kept[1, True]
+
+
 def secrets(t):
     assign = re.compile(secret_scan.BASE[0].pattern, re.A)
     found = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]
