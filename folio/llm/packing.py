@@ -48,12 +48,18 @@ CHUNK = 2 << 20
 _LOADED: dict = {}
 
 
+def beyond_words(texts: pa.Array) -> list[int]:
+    """Rows whose texts the tokeniser must see whole: their ids need not be those of their words."""
+    return [i for i, t in enumerate(texts.to_pylist()) if not _PLAIN.fullmatch(t) or "<|" in t]
+
+
 class WordIds:
     """Ids of texts as little-endian 32-bit numbers, by the tokenizers library; frequent words are kept."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -67,7 +73,7 @@ class WordIds:
         """Forgets what was kept: caches live as long as a task."""
         self.words, self.parts = Kept(), Kept(CACHE_BYTES // 2)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _of_parts(self, parts: list[str]) -> list[bytes]:
@@ -78,7 +84,7 @@ class WordIds:
             ids = np.array(e.ids, "<u4")
             stop = np.flatnonzero(self.ends[ids]) + 1
             if len(stop) != len(line) or stop[-1] != len(ids):
-                out += self._whole(line)
+                out += self.whole(line)
                 continue
             raw, at = ids.tobytes(), 0
             for end in (4 * stop).tolist():
@@ -86,23 +92,22 @@ class WordIds:
                 at = end
         return out
 
-    def _of_words(self, words: list[str]) -> list[bytes]:
+    def of_words(self, words: list[str]) -> list[bytes]:
         cut = [_PART.findall(w.lower()) for w in words]
         parts = list(dict.fromkeys(chain.from_iterable(cut)))
         found = dict(zip(parts, self.parts.lookup(parts, self._of_parts)))
         return [b"".join(map(found.__getitem__, c)) for c in cut]
 
     def __call__(self, texts: pa.Array) -> list[bytes]:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         texts = pc.fill_null(texts, "")
-        whole = [i for i, t in enumerate(texts.to_pylist()) if not _PLAIN.fullmatch(t) or "<|" in t]
+        whole = beyond_words(texts)
         plain = np.ones(len(texts), bool)
         plain[whole] = False
         lists = pc.ascii_split_whitespace(pc.if_else(pa.array(plain), texts, ""))
-        ids, at = joined(lists, lambda words: self.words.lookup(words, self._of_words), "<u4")
+        ids, at = joined(lists, lambda words: self.words.lookup(words, self.of_words), "<u4")
         raw = ids.tobytes()
         out = [raw[a:b] for a, b in zip((4 * at[:-1]).tolist(), (4 * at[1:]).tolist())]
-        for i, b in zip(whole, self._whole([texts[i].as_py() for i in whole])):
+        for i, b in zip(whole, self.whole([texts[i].as_py() for i in whole])):
             out[i] = b
         return out
 

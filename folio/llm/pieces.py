@@ -24,8 +24,6 @@ CACHE_BYTES = 64 << 20
 KEPT_CHARS = 64
 #: Segments of up to so many characters have their agenda in a list, longer ones in a heap.
 SHORT = 40
-#: Segments are checked in lines of so many.
-LINE = 64
 _LOADED: dict = {}
 
 
@@ -59,16 +57,24 @@ class Kept(dict):
 def joined(lists: pa.ListArray, values_of, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all rows end to end, and the n + 1 offsets of the rows, of a column of lists of words.
     values_of: bytes of numbers of this kind for each different word."""
+    code, words, bounds = coded(lists)
+    return gathered(values_of(words), code, bounds, kind)
+
+
+def coded(lists: pa.ListArray) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Numbers of the words of all rows end to end, the different words, and the n + 1 offsets of the rows."""
     words = lists.flatten().dictionary_encode()
-    code = words.indices.to_numpy()
-    values = values_of(words.dictionary.to_pylist())
+    return words.indices.to_numpy(), words.dictionary.to_pylist(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+
+
+def gathered(values: list[bytes], code: np.ndarray, bounds: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all rows end to end, and the n + 1 offsets of the rows; values: bytes of those of each different word."""
     size = np.dtype(kind).itemsize
     length = np.fromiter(map(len, values), np.int64, len(values)) // size
     flat = np.frombuffer(b"".join(values), kind)
     begin, n = np.cumsum(length) - length, length[code]
     end = np.cumsum(n)
     at = np.repeat(begin[code] - (end - n), n) + np.arange(int(n.sum()))
-    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     return flat[at], np.concatenate([[0], end])[bounds]
 
 
@@ -103,7 +109,7 @@ class Pieces:
 
     def fresh(self, limit: int = CACHE_BYTES) -> None:
         """Forgets what was kept: caches live as long as a task."""
-        self.cache, self.wrong = Kept(limit), set()
+        self.cache = Kept(limit)
 
     def agenda(self, segment: str) -> list[int]:
         """Merges adjacent symbols in order of score (ties: leftmost) until no pair is a piece."""
@@ -187,26 +193,6 @@ class Pieces:
     def by_agenda(self, keys: list[str]) -> list[bytes]:
         return [np.array(self.agenda(k if k[:1] == "\n" else SPACE + k), self.kind).tobytes() for k in keys]
 
-    def checked(self, keys: list[str]) -> list[bytes]:
-        """by_agenda(); segments that the library encodes otherwise are noted in self.wrong. They are put
-        together to lines for it, so that it sees them as texts."""
-        out = self.by_agenda(keys)
-        alone = [i for i, k in enumerate(keys) if k[:1] in ("", SPACE)]
-        apart = set(alone)
-        plain = [i for i, k in enumerate(keys) if i not in apart]
-        plain.sort(key=lambda i: keys[i][0] == "\n")  # those after a line break last
-        lines = [plain[a : a + LINE] for a in range(0, len(plain), LINE)]
-        texts = ["".join(keys[i] if keys[i][0] == "\n" else f" {keys[i]}" for i in line) for line in lines]
-        got = self.library.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
-        for line, text, ids in zip(lines, texts, got):
-            ids = ids[1:] if text[0] == "\n" else ids  # its U+2581 before a line break at the start
-            if np.array(ids, self.kind).tobytes() != b"".join([out[i] for i in line]):
-                alone += line
-        for i, ids in zip(alone, self.by_library([keys[i] for i in alone])):
-            if ids != out[i]:
-                self.wrong.add(keys[i])
-        return out
-
     def by_library(self, keys: list[str]) -> list[bytes]:
         """The library's ids of these segments; it puts U+2581 before a line break too, which goes."""
         got = self.library.encode([k.replace(SPACE, " ") for k in keys], num_threads=1)
@@ -214,10 +200,9 @@ class Pieces:
         ids = (x[1:] if k[:1] == "\n" else x if k else self.agenda(SPACE) for k, x in zip(keys, got))
         return [np.array(x, self.kind).tobytes() for x in ids]
 
-    def encode(self, texts: pa.Array, own: bool, check: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end and their offsets; own: by our agenda (check: compared with the library), else
-        by the library."""
-        compute = (self.checked if check else self.by_agenda) if own else self.by_library
+    def encode(self, texts: pa.Array, own: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end and their offsets; own: by our agenda, else by the library."""
+        compute = self.by_agenda if own else self.by_library
         return joined(self.split(pc.fill_null(texts, "")), lambda keys: self.cache.lookup(keys, compute), self.kind)
 
 

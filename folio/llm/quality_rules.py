@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ SPREAD = 3
 LEAST_RATIO, LEAST_SHARE, LEAST_ENTROPY = 0.05, 0.02, 0.05
 #: Quartiles are exact on a grid of this step.
 GRID = 0.001
+#: Bytes of texts that share the search for their different words.
+CHUNK = 1 << 20
 #: Bands that may be broadcast: a few for each language or script.
 MOST_BANDS = 100_000
 #: What bands are set for: the least reach beyond the quartiles, whether low and whether high values fail.
@@ -80,16 +83,49 @@ def fertility(ids: np.ndarray, tokens: np.ndarray, chars: np.ndarray, fallback:
     return [tokens, np.where(tokens > 0, chars / total, 0.0), np.where(tokens > 0, lone / total, 0.0), entropy]
 
 
+class Both:
+    """Ids of texts in both vocabularies. Words are looked up once for both, and frequent ones are kept."""
+
+    def __init__(self, model: str, words: str):
+        self.piece, self.word = pieces.load(model), packing.word_ids(words)
+        self.fresh()
+
+    def fresh(self) -> None:
+        """Forgets what was kept: caches live as long as a task."""
+        self.piece.fresh()
+        self.word.fresh()
+        self.kept = pieces.Kept()
+
+    def _new(self, keys: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids of the segments in the piece vocabulary, and of the words in them, which no token crosses, in the other."""
+        words = [k.replace(pieces.SPACE, " ").split() for k in keys]  # U+2581 is a space here; texts that hold it go whole
+        found = iter(self.word.of_words([w for ws in words for w in ws]))
+        return list(zip(self.piece.by_library(keys), [next(found) if len(ws) == 1 else b"".join(next(found) for _ in ws) for ws in words]))
+
+    def __call__(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vocabulary the ids of all texts end to end and the number of each text's."""
+        texts = pc.fill_null(texts, "")
+        code, keys, bounds = pieces.coded(self.piece.split(texts))
+        values = self.kept.lookup(keys, self._new)
+        first, first_at = pieces.gathered([a for a, _ in values], code, bounds, self.piece.kind)
+        second, second_at = pieces.gathered([b for _, b in values], code, bounds, "<u4")
+        whole = packing.beyond_words(texts)
+        if whole:
+            rows = np.split(second, second_at[1:-1])
+            for i, b in zip(whole, self.word.whole([texts[i].as_py() for i in whole])):
+                rows[i] = np.frombuffer(b, "<u4")
+            second, second_at = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+        return [(first.astype(np.int64), np.diff(first_at)), (second.astype(np.int64), np.diff(second_at))]
+
+
 def _measure(model: str, words: str):
     """Measures of (id, lang, text); further columns stay as they are."""
 
     @common.frugal
     def run(batches):
-        vocabulary, second = pieces.load(model), packing.word_ids(words)
-        vocabulary.fresh()
-        second.fresh()
+        vocabularies = Both(model, words)
         for whole in batches:
-            for batch in common.pieces(whole, "text"):
+            for batch in common.pieces(whole, "text", CHUNK):
                 texts = [t or "" for t in batch.column(2).to_pylist()]
                 data, offsets = common.byte_view(batch.column(2))
                 n = len(texts)
@@ -98,11 +134,8 @@ def _measure(model: str, words: str):
                 chars = common.per_row(points, offsets)
                 word = common.span_hash(common.prefix_hash(data), start, end)
                 lines = [[x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")] if "\n" in t else () for t in texts]
-                ids, at = vocabulary.encode(batch.column(2), own=False)
-                measures = fertility(ids.astype(np.int64), np.diff(at), chars, vocabulary.is_byte)
-                raw = second(batch.column(2))
-                ids = np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
-                measures += fertility(ids, np.fromiter((len(x) // 4 for x in raw), np.int64, n), chars, second.is_byte)
+                (first, n_first), (second, n_second) = vocabularies(batch.column(2))
+                measures = fertility(first, n_first, chars, vocabularies.piece.is_byte) + fertility(second, n_second, chars, vocabularies.word.is_byte)
                 leads = [(name, common.per_row((data >= r.start) & (data < r.stop), offsets)) for name, r in _SCRIPTS] if n else []
                 best = np.argmax([c for _, c in leads], axis=0) if n else []
                 script = [leads[b][0] if leads[b][1][i] else "none" for i, b in enumerate(best)]
@@ -120,8 +153,7 @@ def _measure(model: str, words: str):
                     ],
                     names=[*(x.strip().split(" ")[0] for x in SCHEMA.split(",")), *batch.schema.names[3:]],
                 )
-        vocabulary.fresh()
-        second.fresh()
+        vocabularies.fresh()
 
     return run
 

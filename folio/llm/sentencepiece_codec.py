@@ -13,14 +13,25 @@ from folio.llm import common, pieces
 
 #: Bytes of texts that share the search for their different segments, and bytes of segments that a task keeps.
 CHUNK, CACHE_BYTES = 2 << 20, 192 << 20
+#: Texts that are compared with the library at a time.
+COMPARED = 64
 SCHEMA = "id long, ids array<int>, decoded string, n_tokens long, ids_sha256 string, decoded_sha256 string, matches_library boolean"
 
 
+def agrees(vocabulary: pieces.Pieces, texts: pa.Array, ids: list[list[int]]) -> list[bool]:
+    """Whether the library encodes each whole text to these ids; a few texts at a time, so that its lists stay small."""
+    out, given = [], pc.fill_null(texts, "")
+    for i in range(0, len(ids), COMPARED):
+        got = vocabulary.library.encode(given.slice(i, COMPARED).to_pylist(), num_threads=1)
+        out += [a == b for a, b in zip(got, ids[i : i + COMPARED])]
+    return out
+
+
 def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, model: str | None = None, keep_ids: bool = True, check: bool = True) -> DataFrame:
     """Encodes every text with our score-ordered agenda and decodes the ids.
 
     Returns one row per input row: the id, ids, decoded text, their digests and
-    matches_library: whether the library encodes each of its segments alike (null without check);
+    matches_library: whether the library, given the whole text, has the same ids (null without check);
     the ids are ours in any case. keep_ids=False leaves ids and decoded null. Null and empty texts have no ids and decode to the empty text. Repeated rows stay;
     other columns are not looked at; an empty table gives an empty result.
     """
@@ -33,10 +44,9 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         decimal = vocabulary.decimal
         for whole in batches:
             for batch in common.pieces(whole, "text", CHUNK):
-                flat, at = vocabulary.encode(batch.column(1), own=True, check=check)
+                flat, at = vocabulary.encode(batch.column(1), own=True)
                 ids = [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
-                wrong = vocabulary.wrong
-                good = [None if not check else not (wrong and wrong.intersection(row)) for row in (vocabulary.split(pc.fill_null(batch.column(1), "")).to_pylist() if wrong else ids)]
+                good = agrees(vocabulary, batch.column(1), ids) if check else [None] * len(ids)
                 text = vocabulary.library.decode(ids, num_threads=1) if ids else []
                 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
                 yield pa.RecordBatch.from_arrays(

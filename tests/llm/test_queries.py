@@ -388,13 +388,22 @@ def test_sentencepiece(docs, empty):
 
 
 def test_sentencepiece_finds_what_the_library_encodes_otherwise(monkeypatch):
-    ours = pieces.Pieces(pieces.default_path())
-    keys = ["sea", "\nhill", "", f"{pieces.SPACE}wind", "stone", "river,"]
-    ours.checked(keys)
-    assert not ours.wrong
-    monkeypatch.setattr(ours, "cost", {k: -v for k, v in ours.cost.items()})
-    ours.checked(keys)
-    assert ours.wrong and ours.wrong <= set(keys) and "" not in ours.wrong
+    import pyarrow as pa
+
+    texts = pa.array(["sea and stone", "", None, "river, \n hill  wind", f"a{pieces.SPACE}b", "wind"] * 40, pa.string())
+
+    def agreed():
+        ours = pieces.Pieces(pieces.default_path())
+        flat, at = ours.encode(texts, own=True)
+        return sentencepiece_codec.agrees(ours, texts, [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])])
+
+    assert agreed() == [True] * 240
+    with monkeypatch.context() as patch:  # an agenda without merges
+        patch.setattr(pieces.Pieces, "_short", lambda self, sym: sym)
+        assert agreed() == [False, True, True, False, False, False] * 40
+    split = pieces.Pieces.split
+    monkeypatch.setattr(pieces.Pieces, "split", lambda self, t: pa.array([x[:-1] for x in split(self, t).to_pylist()], pa.list_(pa.string())))  # a split that loses a segment
+    assert agreed() == [False, True, True, False, False, False] * 40
 
 
 def test_archives(spark):
