@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -125,12 +126,12 @@ class Pieces:
             if best == none:
                 break
             i = agenda.index(best)
-            sym[i : i + 2] = [sym[i] + sym[i + 1]]
+            sym[i] = both = sym[i] + sym.pop(i + 1)
             del agenda[i]
             if i:
-                agenda[i - 1] = cost(sym[i - 1] + sym[i], none)
+                agenda[i - 1] = cost(sym[i - 1] + both, none)
             if i < len(agenda):
-                agenda[i] = cost(sym[i] + sym[i + 1], none)
+                agenda[i] = cost(both + sym[i + 1], none)
         return sym
 
     def _long(self, sym: list[str]) -> list[str]:
@@ -191,14 +192,19 @@ class Pieces:
         return out
 
     def by_agenda(self, keys: list[str]) -> list[bytes]:
-        return [np.array(self.agenda(k if k[:1] == "\n" else SPACE + k), self.kind).tobytes() for k in keys]
+        return self._packed([self.agenda(k if k[:1] == "\n" else SPACE + k) for k in keys])
 
     def by_library(self, keys: list[str]) -> list[bytes]:
         """The library's ids of these segments; it puts U+2581 before a line break too, which goes."""
         got = self.library.encode([k.replace(SPACE, " ") for k in keys], num_threads=1)
         # a segment of one bare U+2581 is nothing to the library by itself
-        ids = (x[1:] if k[:1] == "\n" else x if k else self.agenda(SPACE) for k, x in zip(keys, got))
-        return [np.array(x, self.kind).tobytes() for x in ids]
+        return self._packed([x[1:] if k[:1] == "\n" else x if k else self.agenda(SPACE) for k, x in zip(keys, got)])
+
+    def _packed(self, lists: list[list[int]]) -> list[bytes]:
+        """Bytes of each list of ids."""
+        raw = np.fromiter(chain.from_iterable(lists), self.kind).tobytes()
+        ends = np.cumsum([0, *map(len, lists)]) * np.dtype(self.kind).itemsize
+        return [raw[a:b] for a, b in pairwise(ends.tolist())]
 
     def encode(self, texts: pa.Array, own: bool) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end and their offsets; own: by our agenda, else by the library."""
