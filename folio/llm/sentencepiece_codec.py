@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -12,18 +13,19 @@ from pyspark.sql import functions as F
 from folio.llm import common, pieces
 
 #: Bytes of texts that share the search for their different segments, and bytes of segments that a task keeps.
-CHUNK, CACHE_BYTES = 2 << 20, 192 << 20
+CHUNK, CACHE_BYTES = 4 << 20, 192 << 20
 #: Texts that are compared with the library at a time.
 COMPARED = 64
 SCHEMA = "id long, ids array<int>, decoded string, n_tokens long, ids_sha256 string, decoded_sha256 string, matches_library boolean"
 
 
-def agrees(vocabulary: pieces.Pieces, texts: pa.Array, ids: list[list[int]]) -> list[bool]:
-    """Whether the library encodes each whole text to these ids; a few texts at a time, so that its lists stay small."""
+def agrees(vocabulary: pieces.Pieces, texts: pa.Array, flat: np.ndarray, at: np.ndarray) -> list[bool]:
+    """Whether the library encodes each whole text to its ids (flat[at[i]:at[i + 1]]); a few texts at a time, so that its
+    arrays stay small."""
     out, given = [], pc.fill_null(texts, "")
-    for i in range(0, len(ids), COMPARED):
-        got = vocabulary.library.encode(given.slice(i, COMPARED).to_pylist(), num_threads=1)
-        out += [a == b for a, b in zip(got, ids[i : i + COMPARED])]
+    for i in range(0, len(given), COMPARED):
+        got = vocabulary.library.encode_as_numpy(given.slice(i, COMPARED).to_pylist(), num_threads=1)
+        out += [np.array_equal(x, flat[a:b]) for x, a, b in zip(got, at[i:], at[i + 1 :])]
     return out
 
 
@@ -46,7 +48,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for batch in common.pieces(whole, "text", CHUNK):
                 flat, at = vocabulary.encode(batch.column(1), own=True)
                 ids = [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
-                good = agrees(vocabulary, batch.column(1), ids) if check else [None] * len(ids)
+                good = agrees(vocabulary, batch.column(1), flat, at) if check else [None] * len(ids)
                 text = vocabulary.library.decode(ids, num_threads=1) if ids else []
                 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
                 yield pa.RecordBatch.from_arrays(
