@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from folio.llm.common import mix64
+
 SPACE = "▁"
 #: Segments of texts with runs of spaces, or with U+2581 itself.
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*")
@@ -23,7 +25,7 @@ _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*")
 CACHE_BYTES = 64 << 20
 #: Longer segments are not kept.
 KEPT_CHARS = 64
-#: Segments of up to so many characters have their agenda in a list, longer ones in a heap.
+#: Segments of up to so many characters go through their agendas many at a time, longer ones by a heap of their own.
 SHORT = 40
 _LOADED: dict = {}
 
@@ -97,7 +99,6 @@ class Pieces:
             elif not (lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i)):
                 normal[p] = (i, lib.get_score(i))
         self.normal = normal
-        self.cost = {p: -score for p, (_, score) in normal.items()}
         if any(SPACE in p.lstrip(SPACE) for p in normal):
             raise ValueError("the vocabulary has pieces that cross words")
         if any("\n" in p for p in normal):
@@ -106,6 +107,7 @@ class Pieces:
         self.is_byte[[i for i in self.byte if i >= 0]] = True
         self.decimal = [str(i) for i in range(n)]
         self.kind = "<u2" if n <= 1 << 16 else "<u4"
+        self._pair_table()
         self.fresh()
 
     def fresh(self, limit: int = CACHE_BYTES) -> None:
@@ -114,25 +116,76 @@ class Pieces:
 
     def agenda(self, segment: str) -> list[int]:
         """Merges adjacent symbols in order of score (ties: leftmost) until no pair is a piece."""
-        sym = list(segment)
-        return self._ids(self._short(sym) if len(sym) <= SHORT else self._long(sym))
-
-    def _short(self, sym: list[str]) -> list[str]:
-        """The agenda as a list of the pairs' scores, in text order."""
-        cost, none = self.cost.get, float("inf")
-        agenda = [cost(a + b, none) for a, b in zip(sym, sym[1:])]
-        while agenda:
-            best = min(agenda)
-            if best == none:
-                break
-            i = agenda.index(best)
-            sym[i] = both = sym[i] + sym.pop(i + 1)
-            del agenda[i]
-            if i:
-                agenda[i - 1] = cost(sym[i - 1] + both, none)
-            if i < len(agenda):
-                agenda[i] = cost(both + sym[i + 1], none)
-        return sym
+        return self._ids(self._long(list(segment)))
+
+    def _pair_table(self) -> None:
+        """A hash table of the pairs of symbols that are a piece together. A symbol's number is its piece's, or
+        size + code point for a character that is no piece."""
+        number = lambda s: self.normal[s][0] if s in self.normal else self.size + ord(s) if len(s) == 1 else -1
+        found = [(number(p[:i]), number(p[i:]), got[0]) for p, got in self.normal.items() for i in range(1, len(p))]
+        left, right, both = np.array(found or [(-1, -1, 0)], np.int64).T
+        whole = (left >= 0) & (right >= 0)
+        keys, both = left[whole] << 32 | right[whole], both[whole]
+        self.slots = max(1 << 10, 1 << int(len(keys)).bit_length() + 1)
+        self.pair, self.joint = np.full(self.slots, -1, np.int64), np.full(self.slots, self.size, np.int32)
+        at = self._slot(keys)
+        while len(keys):
+            free = self.pair[at] < 0
+            self.pair[at[free]] = keys[free]
+            here = self.pair[at] == keys
+            self.joint[at[here]] = both[here]
+            keys, both, at = keys[~here], both[~here], (at[~here] + 1) & (self.slots - 1)
+        self.price = np.full(self.size + 1, np.inf)
+        self.symbol = np.arange(0x110000, dtype=np.int32) + self.size
+        for p, (i, score) in self.normal.items():
+            self.price[i] = -score
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix64(keys.view(np.uint64)) & np.uint64(self.slots - 1)).astype(np.int64)
+
+    def _joint(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The pieces that these pairs of symbols are together; size where they are none."""
+        keys = left.astype(np.int64) << 32 | right
+        at = self._slot(keys)
+        have, out = self.pair[at], self.joint[at]
+        far = np.flatnonzero((have != keys) & (have >= 0))
+        out[have < 0] = self.size
+        while len(far):
+            at[far] = (at[far] + 1) & (self.slots - 1)
+            have = self.pair[at[far]]
+            out[far] = np.where(have == keys[far], self.joint[at[far]], self.size)
+            far = far[(have != keys[far]) & (have >= 0)]
+        return out
+
+    def _merged(self, sym: np.ndarray):
+        """The agendas of many segments of equal length (rows of symbols) side by side: each step merges the best
+        pair of every row, so that all rows lose one symbol; yields rows without a pair left, and their symbols."""
+        who, width = np.arange(len(sym)), sym.shape[1]
+        joint = self._joint(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(len(sym), width - 1)
+        cost = self.price[joint]
+        while width > 1 and len(who):
+            best = cost.argmin(axis=1)
+            go = cost[np.arange(len(who)), best] < np.inf
+            if not go.all():
+                yield who[~go], sym[~go]
+                who, sym, joint, cost, best = who[go], sym[go], joint[go], cost[go], best[go]
+            row, width = np.arange(len(who)), width - 1
+            sym[row, best] = joint[row, best]
+            stay = np.ones(sym.shape, bool)
+            stay[row, best + 1] = False
+            sym = sym[stay].reshape(len(who), width)
+            stay = np.ones(joint.shape, bool)
+            stay[row, best] = False
+            joint, cost = (x[stay].reshape(len(who), width - 1) for x in (joint, cost))
+            for at in (best - 1, best):  # the pairs that the new symbol is in
+                r = np.flatnonzero((at >= 0) & (at < width - 1))
+                a = at[r]
+                joint[r, a] = new = self._joint(sym[r, a], sym[r, a + 1])
+                cost[r, a] = self.price[new]
+        if len(who):
+            yield who, sym
 
     def _long(self, sym: list[str]) -> list[str]:
         """The agenda as a heap; pairs that have changed since are passed over."""
@@ -192,7 +245,27 @@ class Pieces:
         return out
 
     def by_agenda(self, keys: list[str]) -> list[bytes]:
-        return self._packed([self.agenda(k if k[:1] == "\n" else SPACE + k) for k in keys])
+        """Our ids of these segments; those of equal length go through their agendas together, long ones one by one."""
+        keys = [k if k[:1] == "\n" else SPACE + k for k in keys]
+        length = np.fromiter(map(len, keys), np.int64, len(keys))
+        code = self.symbol[np.frombuffer("".join(keys).encode("utf-32-le"), "<u4")]
+        begin, n, done = np.cumsum(length) - length, np.zeros(len(keys), np.int64), []
+        for width in np.unique(length[length <= SHORT]).tolist():
+            rows = np.flatnonzero(length == width)
+            for who, sym in self._merged(code[begin[rows, None] + np.arange(width)]):
+                n[rows[who]] = sym.shape[1]
+                done.append((rows[who], sym))
+        ends = np.cumsum(n)
+        flat = np.zeros(int(n.sum()), np.int32)
+        for who, sym in done:
+            flat[(ends - n)[who, None] + np.arange(sym.shape[1])] = sym
+        raw, size = flat.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+        out = [raw[a:b] for a, b in pairwise([0, *(ends * size).tolist()])]
+        odd = np.unique(np.searchsorted(ends, np.flatnonzero(flat >= self.size), "right"))  # these have characters that are no piece
+        alone = [*odd.tolist(), *np.flatnonzero(length > SHORT).tolist()]
+        for i, value in zip(alone, self._packed([self.agenda(keys[i]) for i in alone])):
+            out[i] = value
+        return out
 
     def by_library(self, keys: list[str]) -> list[bytes]:
         """The library's ids of these segments; it puts U+2581 before a line break too, which goes."""
