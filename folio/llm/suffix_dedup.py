@@ -2,12 +2,13 @@
 
 Which texts can share a string is found by winnowing: in every window of LENGTH bytes the
 least-hashed inner string of SEED bytes is its anchor, so equal windows have equal anchors.
-The windows of one anchor form a cell; cells that are equal as a whole are counted by a
-plain aggregation. Only where an anchor occurs in cells that differ are their bytes brought
-together: there a suffix array is built, and from the previous and next smaller positions
-in suffix order comes the longest earlier (and later) match of every window. Where
-they are more than GROUP, their windows are counted by two hashes instead, so that no task
-has to hold a group.
+The windows of one anchor form a cell. Cells that are equal as a whole are one kind, of which
+the first place and one other stand for all; the kinds of an anchor that occurs twice or more
+are brought together: there a suffix array is built, and from the previous and next smaller
+positions in suffix order comes the longest earlier (and later) match of every window. What it says
+of a kind's two places holds for all its places. An anchor with more than GROUP kinds is not
+brought together, so that no task has to hold a group: its windows are kinds of their own, by two
+hashes, and two places of each repeated one go through the suffix array in the same way.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 from folio.llm import common
 
 LENGTH, SEED = 200, 32
-#: In groups of more different cells than this (about SORT_BYTES) windows are counted by their hashes instead.
+#: Groups of more different cells than this (about SORT_BYTES) go on window by window instead.
 GROUP = 4000
-#: Windows that stand in many of such cells are dealt to so many tasks.
-SALTS = 32
+#: A key with more rows is joined by broadcast (if such keys are few), so that its rows stay where they lie.
+HOT = 20_000
 #: Bytes of cells that a task sorts at once (plus one group).
 SORT_BYTES = 1 << 20
 #: A place and its number of windows (under PLACE) go as one number.
@@ -94,25 +95,25 @@ def _segments(length: int):
     @common.frugal
     def run(batches):
         for batch in (piece for whole in batches for piece in common.pieces(whole, "text")):
-            out = [[], [], [], [], [], []]
+            out, held = [[] for _ in _SEGMENT_NAMES], 0
             raw = batch.column(2).cast(pa.binary()).to_pylist()
-            held = 0
             for i, wanted in enumerate(batch.column(3).to_pylist()):
                 for w in wanted:
                     piece = raw[i][w["pos"] : w["pos"] + w["n"] + length - 1]
-                    for column, value in zip(out, (w["gram"], batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), w["pos"], w["n"], piece)):
+                    values = w["gram"], batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), w["pos"], w["turn"], w["n"], w["cell"], w["mark"], piece
+                    for column, value in zip(out, values):
                         column.append(value)
                     held += len(piece)
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _SEGMENT_TYPES)], names=_SEGMENT_NAMES)
-                    out, held = [[], [], [], [], [], []], 0
+                    out, held = [[] for _ in _SEGMENT_NAMES], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _SEGMENT_TYPES)], names=_SEGMENT_NAMES)
 
     return run
 
 
 def _windows(length: int):
-    """Two hashes of each window of the wanted cells, and where it stands."""
+    """The windows of the wanted cells: two hashes, where each stands, and its cell and place in it."""
 
     @common.frugal
     def run(batches):
@@ -120,19 +121,22 @@ def _windows(length: int):
             ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             raw = batch.column(2).cast(pa.binary()).to_pylist()
             for i, wanted in enumerate(batch.column(3).to_pylist()):
-                parts = []
                 for w in wanted:
                     data = np.frombuffer(raw[i], np.uint8, w["n"] + length - 1, w["pos"])
                     start = np.arange(w["n"])
-                    parts.append([w["pos"] + start, *(common.span_hash(common.prefix_hash(data, seed), start, start + length).view(np.int64) for seed in (1, 2))])
-                pos, one, two = (np.concatenate(x) for x in zip(*parts))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), ids[i])), pa.array(np.full(len(pos), keys[i])), pa.array(pos), pa.array(one), pa.array(two)], names=["id", "key", "pos", "one", "two"])
+                    one, two = (common.span_hash(common.prefix_hash(data, seed), start, start + length).view(np.int64) for seed in (1, 2))
+                    same = [pa.array(np.full(w["n"], x)) for x in (ids[i], keys[i])]
+                    of = [pa.array(np.full(w["n"], w[c], kind)) for c, kind in (("gram", np.int64), ("cell", np.int64), ("turn", np.int32), ("mark", np.int64))]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array((w["pos"] + start) * PLACE + 1), pa.array(one), pa.array(two), *of, pa.array(start)], names=_WINDOW_NAMES)
 
     return run
 
 
-_SEGMENT_NAMES = ["bucket", "id", "key", "pos", "n", "bytes"]
-_SEGMENT_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+_SEGMENT_NAMES = ["bucket", "id", "key", "pos", "turn", "n", "cell", "mark", "bytes"]
+_SEGMENT_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+_SEGMENT_SCHEMA = "bucket long, id long, key int, pos int, turn int, n int, cell long, mark long, bytes binary"
+_WINDOW_NAMES = ["id", "key", "at", "gram", "cell", "of_gram", "of_cell", "turn", "of_mark", "inner"]
+_WINDOW_SCHEMA = "id long, key int, at long, gram long, cell long, of_gram long, of_cell long, turn int, of_mark long, inner long"
 
 
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -203,11 +207,12 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int, first: b
 
 
 def _sorted_repeats(length: int, first: bool):
-    """Rows come sorted by bucket, id, position; whole buckets are sorted together."""
+    """Rows come sorted by bucket, id, position, turn; whole buckets are sorted together. Says which windows of each
+    piece stand elsewhere: ranges of bytes from the piece's start."""
 
     def judge(table: pa.Table):
         # rows that repeat an id and a text are one place
-        place = [table.column(c).to_numpy() for c in ("bucket", "id", "key", "pos")]
+        place = [table.column(c).to_numpy() for c in ("bucket", "id", "key", "pos", "turn")]
         table = table.filter(pa.array(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in place], axis=0)])))
         n = table.column("n").to_numpy().astype(np.int64)
         data, offsets = common.byte_view(table.column("bytes").combine_chunks())
@@ -216,14 +221,13 @@ def _sorted_repeats(length: int, first: bool):
         inner = np.arange(total) - begin
         of = np.repeat(np.arange(len(n)), n)
         hit = repeated_windows(data, offsets[of] + inner, length, first)
+        if not first:  # both places of a kind have the same windows elsewhere
+            hit &= table.column("turn").to_numpy()[of] == 0
         edge = np.flatnonzero(hit & ~(np.concatenate([[False], hit[:-1]]) & (inner > 0)))
         stop = np.flatnonzero(hit & ~(np.concatenate([hit[1:], [False]]) & np.concatenate([inner[1:] > 0, [False]])))
-        at = table.column("pos").to_numpy().astype(np.int64)
-        who = of[edge]
-        return pa.RecordBatch.from_arrays(
-            [table.column("id").combine_chunks().take(pa.array(who)), table.column("key").combine_chunks().take(pa.array(who)), pa.array(at[who] + inner[edge]), pa.array(at[who] + inner[stop] + length)],
-            names=["id", "key", "start", "end"],
-        )
+        who = pa.array(of[edge])
+        said = [table.column(c).combine_chunks().take(who) for c in ("bucket", "cell", "turn", "mark")]
+        return pa.RecordBatch.from_arrays([*said, pa.array(inner[edge]), pa.array(inner[stop] + length)], names=["gram", "cell", "turn", "mark", "start", "end"])
 
     @common.frugal
     def run(batches):
@@ -231,7 +235,7 @@ def _sorted_repeats(length: int, first: bool):
         for batch in batches:
             for piece in common.pieces(batch, "bytes", SORT_BYTES // 4):
                 held.append(pa.Table.from_batches([piece]))
-                size += piece.column(5).nbytes
+                size += piece.column(8).nbytes
                 if size < SORT_BYTES:
                     continue
                 table = pa.concat_tables(held)
@@ -256,6 +260,55 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(common.row_id(id_col, text_col).alias("id"), _key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def _met(big: DataFrame, small: DataFrame, on: list[str], heavy: DataFrame) -> DataFrame:
+    """big joined with small; rows of big with heavy keys stay where they lie if such keys are few."""
+    if heavy.isEmpty():
+        return big.join(small, on)
+    small, heavy = common.cut(small, "dealt"), common.few(heavy, "heavy")
+    hot = common.few(small.join(heavy, on, "left_semi"), "hot")
+    return big.join(hot, on).unionByName(big.join(heavy, on, "left_anti").join(small.join(heavy, on, "left_anti"), on))
+
+
+def _mark(place: str = "") -> str:
+    """Names a place in one number."""
+    return f"xxhash64({', '.join(place + c for c in ('id', 'key', 'at', 'turn'))})"
+
+
+def _kinds(places: DataFrame) -> DataFrame:
+    """Each gram and cell, its first place f and its last place l, and how many it has."""
+    place = F.struct("id", "key", "at", "turn")
+    return places.groupBy("gram", "cell").agg(F.count("*").alias("copies"), F.min(place).alias("f"), F.max(place).alias("l"))
+
+
+def _texts_of(rows: DataFrame, kinds: DataFrame, first: bool) -> DataFrame:
+    """The texts that the first and another place of these kinds are in, with the list of those places."""
+    place = lambda f, turn: F.struct(
+        F.col(f"{f}.id").alias("id"), F.col(f"{f}.key").alias("key"), F.lit(turn).alias("turn"), F.expr(f"int({f}.at div {PLACE})").alias("pos"), F.expr(f"int({f}.at % {PLACE})").alias("n")
+    )
+    # of repeated rows one place is the other's copy only where none is kept
+    other = F.expr("copies > 1" + (" and f <> l" if first else ""))
+    both = F.when(other, F.array(place("f", 0), place("l", 1))).otherwise(F.array(place("f", 0)))
+    wanted = kinds.select("gram", "cell", F.expr(_mark("f.")).alias("mark"), F.explode(both).alias("p"))
+    lists = wanted.groupBy("p.id", "p.key").agg(F.collect_list(F.struct("gram", "cell", "mark", "p.turn", "p.pos", "p.n")).alias("wanted"))  # at most a text's own cells
+    return rows.join(lists, ["id", "key"]).select("id", "key", "text", "wanted")
+
+
+def _judged(rows: DataFrame, kinds: DataFrame, first: bool, length: int) -> DataFrame:
+    """What the suffix array says of kinds: gram, cell, turn (0: of the first place, or of all if none is kept; 1: of all others),
+    mark of the first place, start and end in the cell."""
+    pieces = _texts_of(rows, kinds, first).mapInArrow(_segments(length), _SEGMENT_SCHEMA)
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    spread = pieces.repartition(parts, "bucket").sortWithinPartitions("bucket", "id", "key", "pos", "turn")
+    return spread.mapInArrow(_sorted_repeats(length, first), "gram long, cell long, turn int, mark long, start long, end long")
+
+
+def _told(places: DataFrame, verdicts: DataFrame, kinds: DataFrame, first: bool) -> DataFrame:
+    """places, each with the ranges (start, end, in the cell) that verdicts have for it."""
+    verdicts = verdicts.withColumnRenamed("turn", "whose")
+    met = _met(places, verdicts, ["gram", "cell"], kinds.where(f"copies > {HOT}").select("gram", "cell"))
+    return met.where(f"({_mark()} = mark) = (whose = 0)") if first else met
+
+
 def repeats(rows: DataFrame, *, keep: str = "first", length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """id, key and the byte ranges (start, end) that repeated windows cover; ranges may overlap.
 
@@ -263,42 +316,24 @@ def repeats(rows: DataFrame, *, keep: str = "first", length: int = LENGTH, seed:
     """
     first = keep == "first"
     cells = common.cut(rows.mapInArrow(_anchored(length, seed), "id long, key int, at long, gram long, cell long"), "cells")
-    # written first, so that the join is free to split a gram that very many cells have
-    again = common.cut(cells.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").select("gram"), "grams")
-    shared = common.cut(cells.join(again, "gram"), "shared")
+    again = common.cut(cells.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"), "grams")
+    shared = common.cut(_met(cells, again.select("gram"), ["gram"], again.where(f"times > {HOT}").select("gram")), "shared")
     common.discard(cells)
     common.discard(again)
-    kinds = shared.groupBy("gram", "cell").agg(F.count("*").alias("copies"), F.min(F.struct("id", "key", "at")).alias("f"))
-    kinds = common.cut(kinds, "kinds")
-    mixed = kinds.groupBy("gram").agg(F.count("*").alias("differing")).where("differing > 1")
-    many = kinds.where("copies > 1").select("gram", "cell", F.col("f.id").alias("fid"), F.col("f.key").alias("fkey"), F.col("f.at").alias("fat"))
-    copies = shared.join(many, ["gram", "cell"])
-    if first:
-        copies = copies.where("not (id = fid and key = fkey and at = fat)")
-    copies = copies.selectExpr("id", "key", f"at div {PLACE} as start", f"at div {PLACE} + at % {PLACE} + {length - 1} as end")
-    wanted = kinds.join(mixed, "gram").select("f.id", "f.key", "differing", F.struct("gram", F.expr(f"int(f.at div {PLACE})").alias("pos"), F.expr(f"int(f.at % {PLACE})").alias("n")).alias("w"))
-
-    def texts_of(condition: str) -> DataFrame:
-        lists = wanted.where(condition).groupBy("id", "key").agg(F.collect_list("w").alias("wanted"))  # at most a text's own cells
-        return rows.join(lists, ["id", "key"]).select("id", "key", "text", "wanted")
-
-    pieces = texts_of(f"differing <= {GROUP}").mapInArrow(_segments(length), "bucket long, id long, key int, pos int, n int, bytes binary")
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    spread = pieces.repartition(parts, "bucket").sortWithinPartitions("bucket", "id", "key", "pos")
-    found = copies.union(spread.mapInArrow(_sorted_repeats(length, first), "id long, key int, start long, end long"))
-    if mixed.where(f"differing > {GROUP}").isEmpty():
-        return found
-    windows = texts_of(f"differing > {GROUP}").mapInArrow(_windows(length), "id long, key int, pos long, one long, two long")
-    # windows are added up before any shuffle and in SALTS parts, and marked in as many
-    windows = common.cut(windows.withColumn("salt", F.expr(f"pmod(hash(id, key, pos), {SALTS})")), "windows")
-    least = F.min(F.struct("id", "key", "pos"))
-    some = windows.groupBy("one", "two", "salt").agg(F.count("*").alias("n"), least.alias("f"))
-    again = some.groupBy("one", "two").agg(F.sum("n").alias("n"), F.min("f").alias("f")).where("n > 1")
-    again = again.select("one", "two", "f", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    marked = windows.join(again, ["one", "two", "salt"])
-    if first:
-        marked = marked.where("not (id = f.id and key = f.key and pos = f.pos)")
-    return found.union(marked.select("id", "key", F.col("pos").alias("start"), (F.col("pos") + length).alias("end")))
+    shared = shared.withColumn("turn", F.lit(0))
+    kinds = common.cut(_kinds(shared), "kinds")
+    large = common.few(kinds.groupBy("gram").count().where(f"count > {GROUP}").select("gram"), "large")
+    verdicts = _judged(rows, kinds.join(large, "gram", "left_anti"), first, length)
+    if not large.isEmpty():
+        windows = _texts_of(rows, kinds.join(large, "gram", "left_semi"), first).mapInArrow(_windows(length), _WINDOW_SCHEMA)
+        windows = common.cut(windows, "windows")
+        twice = common.cut(_kinds(windows).where("f <> l"), "twice")
+        told = _told(windows, _judged(rows, twice, first, length), twice, first)
+        if not first:
+            told = told.where("turn = 0")
+        verdicts = verdicts.union(told.selectExpr("of_gram as gram", "of_cell as cell", "turn", "of_mark as mark", "inner as start", f"inner + {length} as end"))
+    found = _told(shared, verdicts, kinds, first)
+    return found.selectExpr("id", "key", f"at div {PLACE} + start as start", f"at div {PLACE} + end as end")
 
 
 @common.frugal

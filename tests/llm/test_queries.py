@@ -152,8 +152,8 @@ def test_suffix_dedup(docs, empty, keep):
 @pytest.mark.parametrize("keep", ["none", "first"])
 def test_suffix_dedup_of_large_groups(docs, monkeypatch, keep):
     monkeypatch.setattr(suffix_dedup, "GROUP", 1)
-    held = []
-    monkeypatch.setattr(suffix_dedup, "_segments", lambda length, run=suffix_dedup._segments: held.append(run(length)) or held[-1])
+    judged, held = suffix_dedup._judged, []
+    monkeypatch.setattr(suffix_dedup, "_judged", lambda rows, kinds, *a: held.append(kinds) or judged(rows, kinds, *a))
     texts = {**TEXTS, **{d: f"{prose(20, d)} {SHARED} {prose(20, d + 100)}" for d in range(20, 40)}}
     monkeypatch.setitem(globals(), "TEXTS", texts)
     rows = docs.sparkSession.createDataFrame([*texts.items()], "doc_id long, text string")
@@ -161,12 +161,43 @@ def test_suffix_dedup_of_large_groups(docs, monkeypatch, keep):
     for d, t in texts.items():
         left = bytes(c for c, gone in zip((t or "").encode(), marks[d]) if not gone)
         assert (got[d].n_removed, got[d].kept_sha256) == (sum(marks[d]), hashlib.sha256(left).hexdigest())
-    # no group of more than GROUP cells, whole or by windows, comes to a task as bytes
+    # no group of more than GROUP kinds, of cells or of windows, comes to a task as bytes
+    assert len(held) == 2 and held[1].count() > 0
+    assert all(kinds.groupBy("gram").count().where("count > 1").isEmpty() for kinds in held)
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_suffix_dedup_of_hot_cells(docs, monkeypatch, keep):
+    """Keys of more than HOT rows are joined by broadcast, or not where they are many; results are the same."""
+    texts = {**TEXTS, **{d: prose(20, d) + SHARED for d in range(20, 30)}, 30: prose(120, 1), 31: prose(90, 7) + prose(90, 7)}
+    monkeypatch.setitem(globals(), "TEXTS", texts)
+    rows = docs.sparkSession.createDataFrame([*texts.items()], "doc_id long, text string")
+    monkeypatch.setattr(suffix_dedup, "HOT", 2)
+    marks = covered(keep)
+    for few in (common.few, lambda df, name: common.cut(df, name)):
+        monkeypatch.setattr(common, "few", few)
+        got = rows_of(suffix_dedup.remove_repeats(rows, keep=keep))
+        assert {d: got[d].n_removed for d in texts} == {d: sum(marks[d]) for d in texts}
+
+
+def test_anchors_of_slices(monkeypatch):
+    """A text that is anchored in slices has each of its windows once, and cells that other texts share are found in any slice."""
     import pyarrow as pa
 
-    wanted = [{"gram": 5, "pos": 0, "n": 3, "large": True}]
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1], pa.int32()), pa.array(["x" * 300]), pa.array([wanted])], names=["id", "key", "text", "wanted"])
-    assert sum(b.num_rows for b in held[0](iter([batch]))) == 1
+    monkeypatch.setattr(suffix_dedup, "SLICE", 1000)
+    texts = [prose(700, 8), prose(700, 8)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([d]), pa.array([d], pa.int32()), pa.array([t])], names=["id", "key", "text"]) for d, t in enumerate(texts, 1)]
+    cells = pa.Table.from_batches(suffix_dedup._anchored(200, 32)(iter(batches))).to_pylist()
+    windows, grams = defaultdict(Counter), defaultdict(dict)
+    for c in cells:
+        for i in range(c["at"] // suffix_dedup.PLACE, c["at"] // suffix_dedup.PLACE + c["at"] % suffix_dedup.PLACE):
+            windows[c["id"]][i] += 1
+            grams[c["id"]][i] = c["gram"]
+    size = len(texts[0].encode())
+    assert size > 5000 and all(windows[d] == Counter(range(size - 199)) for d in (1, 2)) and grams[1] == grams[2]
+    alone = suffix_dedup.anchors(np.frombuffer(texts[0].encode(), np.uint8), np.array([0, len(texts[0].encode())]))
+    for start, n, gram in zip(alone[1], alone[2], alone[3].view(np.int64)):
+        assert {grams[1][i] for i in range(start, start + n)} == {gram}
 
 
 def test_suffix_array():
