@@ -23,12 +23,10 @@ from pyspark.sql import functions as F
 from folio.llm import common
 
 LENGTH, SEED = 200, 32
-#: Groups of more different cells than this (about SORT_BYTES) go on window by window instead.
+#: Groups of more different cells than this (some 2 MB) go on window by window instead.
 GROUP = 4000
-#: A key with more rows is joined by broadcast (if such keys are few), so that its rows stay where they lie.
-HOT = 20_000
 #: Bytes of cells that a task sorts at once (plus one group).
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 16
 #: A place and its number of windows (under PLACE) go as one number.
 PLACE = 1024
 #: A text is anchored in slices of so many bytes.
@@ -96,11 +94,12 @@ def _segments(length: int):
     def run(batches):
         for batch in (piece for whole in batches for piece in common.pieces(whole, "text")):
             out, held = [[] for _ in _SEGMENT_NAMES], 0
-            raw = batch.column(2).cast(pa.binary()).to_pylist()
+            ids, keys, raw = (batch.column(i).to_pylist() for i in (0, 1, 2))
             for i, wanted in enumerate(batch.column(3).to_pylist()):
+                text = raw[i].encode()
                 for w in wanted:
-                    piece = raw[i][w["pos"] : w["pos"] + w["n"] + length - 1]
-                    values = w["gram"], batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), w["pos"], w["turn"], w["n"], w["cell"], w["mark"], piece
+                    piece = text[w["pos"] : w["pos"] + w["n"] + length - 1]
+                    values = w["gram"], ids[i], keys[i], w["pos"], w["turn"], w["n"], w["cell"], w["mark"], piece
                     for column, value in zip(out, values):
                         column.append(value)
                     held += len(piece)
@@ -139,17 +138,20 @@ _WINDOW_NAMES = ["id", "key", "at", "gram", "cell", "of_gram", "of_cell", "turn"
 _WINDOW_SCHEMA = "id long, key int, at long, gram long, cell long, of_gram long, of_cell long, turn int, of_mark long, inner long"
 
 
-def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Suffixes in the order of their first `depth` bytes and more (a power of two times 8), by prefix
-    doubling, and the ranks by the first 8, 16, ... bytes (equal rank: equal bytes)."""
+def suffix_array(data: np.ndarray, depth: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Suffixes (all, or those at starts) in the order of their first `depth` bytes and more, and the ranks of all by the
+    first 8 and, below depth, by ever more bytes (equal rank: equal bytes). A round puts as many ranks together as a
+    number of 64 bits holds, so that few rounds are needed; the last sorts the wanted suffixes alone."""
     n = len(data)
     padded = np.zeros(n + 8, np.uint64)
     padded[:n] = data
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | padded[j : j + n]
-    ranks, h = {}, 8
+    ranks, h, bits = {}, 8, max(n.bit_length(), 1)
     while True:
+        if h >= depth and starts is not None:
+            return starts[np.argsort(key[starts])], ranks
         order = np.argsort(key)
         ordered = key[order]
         rank = np.zeros(n, np.uint32)
@@ -157,16 +159,19 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, np
         ranks[h] = rank
         if h >= depth:
             return order, ranks
-        key = rank.astype(np.uint64) << np.uint64(32)
-        key[: max(n - h, 0)] |= rank[h:].astype(np.uint64) + np.uint64(1)
-        h *= 2
+        times = min(64 // bits, -(-depth // h))
+        more = rank.astype(np.uint64) + np.uint64(1)
+        key = more << np.uint64(bits * (times - 1))
+        for j in range(1, times):  # beyond the end there is 0
+            key[: max(n - j * h, 0)] |= more[j * h :] << np.uint64(bits * (times - 1 - j))
+        h *= times
 
 
 def same_prefix(ranks: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
     """Whether suffixes a and b agree in their first `length` bytes (a multiple of 8), which both have."""
     same, at = np.ones(len(a), bool), 0
     for h in sorted(ranks, reverse=True):
-        if at + h <= length:
+        while at + h <= length:
             same &= ranks[h][a + at] == ranks[h][b + at]
             at += h
     return same
@@ -193,10 +198,7 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int, first: b
     position in suffix order; links say where factors reach the length. A window stands elsewhere
     if it has such a factor, or is one of a later place: of its previous or next larger position.
     """
-    order, ranks = suffix_array(data, length)
-    wanted = np.zeros(len(data), bool)
-    wanted[starts] = True
-    order = order[wanted[order]]  # the sparse suffix array of the windows
+    order, ranks = suffix_array(data, length, starts)  # the sparse suffix array of the windows
     link = same_prefix(ranks, order[:-1], order[1:], length) if len(order) > 1 else np.zeros(0, bool)
     earlier = (nearest_smaller(order, link, -1) >= 0) | (nearest_smaller(order, link, 1) >= 0)
     out = np.zeros(len(data), bool)
@@ -260,15 +262,6 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(common.row_id(id_col, text_col).alias("id"), _key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def _met(big: DataFrame, small: DataFrame, on: list[str], heavy: DataFrame) -> DataFrame:
-    """big joined with small; rows of big with heavy keys stay where they lie if such keys are few."""
-    if heavy.isEmpty():
-        return big.join(small, on)
-    small, heavy = common.cut(small, "dealt"), common.few(heavy, "heavy")
-    hot = common.few(small.join(heavy, on, "left_semi"), "hot")
-    return big.join(hot, on).unionByName(big.join(heavy, on, "left_anti").join(small.join(heavy, on, "left_anti"), on))
-
-
 def _mark(place: str = "") -> str:
     """Names a place in one number."""
     return f"xxhash64({', '.join(place + c for c in ('id', 'key', 'at', 'turn'))})"
@@ -302,10 +295,9 @@ def _judged(rows: DataFrame, kinds: DataFrame, first: bool, length: int) -> Data
     return spread.mapInArrow(_sorted_repeats(length, first), "gram long, cell long, turn int, mark long, start long, end long")
 
 
-def _told(places: DataFrame, verdicts: DataFrame, kinds: DataFrame, first: bool) -> DataFrame:
+def _told(places: DataFrame, verdicts: DataFrame, first: bool) -> DataFrame:
     """places, each with the ranges (start, end, in the cell) that verdicts have for it."""
-    verdicts = verdicts.withColumnRenamed("turn", "whose")
-    met = _met(places, verdicts, ["gram", "cell"], kinds.where(f"copies > {HOT}").select("gram", "cell"))
+    met = places.join(verdicts.withColumnRenamed("turn", "whose"), ["gram", "cell"])
     return met.where(f"({_mark()} = mark) = (whose = 0)") if first else met
 
 
@@ -316,8 +308,9 @@ def repeats(rows: DataFrame, *, keep: str = "first", length: int = LENGTH, seed:
     """
     first = keep == "first"
     cells = common.cut(rows.mapInArrow(_anchored(length, seed), "id long, key int, at long, gram long, cell long"), "cells")
-    again = common.cut(cells.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"), "grams")
-    shared = common.cut(_met(cells, again.select("gram"), ["gram"], again.where(f"times > {HOT}").select("gram")), "shared")
+    # written first, so that the join is free to split a gram that very many cells have
+    again = common.cut(cells.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").select("gram"), "grams")
+    shared = common.cut(cells.join(again, "gram"), "shared")
     common.discard(cells)
     common.discard(again)
     shared = shared.withColumn("turn", F.lit(0))
@@ -328,11 +321,11 @@ def repeats(rows: DataFrame, *, keep: str = "first", length: int = LENGTH, seed:
         windows = _texts_of(rows, kinds.join(large, "gram", "left_semi"), first).mapInArrow(_windows(length), _WINDOW_SCHEMA)
         windows = common.cut(windows, "windows")
         twice = common.cut(_kinds(windows).where("f <> l"), "twice")
-        told = _told(windows, _judged(rows, twice, first, length), twice, first)
+        told = _told(windows, _judged(rows, twice, first, length), first)
         if not first:
             told = told.where("turn = 0")
         verdicts = verdicts.union(told.selectExpr("of_gram as gram", "of_cell as cell", "turn", "of_mark as mark", "inner as start", f"inner + {length} as end"))
-    found = _told(shared, verdicts, kinds, first)
+    found = _told(shared, verdicts, first)
     return found.selectExpr("id", "key", f"at div {PLACE} + start as start", f"at div {PLACE} + end as end")
 
 

@@ -167,17 +167,14 @@ def test_suffix_dedup_of_large_groups(docs, monkeypatch, keep):
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
-def test_suffix_dedup_of_hot_cells(docs, monkeypatch, keep):
-    """Keys of more than HOT rows are joined by broadcast, or not where they are many; results are the same."""
+def test_suffix_dedup_of_many_copies(docs, monkeypatch, keep):
+    """Copies of copies, rows that repeat, and a text that holds its own copy."""
     texts = {**TEXTS, **{d: prose(20, d) + SHARED for d in range(20, 30)}, 30: prose(120, 1), 31: prose(90, 7) + prose(90, 7)}
     monkeypatch.setitem(globals(), "TEXTS", texts)
     rows = docs.sparkSession.createDataFrame([*texts.items()], "doc_id long, text string")
-    monkeypatch.setattr(suffix_dedup, "HOT", 2)
     marks = covered(keep)
-    for few in (common.few, lambda df, name: common.cut(df, name)):
-        monkeypatch.setattr(common, "few", few)
-        got = rows_of(suffix_dedup.remove_repeats(rows, keep=keep))
-        assert {d: got[d].n_removed for d in texts} == {d: sum(marks[d]) for d in texts}
+    got = rows_of(suffix_dedup.remove_repeats(rows, keep=keep))
+    assert {d: got[d].n_removed for d in texts} == {d: sum(marks[d]) for d in texts}
 
 
 def test_anchors_of_slices(monkeypatch):
@@ -205,6 +202,12 @@ def test_suffix_array():
     order, ranks = suffix_dedup.suffix_array(data, 16)
     raw = data.tobytes()
     assert [raw[i : i + 16] for i in order] == sorted(raw[i : i + 16] for i in range(len(raw)))
+    some = np.arange(0, 400, 3)
+    for depth in (8, 24, 56, 200):
+        order, ranks = suffix_dedup.suffix_array(data, depth, some)
+        assert [raw[i : i + depth] for i in order] == sorted(raw[i : i + depth] for i in some)
+        twins = suffix_dedup.same_prefix(ranks, order[:-1], order[1:], depth) if ranks else []
+        assert [raw[i : i + depth] == raw[j : j + depth] for i, j in zip(order, order[1:])] == list(twins) or not ranks
     starts = np.arange(len(data) - 15)
     got = suffix_dedup.repeated_windows(np.tile(data[:200], 2), np.arange(385), 16, True)
     twice, seen = np.tile(data[:200], 2).tobytes(), set()
