@@ -325,6 +325,8 @@ def repeats(rows: DataFrame, *, keep: str = "first", length: int = LENGTH, seed:
         if not first:
             told = told.where("turn = 0")
         verdicts = verdicts.union(told.selectExpr("of_gram as gram", "of_cell as cell", "turn", "of_mark as mark", "inner as start", f"inner + {length} as end"))
+    verdicts = common.cut(verdicts, "verdicts")
+    common.discard(kinds)
     found = _told(shared, verdicts, first)
     return found.selectExpr("id", "key", f"at div {PLACE} + start as start", f"at div {PLACE} + end as end")
 
