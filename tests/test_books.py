@@ -61,6 +61,13 @@ def test_page_text():
     assert html.page_title("<title>untitled</title><h2>Two</h2>") == "Two" and html.page_title("<title>Untitled</title>") is None
 
 
+def test_references_without_a_semicolon_are_text():
+    page = "<h1>A &amp; B &lt;c&gt; &amp&eacute;&amp</h1><p>&ampx; &quo &#38; R&D &copy; &copy <!-- &amp &amp; --></p>"
+    assert html.page_title(page) == "A & B <c> &ampé&amp"
+    assert html.page_text(page).split() == "A & B <c> &ampé&amp &ampx; &quo & R&D © &copy".split()
+    assert " &amp &amp; " in html.page_text(page, comments=True) and html.page_title("<h1>\ue000 &amp &amp;</h1>") == "\ue000 &amp &"
+
+
 def chapter_rows(spark):
     rows = [("b", i, f"Chapter {i}", STORY.replace('{}', str(i)), 100, 500) for i in (2, 1, 3)]
     return spark.createDataFrame(rows, "book_id string, idx int, title string, text string, word_count long, char_count long")
