@@ -47,7 +47,7 @@ NOISE = (
     (r"\S+@\S+\.\S+", "", "@"),
     (r"ISBN[\s:-]*[\d-]{10,}", "", "ISBN"),
     (r"doi[\s:]*10\.\S+", "", "doi"),
-    (r"\bp+\.\s*\d[\d\s,\-–—]+", "", r"p\."),
+    (r"\bp+\.\s*\d[\d\s,\-–—]+", "", r"p\.\s*\d"),
     (r"\([Vv]edi\s+[^)]*\)", "", r"\("),
     (r"\([Ss]ee\s+[^)]*\)", "", r"\("),
     (r"\([Cc]fr\.?\s+[^)]*\)", "", r"\("),
@@ -158,14 +158,17 @@ SITE_LANGUAGES = {"it": "it", "en": "en", "fr": "fr", "es": "es", "de": "de", "z
 COVER_NAMES = ("cover.jpg", "cover.jpeg", "cover.png", "cover-image.jpg", "cover-image.png")
 
 # White space, in the order of application; punctuation; signs that file names and spoken text cannot hold.
-SPACING = ((r"\t[ \t]*| [ \t]+", " "), (r" *\n *", "\n"), (r"\n{4,}", "\n\n\n"), (r"\n(?:[^\S\n]*\n){2}\s*", "\n\n"))
-PUNCTUATION = ((r"\s+([.,;:!?])", "$1"), (r"([.,;:!?]){3,}", "$1$1"), ('"{2,}', '"'))
+# A third and further values: one of them is in every text that the rule changes.
+SPACING = ((r"\t[ \t]*| [ \t]+", " ", "\t", "  "), (r" *\n *", "\n", " \n", "\n "), (r"\n{4,}", "\n\n\n", "\n\n\n\n"), (r"\n(?:[^\S\n]*\n){2}\s*", "\n\n"))
+PUNCTUATION = ((r"\s+([.,;:!?])", "$1"), (r"([.,;:!?]){3,}", "$1$1"), ('"{2,}', '"', '""'))
 RESERVED = r'[<>:"/\\|?*]'
 UNSPOKEN = ((r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\u200b-\u200f\u2028-\u202f\ufeff\ufffe\uffff]", ""), (r"\n{3,}", "\n\n"), (r" {3,}", " "))
 
 # Chapter words before Roman numerals, numbered headings, ends of sentences in previews,
 # addresses, languages of a request with their weights.
 NUMERAL = r"(Capitolo|Chapter|Cap\.?|Parte|Part)\s+([MDCLXVI]+)"
+# What a text in lower case holds where NUMERAL is found.
+NUMERAL_SIGNS = ("cap", "chapter", "part")
 HEADING = r"^(Capitolo|Chapter|Cap\.?|Parte|Part|Sezione|Section)\s*[.:—\-]?\s*(\d+|[IVXLCDM]+)\s*[.:—\-]?\s*(.*)"
 SENTENCE_END = r"""[.!?][""»)\s]"""
 EMAIL = r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}$"

@@ -160,3 +160,19 @@ def test_content(spark):
     cases = [(good, "One"), (good, "Table of Contents"), ("short", ""), (None, None), ("\n".join(f"Title {i} ... {i}" for i in range(40)), ""), (good + " ISBN 1. All rights reserved. ", ""), ("ISBN all rights reserved " + good, "")]
     rows = spark.createDataFrame(cases, "t string, n string").select(content.is_content(F.col("t"), F.col("n")).alias("o")).collect()
     assert [r.o for r in rows] == [True, False, False, False, False, True, False]
+
+
+GUARDED = [
+    "see op. cit. and cit. p. 3", "ad es. p.es. ES. es.x xes.", "ſig.ra Bianchi, İng. Bıanchi", "a\t b \n c\n\n\n\nd  .", "\"\" x", "p.[12]3 is gone", "p. ٣ ⁴†",
+    "ISBN 978-0-00-000000-2", "http://a.b c", "capitolo iv PARTE x", " edge ", "", ".", "a\r\n\r\n\r\nb", "n.d.r.", "a.C. d.C. a.c.d.", "st.", "\\n \\q ## x",
+]
+
+
+def test_guards_change_nothing(spark):
+    """A text is read by one pattern of all signs before its rules run."""
+    assert apply(spark, GUARDED, text.clean_text) == [*map(plain_clean, GUARDED)]
+    assert apply(spark, GUARDED, lambda c: text.expand_abbreviations(c, {"a b.": "x", "b.": "a"})) == GUARDED
+    for t in [*CASES, *GUARDED]:
+        for pattern, to, *signs in (*rules.SPACING, *rules.PUNCTUATION, (f"(?i){rules.NUMERAL}", "", *rules.NUMERAL_SIGNS)):
+            assert not signs or any(s in t.lower() for s in signs) or re.sub(pattern, to.replace("$1", r"\1"), t) == t, (pattern, t)
+    assert all(len(r) > 2 for r in rules.SPACING[:3]) and text._any_sign(s for _, _, s in rules.NOISE).count("|") <= 6
