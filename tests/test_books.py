@@ -5,6 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from folio import session
 from folio.functions import html
 from folio.operators import catalogue, chapters
 from folio.sinks import books as sink
@@ -125,3 +126,18 @@ def test_logs_and_tokens(spark, tmp_path):
     assert [r.token for r in live.collect()] == ["t2"]
     jobs = folders.where("false")
     assert [r.job_id for r in logs.orphan_folders(folders, back, jobs).collect()] == ["j9"]
+
+
+def test_listing_many_folders_takes_few_tasks(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"b{i}").mkdir()
+        (tmp_path / f"b{i}" / "001_x.txt").write_text(f"{i}")
+    session.ship_package(spark)
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        found = spark.read.text(str(tmp_path), wholetext=True, recursiveFileLookup=True)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert found.count() == 60 and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
