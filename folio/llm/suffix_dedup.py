@@ -289,10 +289,13 @@ def _texts_of(rows: DataFrame, kinds: DataFrame, first: bool) -> DataFrame:
 def _judged(rows: DataFrame, kinds: DataFrame, first: bool, length: int) -> DataFrame:
     """What the suffix array says of kinds: gram, cell, turn (0: of the first place, or of all if none is kept; 1: of all others),
     mark of the first place, start and end in the cell."""
-    pieces = _texts_of(rows, kinds, first).mapInArrow(_segments(length), _SEGMENT_SCHEMA)
+    # written, so that the texts that were shuffled for them are gone when the pieces are shuffled
+    pieces = common.cut(_texts_of(rows, kinds, first).mapInArrow(_segments(length), _SEGMENT_SCHEMA), "pieces")
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     spread = pieces.repartition(parts, "bucket").sortWithinPartitions("bucket", "id", "key", "pos", "turn")
-    return spread.mapInArrow(_sorted_repeats(length, first), "gram long, cell long, turn int, mark long, start long, end long")
+    told = common.cut(spread.mapInArrow(_sorted_repeats(length, first), "gram long, cell long, turn int, mark long, start long, end long"), "verdicts")
+    common.discard(pieces)
+    return told
 
 
 def _told(places: DataFrame, verdicts: DataFrame, first: bool) -> DataFrame:
@@ -325,10 +328,14 @@ def repeats(rows: DataFrame, *, keep: str = "first", length: int = LENGTH, seed:
         if not first:
             told = told.where("turn = 0")
         verdicts = verdicts.union(told.selectExpr("of_gram as gram", "of_cell as cell", "turn", "of_mark as mark", "inner as start", f"inner + {length} as end"))
-    verdicts = common.cut(verdicts, "verdicts")
+        verdicts = common.cut(verdicts, "all")
+        common.discard(windows)
+        common.discard(twice)
     common.discard(kinds)
-    found = _told(shared, verdicts, first)
-    return found.selectExpr("id", "key", f"at div {PLACE} + start as start", f"at div {PLACE} + end as end")
+    found = _told(shared, verdicts, first).selectExpr("id", "key", f"at div {PLACE} + start as start", f"at div {PLACE} + end as end")
+    found = common.cut(found, "ranges")
+    common.discard(shared)
+    return found
 
 
 @common.frugal

@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -659,3 +661,12 @@ def test_rows_without_id(spark):
     assert sizes(none) == sizes(named) and all(r.id is None for r in bagminhash.near_duplicates(none).collect())
     tokens = lambda df: sum(r.length for r in packing.pack(df).collect())
     assert tokens(none) == tokens(named)
+
+
+def test_cut_leaves_nothing_shuffled(spark):
+    local = Path(spark.conf.get("spark.local.dir"))
+    held = lambda: {p.name for p in local.rglob("shuffle_*.data")}
+    before, setting = held(), spark.conf.get(common._FREED)
+    table = common.cut(spark.range(1000).repartition(3, "id"), "freed")
+    assert held() <= before and table.count() == 1000
+    assert spark.conf.get(common._FREED) == setting
