@@ -5,7 +5,6 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
-
 from pathlib import Path
 
 import numpy as np
