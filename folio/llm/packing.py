@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm import common
-from folio.llm.pieces import CACHE_BYTES, Kept, joined
 
 CAPACITY = 2048
 #: Lengths are grouped by so many tokens in the linear program; a sequence may lack under so many for each piece.
@@ -40,7 +39,22 @@ RANK_ROWS = 50_000
 #: No token crosses white space, or the bounds of these parts of lower-case words. Texts of other characters
 #: than _PLAIN, or with what may be a special token, go to the tokeniser whole.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e\u20ac]*")
-_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:\W|_)+")
+#: The kinds that parts are made of: letters, single digits, other characters; and words that an apostrophe begins.
+_BLANK, _LETTER, _DIGIT, _OTHER = range(4)
+_SHORTENED = ("s", "t", "m", "d", "re", "ve", "ll")
+#: Kinds of characters below U+0250; those of three bytes in _PLAIN are of the last kind.
+_KIND = np.array([_BLANK if c in "\t\n\r " else _LETTER if c.isalpha() else _DIGIT if c.isdigit() or c in "¼½¾" else _OTHER for c in map(chr, range(0x250))], np.uint8)
+_KIND_OF_BYTE = np.concatenate([_KIND[:128], np.full(128, _OTHER, np.uint8)])
+#: Parts of up to 16 bytes are their own keys, as two numbers; masks for the bytes of a number that are a part's.
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: In the place of a key's second number: the first one counts the longer parts. No UTF-8 has such a byte.
+_LONG = np.uint64(2**64 - 1)
+#: Slots of the table of parts that a task keeps (some 20 MB); it is emptied when half of them are taken, or when the
+#: long parts have so many bytes.
+SLOTS = 1 << 20
+LONG_BYTES = 16 << 20
+#: Parts that are looked up together.
+BLOCK = 1 << 17
 #: Parts that are new are given to the tokeniser in lines of so many.
 LINE = 64
 #: Bytes of texts that share the search for their different words.
@@ -53,8 +67,32 @@ def beyond_words(texts: pa.Array) -> list[int]:
     return [i for i, t in enumerate(texts.to_pylist()) if not _PLAIN.fullmatch(t) or "<|" in t]
 
 
+def part_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where parts start and end in the bytes of _PLAIN text with A-Z in lower case; each text ends in white space."""
+    kind = _KIND_OF_BYTE[data]
+    tail, two = np.flatnonzero((data & 0xC0) == 0x80), np.flatnonzero((data >= 0xC0) & (data < 0xE0))
+    kind[two] = _KIND[(data[two].astype(np.int64) & 0x1F) << 6 | data[two + 1] & 0x3F]
+    for _ in range(2):  # characters have up to two bytes more
+        kind[tail] = kind[tail - 1]
+    edge = kind == _DIGIT
+    edge[:1] = True
+    edge[1:] |= kind[1:] != kind[:-1]
+    edge[tail] = False
+    mark = np.flatnonzero(edge & (data == ord("'")))
+    for word in _SHORTENED:
+        at = mark[: np.searchsorted(mark, len(data) - len(word))]
+        for i, c in enumerate(word.encode()):
+            at = at[data[at + 1 + i] == c]
+        edge[at + 1] = False
+        edge[at + 1 + len(word)] = True
+    at = np.flatnonzero(edge)
+    real = kind[at] != _BLANK
+    return at[real], np.append(at[1:], len(data))[real]
+
+
 class WordIds:
-    """Ids of texts as little-endian 32-bit numbers, by the tokenizers library; frequent words are kept."""
+    """Ids of texts as little-endian 32-bit numbers, by the tokenizers library. Texts fall into parts that are looked up
+    as arrays in a table of those that the task has met; only new ones are given to the library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -70,46 +108,92 @@ class WordIds:
         self.fresh()
 
     def fresh(self) -> None:
-        """Forgets what was kept: caches live as long as a task."""
-        self.words, self.parts = Kept(), Kept(CACHE_BYTES // 2)
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _of_parts(self, parts: list[str]) -> list[bytes]:
-        """Each part is one word of the vocabulary's: its last token, and no other, ends a word."""
-        out: list[bytes] = []
+        """Forgets what was kept: tables live as long as a task."""
+        self.first, self.second, self.entry = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
+        self.begin, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.long: dict[bytes, int] = {}
+        self.long_bytes = 0
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _of_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts end to end, and the number of each part's. Each part is one word of the vocabulary's: its last
+        token, and no other, ends a word."""
+        ids, n = [], []
         lines = [parts[i : i + LINE] for i in range(0, len(parts), LINE)]
-        for line, e in zip(lines, self.library.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            stop = np.flatnonzero(self.ends[ids]) + 1
-            if len(stop) != len(line) or stop[-1] != len(ids):
-                out += self.whole(line)
-                continue
-            raw, at = ids.tobytes(), 0
-            for end in (4 * stop).tolist():
-                out.append(raw[at:end])
-                at = end
-        return out
-
-    def of_words(self, words: list[str]) -> list[bytes]:
-        cut = [_PART.findall(w.lower()) for w in words]
-        parts = list(dict.fromkeys(chain.from_iterable(cut)))
-        found = dict(zip(parts, self.parts.lookup(parts, self._of_parts)))
-        return [b"".join(map(found.__getitem__, c)) for c in cut]
-
-    def __call__(self, texts: pa.Array) -> list[bytes]:
+        for line, got in zip(lines, self.whole([" ".join(x) for x in lines])):
+            stop = np.flatnonzero(self.ends[got]) + 1
+            if len(stop) != len(line) or stop[-1] != len(got):
+                alone = self.whole(line)
+                got, stop = np.concatenate(alone), np.cumsum([len(x) for x in alone])
+            ids.append(got)
+            n.append(np.diff(stop, prepend=0))
+        return np.concatenate(ids), np.concatenate(n)
+
+    def _places(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of keys, and which keys were entered now, one of each."""
+        at = (common.mix64(first + common.mix64(second)) & np.uint64(SLOTS - 1)).astype(np.int64)
+        todo, new = np.arange(len(at)), []
+        while len(todo):
+            free = todo[self.first[at[todo]] == 0]
+            self.entry[at[free]] = free
+            free = free[self.entry[at[free]] == free]  # of several keys one has the slot
+            self.first[at[free]], self.second[at[free]] = first[free], second[free]
+            new.append(free)
+            todo = todo[(self.first[at[todo]] != first[todo]) | (self.second[at[todo]] != second[todo])]
+            at[todo] = (at[todo] + 1) & (SLOTS - 1)
+        return at, np.concatenate(new)
+
+    def _block(self, raw: bytes, word: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts end to end, and the number of each part's. word: the eight bytes from each place on, as a number."""
+        if len(self.begin) + len(start) > SLOTS // 2 or self.long_bytes > LONG_BYTES:
+            self.fresh()
+        size = end - start
+        first, second = word[start] & _MASK[np.minimum(size, 8)], word[start + 8] & _MASK[np.clip(size - 8, 0, 8)]
+        for i in np.flatnonzero(size > 16).tolist():
+            part = raw[start[i] : end[i]]
+            if part not in self.long:
+                self.long[part] = len(self.long) + 1
+                self.long_bytes += len(part)
+            first[i], second[i] = self.long[part], _LONG
+        at, new = self._places(first, second)
+        if len(new):
+            ids, n = self._of_parts([raw[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist())])
+            self.entry[at[new]] = len(self.begin) + np.arange(len(new))
+            self.begin = np.append(self.begin, len(self.ids) + np.cumsum(n) - n)
+            self.length, self.ids = np.append(self.length, n), np.append(self.ids, ids)
+        entry = self.entry[at]
+        begin, n = self.begin[entry], self.length[entry]
+        stop = np.cumsum(n)
+        return self.ids[np.repeat(begin - (stop - n), n) + np.arange(int(n.sum()))], n
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: none) end to end, and the n + 1 offsets of the texts."""
         texts = pc.fill_null(texts, "")
         whole = beyond_words(texts)
         plain = np.ones(len(texts), bool)
         plain[whole] = False
-        lists = pc.ascii_split_whitespace(pc.if_else(pa.array(plain), texts, ""))
-        ids, at = joined(lists, lambda words: self.words.lookup(words, self.of_words), "<u4")
+        data, offsets = common.byte_view(pc.binary_join_element_wise(pc.if_else(pa.array(plain), texts, ""), "", "\n"))
+        data = common.LOWER[data]
+        start, end = part_spans(data)
+        raw = data.tobytes()
+        padded = np.append(data, np.zeros(16, np.uint8))
+        word = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))
+        blocks = [self._block(raw, word, start[i : i + BLOCK], end[i : i + BLOCK]) for i in range(0, len(start), BLOCK)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *(b[0] for b in blocks)])
+        at = np.cumsum(np.concatenate([[0], *(b[1] for b in blocks)]))[np.searchsorted(start, offsets)]
+        if whole:
+            rows = np.split(ids, at[1:-1])
+            for i, got in zip(whole, self.whole([texts[i].as_py() for i in whole])):
+                rows[i] = got
+            ids, at = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+        return ids, at
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        ids, at = self.encode(texts)
         raw = ids.tobytes()
-        out = [raw[a:b] for a, b in zip((4 * at[:-1]).tolist(), (4 * at[1:]).tolist())]
-        for i, b in zip(whole, self.whole([texts[i].as_py() for i in whole])):
-            out[i] = b
-        return out
+        return [raw[4 * a : 4 * b] for a, b in pairwise(at.tolist())]
 
 
 def word_ids(path: str) -> WordIds:
@@ -149,12 +233,15 @@ def _recut(path: str, end_id: int):
 
     @common.frugal
     def run(batches):
+        ids_of = word_ids(path)
+        ids_of.fresh()
         for whole in batches:
             for batch in common.pieces(whole, "text", CHUNK):
                 start, first, length = (batch.column(i).to_pylist() for i in range(1, 4))
-                raw = [b + end for b in word_ids(path)(batch.column(0))]
+                raw = [b + end for b in ids_of(batch.column(0))]
                 sums = [[zlib.crc32(b[4 * s : 4 * (s + f)]), zlib.crc32(b[4 * (s + f) : 4 * (s + n)])] for b, s, f, n in zip(raw, start, first, length)]
                 yield pa.RecordBatch.from_arrays([batch.column(4), pa.array(sums, pa.list_(pa.int64()))], names=["at", "sums"])
+        ids_of.fresh()
 
     return run
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,7 +83,7 @@ def fertility(ids: np.ndarray, tokens: np.ndarray, chars: np.ndarray, fallback:
 
 
 class Both:
-    """Ids of texts in both vocabularies. Words are looked up once for both, and frequent ones are kept."""
+    """Ids of texts in both vocabularies; frequent words are kept."""
 
     def __init__(self, model: str, words: str):
         self.piece, self.word = pieces.load(model), packing.word_ids(words)
@@ -94,28 +93,11 @@ class Both:
         """Forgets what was kept: caches live as long as a task."""
         self.piece.fresh()
         self.word.fresh()
-        self.kept = pieces.Kept()
-
-    def _new(self, keys: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids of the segments in the piece vocabulary, and of the words in them, which no token crosses, in the other."""
-        words = [k.replace(pieces.SPACE, " ").split() for k in keys]  # U+2581 is a space here; texts that hold it go whole
-        found = iter(self.word.of_words([w for ws in words for w in ws]))
-        return list(zip(self.piece.by_library(keys), [next(found) if len(ws) == 1 else b"".join(next(found) for _ in ws) for ws in words]))
 
     def __call__(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each vocabulary the ids of all texts end to end and the number of each text's."""
-        texts = pc.fill_null(texts, "")
-        code, keys, bounds = pieces.coded(self.piece.split(texts))
-        values = self.kept.lookup(keys, self._new)
-        first, first_at = pieces.gathered([a for a, _ in values], code, bounds, self.piece.kind)
-        second, second_at = pieces.gathered([b for _, b in values], code, bounds, "<u4")
-        whole = packing.beyond_words(texts)
-        if whole:
-            rows = np.split(second, second_at[1:-1])
-            for i, b in zip(whole, self.word.whole([texts[i].as_py() for i in whole])):
-                rows[i] = np.frombuffer(b, "<u4")
-            second, second_at = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
-        return [(first.astype(np.int64), np.diff(first_at)), (second.astype(np.int64), np.diff(second_at))]
+        found = (self.piece.encode(texts, own=False), self.word.encode(texts))
+        return [(ids.astype(np.int64), np.diff(at)) for ids, at in found]
 
 
 def _measure(model: str, words: str):

@@ -243,6 +243,38 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_word_ids_equal_the_library(monkeypatch):
+    """Parts of texts are found in a table; here it is so small that it is emptied many times."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(packing, "SLOTS", 1 << 9)
+    monkeypatch.setattr(packing, "BLOCK", 1 << 6)
+    monkeypatch.setattr(packing, "LONG_BYTES", 200)
+    ours = packing.WordIds(packing.default_path())
+    bits = ["'s", "'S", "'T", "'re", "'VE", "'ll", "'d", "'m", "'t", "'", "''", '"', " ", "\n", "\t", ".", "1", "²", "½", "É", "ñandú", "_", "×", "ª", "Ⱥ", "€", "“", "…", "THE", "sea", "</w>"]
+    bits += ["x" * 16, "x" * 17, "é" * 8, "é" * 9, "-" * 40, "ab" * 60, "İ", "漢字", "\u00a0", "\x0b", "\x00", "e\u0301", "<|endoftext|>", "😀"]
+    texts = [None, "", "'", "don'", "s", "\n", "'ve", "".join(bits), " ".join(bits)]
+    texts += ["".join(bits[i] for i in rng.integers(0, top, 40)) for top in (12, 31, 37, len(bits)) for _ in range(200)]
+    want = [np.array(ours.library.encode(t or "", add_special_tokens=False).ids, "<u4") for t in texts]
+    assert ours(pa.array(texts, pa.string())) == [w.tobytes() for w in want]
+    ids, at = ours.encode(pa.array(texts[-500:], pa.string()).slice(3))
+    assert ids.tolist() == np.concatenate(want[-497:]).tolist() and np.diff(at).tolist() == [len(w) for w in want[-497:]]
+    assert ours(pa.array([], pa.string())) == [] and ours(pa.array([None], pa.string())) == [b""]
+
+
+def test_a_task_tokenises_a_word_once(monkeypatch):
+    import pyarrow as pa
+
+    ours, given, of_parts = packing.WordIds(packing.default_path()), [], packing.WordIds._of_parts
+    monkeypatch.setattr(packing.WordIds, "_of_parts", lambda self, parts: given.append(len(parts)) or of_parts(self, parts))
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(300_000)]
+    texts = pa.array([" ".join(words[i : i + 500]) for i in range(0, len(words), 500)])
+    once = [ours(texts.slice(i, 40)) for i in range(0, len(texts), 40)]
+    assert [ours(texts.slice(i, 40)) for i in range(0, len(texts), 40)] == once
+    assert sum(given) == len(words)
+
+
 def test_column_generation():
     patterns = packing.column_generation({1500: 4, 548: 4, 1024: 6}, 2048)
     assert patterns
